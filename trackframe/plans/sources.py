@@ -8,7 +8,7 @@ from trackframe import schemas as s
 from trackframe.operators import trajectory as r
 from trackframe.plans import views as v
 from trackframe.plans.registry import query
-from trackframe.plans.trajectory import FORECAST, fit_cte, r6
+from trackframe.plans.trajectory import FORECAST, fit_cte, n6, r6
 from trackframe.sources import readers as rd
 from trackframe.sources import sinks as sk
 from trackframe.streaming import tracks as st
@@ -111,14 +111,14 @@ def _(spark, d):
     return reread(spark, d)["points"].select("sequence_id", "track_id", "position", "frame_index", "detection_id", *r6("x_reference_px"))
 
 
-@query("read_results_trajectories", v.sql("points", "SELECT sequence_id, track_id, round(vx, 6) + 0.0::DOUBLE AS vx, CAST(n AS INTEGER) AS observations_used FROM fits", fit_cte("frame_index")))
+@query("read_results_trajectories", v.sql("points", "SELECT sequence_id, track_id, round(vx + 3e-8, 6) + 0.0::DOUBLE AS vx, CAST(n AS INTEGER) AS observations_used FROM fits", fit_cte("frame_index")))
 def _(spark, d):
-    return reread(spark, d)["trajectories"].select("sequence_id", "track_id", *r6("vx"), "observations_used")
+    return reread(spark, d)["trajectories"].select("sequence_id", "track_id", *n6("vx"), "observations_used")
 
 
-@query("read_results_predictions", v.sql("points", "SELECT sequence_id, track_id, CAST(frame_index AS INTEGER) AS frame_index, round(x, 6) + 0.0::DOUBLE AS x_reference_px FROM forecast", fit_cte("frame_index") + "," + FORECAST))
+@query("read_results_predictions", v.sql("points", "SELECT sequence_id, track_id, CAST(frame_index AS INTEGER) AS frame_index, round(x + 3e-8, 6) + 0.0::DOUBLE AS x_reference_px FROM forecast", fit_cte("frame_index") + "," + FORECAST))
 def _(spark, d):
-    return reread(spark, d)["predictions"].select("sequence_id", "track_id", "frame_index", *r6("x_reference_px"))
+    return reread(spark, d)["predictions"].select("sequence_id", "track_id", "frame_index", *n6("x_reference_px"))
 
 
 @query("read_results_tracks", v.sql("tracks", "SELECT sequence_id, track_id, status, CAST(observed_count AS INTEGER) AS observed_count FROM tracks"))
@@ -144,12 +144,12 @@ def _(spark, d):
 
 
 @query("track_point_rows", v.sql("points", """
-    SELECT sequence_id, track_id, frame_index, point_type, detection_id, round(x_reference_px, 6) AS x_reference_px, 'raw' AS coordinate_frame, 'frame' AS time_basis FROM points
-    UNION ALL SELECT sequence_id, track_id, frame_index, 'extrapolated', NULL, round(x, 6) + 0.0::DOUBLE, 'raw', 'frame' FROM forecast""", fit_cte("frame_index") + "," + FORECAST))
+    SELECT sequence_id, track_id, frame_index, point_type, detection_id, round(x_reference_px + 3e-8, 6) AS x_reference_px, 'raw' AS coordinate_frame, 'frame' AS time_basis FROM points
+    UNION ALL SELECT sequence_id, track_id, frame_index, 'extrapolated', NULL, round(x + 3e-8, 6) + 0.0::DOUBLE, 'raw', 'frame' FROM forecast""", fit_cte("frame_index") + "," + FORECAST))
 def _(spark, d):
     p = v.points(spark, d)
     rows = sk.track_point_rows(p, r.extrapolate(r.fit_velocity(p)))
-    return rows.select("sequence_id", "track_id", "frame_index", "point_type", "detection_id", *r6("x_reference_px"), "coordinate_frame", "time_basis")
+    return rows.select("sequence_id", "track_id", "frame_index", "point_type", "detection_id", *n6("x_reference_px"), "coordinate_frame", "time_basis")
 
 
 TREE = """lf AS (SELECT split, substr(sha256(name), 1, 4) AS leaf, sha256(string_agg(sha256 || ' ' || name, chr(10) ORDER BY sha256 || ' ' || name)) AS dg, count(*) AS n FROM manifest GROUP BY ALL),

@@ -13,6 +13,12 @@ def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def n6(*names):
+    """Six digits of a fitted value. The offset, far below the last digit and the same
+    in the SQL, keeps an exact half from being rounded by the noise of a long sum."""
+    return [F.round(F.col(n) + 3e-8, 6).alias(n) for n in names]
+
+
 def fit_cte(t: str, name: str = "fits") -> str:
     """Least squares by plain sums around the mean, independent of regr_* functions."""
     return f"""
@@ -28,13 +34,13 @@ def fit_cte(t: str, name: str = "fits") -> str:
         FROM points JOIN {name}_s USING (sequence_id, track_id) GROUP BY ALL) e USING (sequence_id, track_id))"""
 
 
-FIT_COLUMNS = """sequence_id, track_id, round(vx, 6) + 0.0::DOUBLE AS vx, round(vy, 6) + 0.0::DOUBLE AS vy, round(sqrt(vx * vx + vy * vy), 6) AS speed, round(rmse, 6) AS fit_rmse_px,
-    n AS observations_used, CAST(t0 AS DOUBLE) AS reference_epoch, round(x0, 6) + 0.0::DOUBLE AS x_at_epoch_px, round(y0, 6) + 0.0::DOUBLE AS y_at_epoch_px FROM fits"""
+FIT_COLUMNS = """sequence_id, track_id, round(vx + 3e-8, 6) + 0.0::DOUBLE AS vx, round(vy + 3e-8, 6) + 0.0::DOUBLE AS vy, round(sqrt(vx * vx + vy * vy) + 3e-8, 6) AS speed, round(rmse + 3e-8, 6) AS fit_rmse_px,
+    n AS observations_used, CAST(t0 AS DOUBLE) AS reference_epoch, round(x0 + 3e-8, 6) + 0.0::DOUBLE AS x_at_epoch_px, round(y0 + 3e-8, 6) + 0.0::DOUBLE AS y_at_epoch_px FROM fits"""
 
 
 def fit_rows(fits):
     return fits.where("status = 'fitted'").select(
-        "sequence_id", "track_id", *r6("vx", "vy", "speed", "fit_rmse_px"), "observations_used", "reference_epoch", *r6("x_at_epoch_px", "y_at_epoch_px")
+        "sequence_id", "track_id", *n6("vx", "vy", "speed", "fit_rmse_px"), "observations_used", "reference_epoch", *n6("x_at_epoch_px", "y_at_epoch_px")
     )
 
 
@@ -53,29 +59,29 @@ FORECAST = """forecast AS (SELECT sequence_id, track_id, h AS step, f1 + h AS fr
 
 
 @query("extrapolate_frames", v.sql("points", f"""
-    SELECT sequence_id, track_id, step, frame_index, round(x, 6) + 0.0::DOUBLE AS x_reference_px, round(y, 6) + 0.0::DOUBLE AS y_reference_px,
+    SELECT sequence_id, track_id, step, frame_index, round(x + 3e-8, 6) + 0.0::DOUBLE AS x_reference_px, round(y + 3e-8, 6) + 0.0::DOUBLE AS y_reference_px,
       NOT (x >= 0 AND x < {v.WIDTH} AND y >= 0 AND y < {v.HEIGHT}) AS out_of_field FROM forecast""", fit_cte("frame_index") + "," + FORECAST))
 def _(spark, d):
     f = r.extrapolate(r.fit_velocity(v.points(spark, d)), 2, width=v.WIDTH, height=v.HEIGHT)
-    return f.select("sequence_id", "track_id", "step", "frame_index", *r6("x_reference_px", "y_reference_px"), "out_of_field")
+    return f.select("sequence_id", "track_id", "step", "frame_index", *n6("x_reference_px", "y_reference_px"), "out_of_field")
 
 
 @query("extrapolate_seconds", v.sql("points frames", """
     SELECT f.sequence_id, f.track_id, f.h AS step, f.f1 + h AS frame_index, round(coalesce(k.timestamp_s, guess), 6) AS timestamp_s,
-      round(x0 + vx * (coalesce(k.timestamp_s, guess) - t0), 6) + 0.0::DOUBLE AS x_reference_px
+      round(x0 + vx * (coalesce(k.timestamp_s, guess) - t0) + 3e-8, 6) + 0.0::DOUBLE AS x_reference_px
     FROM (SELECT *, t1 + h * (t1 - t0) / (f1 - f0) AS guess FROM fits CROSS JOIN (SELECT unnest([1, 2]) AS h)) f
     LEFT JOIN frames k ON k.sequence_id = f.sequence_id AND k.frame_index = f.f1 + h""", fit_cte("timestamp_s")))
 def _(spark, d):
     f = r.extrapolate(r.fit_velocity(v.points(spark, d), "second"), 2, v.frames(spark, d))
-    return f.select("sequence_id", "track_id", "step", "frame_index", *r6("timestamp_s", "x_reference_px"))
+    return f.select("sequence_id", "track_id", "step", "frame_index", *r6("timestamp_s"), *n6("x_reference_px"))
 
 
 @query("attach_trajectories", v.sql("tracks", """
-    SELECT t.sequence_id, t.track_id, t.status, t.observed_count, round(f.vx, 6) + 0.0::DOUBLE AS vx, round(f.rmse, 6) AS fit_rmse_px
+    SELECT t.sequence_id, t.track_id, t.status, t.observed_count, round(f.vx + 3e-8, 6) + 0.0::DOUBLE AS vx, round(f.rmse + 3e-8, 6) AS fit_rmse_px
     FROM tracks t LEFT JOIN fits f USING (sequence_id, track_id)""", fit_cte("frame_index")))
 def _(spark, d):
     a = r.attach_trajectories(v.tracks(spark, d), r.fit_velocity(v.points(spark, d)))
-    return a.select("sequence_id", "track_id", "status", "observed_count", *r6("vx", "fit_rmse_px"))
+    return a.select("sequence_id", "track_id", "status", "observed_count", *n6("vx", "fit_rmse_px"))
 
 
 HALVES = """early AS (SELECT * FROM points WHERE frame_index < 15)"""

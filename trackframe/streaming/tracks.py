@@ -86,10 +86,8 @@ class FrameTracker(StatefulProcessor):
             if by_frame or last is not None:
                 last = closed
             next_no = stepper.next_no
-            self.tracks.put(
-                [(t.track_no, t.misses, t.count, t.quality_sum, *t.last, *(t.before or (None, None, None))) for t in stepper.active]
-            )
-        self.buffer.put(waiting)
+            _keep(self.tracks, [(t.track_no, t.misses, t.count, t.quality_sum, *t.last, *(t.before or (None, None, None))) for t in stepper.active])
+        _keep(self.buffer, waiting)
         self.meta.update((next_no, last, closed))
         yield pd.DataFrame(out, columns=OUTPUT.names).astype({"track_no": "Int64", "observed_count": "Int32", "misses": "Int32", "frame_index": "Int32"})
 
@@ -111,6 +109,14 @@ class FrameTracker(StatefulProcessor):
         pass
 
 
+def _keep(state, rows: list) -> None:
+    """Replace a list state; an empty one is cleared, the store refuses empty lists."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 def track_stream(rows: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
     """Snapshot of all tracks after each closed frame, as an append stream.
 
