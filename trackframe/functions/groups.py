@@ -12,14 +12,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
-def map_key_groups(
-    df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema
-) -> DataFrame:
-    """fn(key_tuple, columns: dict[str, np.ndarray]) -> list of output tuples."""
-    names = [f.strip().rsplit(" ", 1)[0] for f in schema.split(",")] if isinstance(schema, str) else schema.names
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitions by key, as many as the session's shuffle setting says.
+
+    A fixed number keeps adaptive execution from merging them by size: rows are small
+    here, the Python work behind them is not.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def map_key_batches(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema) -> DataFrame:
+    """fn(batch, starts) -> DataFrame, over batches of whole key groups.
+
+    `starts` are the row numbers at which groups begin, so that fn can work on many
+    small groups at once with vectorised code.
+    """
+    ordered = spread(df, keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -32,11 +44,18 @@ def map_key_groups(
             cut = int(starts[-1])
             rest = batch.iloc[cut:].reset_index(drop=True)
             if cut:
-                yield emit(batch.iloc[:cut], starts[:-1])
+                yield fn(batch.iloc[:cut], starts[:-1])
         if rest is not None:
-            yield emit(rest, np.array([0]))
+            yield fn(rest, np.array([0]))
 
-    def emit(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    return ordered.mapInPandas(run, schema)
+
+
+def map_key_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: T.StructType) -> DataFrame:
+    """fn(key_tuple, columns: dict[str, np.ndarray]) -> list of output tuples, per group."""
+    names = schema.names
+
+    def each(batch: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         cols = {c: batch[c].to_numpy() for c in batch.columns}
         ends = np.append(starts[1:], len(batch))
         rows = []
@@ -45,7 +64,7 @@ def map_key_groups(
             rows.extend(fn(key, {c: v[lo:hi] for c, v in cols.items()}))
         return pd.DataFrame(rows, columns=names)
 
-    return ordered.mapInPandas(run, schema)
+    return map_key_batches(df, keys, order, each, schema)
 
 
 def group_starts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from trackframe.functions.columns import dist, ratio, reason_array
+from trackframe.functions.consensus import consensus
 from trackframe.functions.groups import map_key_groups
 
 FRAME = ["sequence_id", "frame_index"]
@@ -144,8 +144,8 @@ def translation_consensus(correspondences: DataFrame, radius: float = 1.25) -> t
 
     Each correspondence proposes the shift ref - raw. Most support within `radius`
     wins, then the smallest median residual, then feature order; three rounds of
-    median refinement follow. A frame's proposals (at most 1000, checked) meet in one
-    NumPy block inside its task instead of as pairs in a shuffle.
+    median refinement follow. A frame's proposals (at most 1000, checked) meet inside
+    their task instead of as pairs in a shuffle.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
@@ -162,16 +162,8 @@ def translation_consensus(correspondences: DataFrame, radius: float = 1.25) -> t
     )
 
     def fit(key, cols):
-        shifts = np.column_stack([cols["sx"], cols["sy"]]).astype(float)
-        gaps = np.hypot(shifts[:, None, 0] - shifts[None, :, 0], shifts[:, None, 1] - shifts[None, :, 1])
-        near = gaps <= radius
-        support = near.sum(axis=1)
-        medians = np.array([np.median(gaps[i, near[i]]) if s == support.max() else np.inf for i, s in enumerate(support)])
-        shift = shifts[int(np.argmin(medians))]
-        for _ in range(3):
-            shift = np.median(shifts[np.hypot(*(shifts - shift).T) <= radius], axis=0)
-        keep = np.hypot(*(shifts - shift).T) <= radius
-        return [(key[0], int(key[1]), int(i), float(shift[0]), float(shift[1]), bool(k)) for i, k in zip(cols["feature_ix"], keep)]
+        tx, ty, flags = consensus(cols["sx"].tolist(), cols["sy"].tolist(), radius)
+        return [(key[0], int(key[1]), int(i), tx, ty, bool(k)) for i, k in zip(cols["feature_ix"], flags)]
 
     return map_key_groups(rows, FRAME, ["feature_ix"], fit, SHIFT_SCHEMA), refused
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackframe.functions.columns import all_of, ratio
 from trackframe.functions.stepper import TrackerConfig
 from trackframe.operators import evaluation as ev
-from trackframe.operators.matching import FRAME
+from trackframe.operators.matching import FRAME, match_points
 from trackframe.operators.tracking import accepted_observations, points_of, track_sequences, tracks_of
 
 # The nine tracker settings of the published sweep.
@@ -45,27 +45,35 @@ def tracking_sweep(
     """Tracking-assisted metrics for every configuration over all sequences.
 
     One pass steps all configurations over the same shuffled rows; the metrics carry
-    config_id in every key, so they too run once for the whole grid.
+    config_id in every key, so they too run once for the whole grid. Every detection
+    ends up in exactly one track whatever the configuration, so the identity metrics
+    need the detections matched only once; only the accepted subsets are matched per
+    configuration.
     """
     key = ["config_id", *FRAME]
+    by_seq = ["config_id", "sequence_id"]
     steps = track_sequences(detections, frames, configs, space, **options).persist()
     points, tracks = points_of(steps), tracks_of(steps)
     limits = {c.config_id: c.confirmation_observations for c in configs}
     confirm = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("config_id")]
     tracks = tracks.withColumn("confirm", confirm)
-    truths = with_configs(ev.visible_only(truth), [{"config_id": c.config_id} for c in configs])
-    accepted = accepted_observations(points, tracks, ["config_id", "sequence_id", "track_id"], "confirm").withColumns(
+    seen = ev.visible_only(truth)
+    truths = with_configs(seen, [{"config_id": c.config_id} for c in configs])
+    accepted = accepted_observations(points, tracks, [*by_seq, "track_id"], "confirm").withColumns(
         {"x": F.col("x_reference_px"), "y": F.col("y_reference_px")}
     )
-    small = {"frames_are_small": True}
-    counts = ev.with_ratios(ev.count_outcomes(ev.tag_visible(accepted, truths, gate, key, **small), ["config_id"]))
-    by_seq = ["config_id", "sequence_id"]
-    tags = ev.track_outcomes(points, truths, gate, key, **small)
-    ident = ev.track_metrics(points, tracks, truths, gate, by_seq, key, outcomes=tags).groupBy("config_id").agg(
-        F.sum("id_switches").alias("id_switches"), F.sum("false_confirmed_tracks").alias("false_confirmed_tracks"),
-        F.sum("total_tracks").alias("total_tracks"),
+    counts = ev.with_ratios(ev.count_outcomes(ev.tag_visible(accepted, truths, gate, key, frames_are_small=True), ["config_id"]))
+    spots = detections.withColumns({"x": F.col(f"x_{space}_px"), "y": F.col(f"y_{space}_px")})
+    pairs = match_points(spots, seen, gate, frames_are_small=True).pairs
+    named = pairs.join(seen.select(*FRAME, "truth_id", "target_id"), [*FRAME, "truth_id"]).select("sequence_id", "detection_id", "target_id")
+    matched = points.select(*by_seq, "track_id", "frame_index", "detection_id").join(named, ["sequence_id", "detection_id"])
+    switches = ev.id_switches(matched, by_seq).groupBy("config_id").agg(F.sum("id_switches").alias("id_switches"))
+    hit = matched.select(*by_seq, "track_id").distinct().withColumn("hit", F.lit(True))
+    totals = tracks.join(hit, [*by_seq, "track_id"], "left").groupBy("config_id").agg(
+        F.count_if((F.col("status") == "confirmed") & F.col("hit").isNull()).alias("false_confirmed_tracks"), F.count("*").alias("total_tracks")
     )
-    return counts.join(ident, "config_id", "left").drop("null_reasons")
+    out = counts.join(switches, "config_id", "left").join(totals, "config_id", "left")
+    return out.na.fill(0, ["id_switches", "false_confirmed_tracks", "total_tracks"]).drop("null_reasons")
 
 
 def gate_candidates(candidates: DataFrame, configs: Sequence[dict]) -> DataFrame:

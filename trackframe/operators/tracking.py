@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from trackframe.functions.groups import spread
 from trackframe.functions.lineage import cut_lineage
 from trackframe.functions.ranks import global_rank
 from trackframe.functions.stepper import ActiveTrack, SequenceStepper, TrackerConfig
@@ -262,7 +263,7 @@ def association_trace(
 
 
 def _run_steps(rows: DataFrame, configs: tuple[TrackerConfig, ...], declared: bool, trace: bool) -> DataFrame:
-    ordered = rows.repartition("sequence_id").sortWithinPartitions(
+    ordered = spread(rows, ["sequence_id"]).sortWithinPartitions(
         "sequence_id", "frame_index", "is_det", "detection_id"
     )
     schema = TRACE_SCHEMA if trace else POINT_SCHEMA
