@@ -29,17 +29,27 @@ def tag_visible(pred: DataFrame, truth: DataFrame, gate: float, keys: list[str]
     return tag_matches(observed_only(pred), visible_only(truth), gate, keys=keys, **options)
 
 
-def count_outcomes(tags: DataFrame, by: list[str]) -> DataFrame:
-    """tp, fp, fn and the squared-error sum: the mergeable part of every metric."""
-    return tags.groupBy(*by).agg(
-        F.count_if(F.col("kind") == "tp").alias("tp"), F.count_if(F.col("kind") == "fp").alias("fp"),
-        F.count_if(F.col("kind") == "fn").alias("fn"), F.sum(F.col("distance") * F.col("distance")).alias("squared_error"),
+def tally(pairs: DataFrame, pred: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """tp, fp, fn and error sums per `by` from matched pairs and the two whole sides.
+
+    fp and fn are differences of counts, so unmatched rows are never looked up: one
+    aggregate over a union, combined before its shuffle.
+    """
+    d = F.col("distance")
+    zero, one = F.lit(0), F.lit(1)
+    side = lambda df, p, t: df.select(*by, zero.alias("tp"), p.alias("p"), t.alias("t"), *[F.lit(None).cast("double").alias(c) for c in ("d", "dd")])
+    rows = pairs.select(*by, one.alias("tp"), zero.alias("p"), zero.alias("t"), d.alias("d"), (d * d).alias("dd"))
+    rows = rows.unionByName(side(pred, one, zero)).unionByName(side(truth, zero, one))
+    sums = rows.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "p", "t")], F.sum("d").alias("distance_sum"), F.sum("dd").alias("squared_error"))
+    return sums.select(
+        *by, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"), "distance_sum", "squared_error"
     )
 
 
-def merge_outcomes(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Add outcome counts up to a coarser key."""
-    return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "squared_error")])
+def outcome_counts(pred: DataFrame, truth: DataFrame, gate: float, by: list[str], keys: list[str] = FRAME, **options) -> DataFrame:
+    """Counts of matched and unmatched rows per `by` (columns of `keys`, or none)."""
+    pred, truth = observed_only(pred), visible_only(truth)
+    return tally(match_points(pred, truth, gate, keys=keys, **options).pairs, pred, truth, by)
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
@@ -51,7 +61,7 @@ def with_ratios(counts: DataFrame) -> DataFrame:
         .withColumn("f1", f1_ratios("precision", "recall"))
         .withColumn("localization_rmse_px", F.when(tp > 0, snap_zero(F.sqrt(F.col("squared_error") / tp))))
         .withColumn("null_reasons", null_reasons())
-        .drop("squared_error")
+        .drop("squared_error", "distance_sum")
     )
 
 
@@ -71,8 +81,7 @@ def detection_metrics(pred: DataFrame, truth: DataFrame, gate: float = 5.0, by:
 
     The one-row form also answers on empty input (zero counts and three reasons).
     """
-    tags = tag_visible(pred, truth, gate, keys, **options)
-    return with_ratios(count_outcomes(tags, by).na.fill(0, ["tp", "fp", "fn"]))
+    return with_ratios(outcome_counts(pred, truth, gate, by, keys, **options))
 
 
 def target_counts(truth: DataFrame, by: list[str] = ["sequence_id"]) -> DataFrame:
@@ -83,14 +92,13 @@ def target_counts(truth: DataFrame, by: list[str] = ["sequence_id"]) -> DataFram
     )
 
 
-def track_outcomes(points: DataFrame, truth: DataFrame, gate: float = 5.0, keys: list[str] = FRAME, **options) -> DataFrame:
-    """Outcome rows of track points against visible truth, with track and target ids."""
+def matched_points(points: DataFrame, truth: DataFrame, gate: float = 5.0, keys: list[str] = FRAME, **options) -> DataFrame:
+    """Observed track points paired with visible truth, with track and target ids."""
     obs = observed_only(points).withColumns({"x": F.col("x_reference_px"), "y": F.col("y_reference_px")})
     seen = visible_only(truth)
-    tags = tag_matches(obs, seen, gate, keys=keys, **options)
-    return (
-        tags.join(obs.select(*keys, "detection_id", "track_id"), [*keys, "detection_id"], "left")
-        .join(seen.select(*keys, "truth_id", "target_id"), [*keys, "truth_id"], "left")
+    pairs = match_points(obs, seen, gate, keys=keys, **options).pairs
+    return pairs.join(obs.select(*keys, "detection_id", "track_id"), [*keys, "detection_id"]).join(
+        seen.select(*keys, "truth_id", "target_id"), [*keys, "truth_id"]
     )
 
 
@@ -105,12 +113,11 @@ def id_switches(matched: DataFrame, by: list[str] = ["sequence_id"]) -> DataFram
 
 def track_metrics(
     points: DataFrame, tracks: DataFrame, truth: DataFrame, gate: float = 5.0, by: list[str] = ["sequence_id"],
-    keys: list[str] = FRAME, outcomes: DataFrame | None = None, **options,
+    keys: list[str] = FRAME, **options,
 ) -> DataFrame:
     """Identity metrics per `by`: switches, coverage, false confirmed tracks, totals."""
-    tags = outcomes if outcomes is not None else track_outcomes(points, truth, gate, keys, **options)
-    matched = tags.where("kind = 'tp'")
-    counts = with_ratios(count_outcomes(tags, by))
+    matched = matched_points(points, truth, gate, keys, **options)
+    counts = with_ratios(tally(matched, observed_only(points), visible_only(truth), by))
     hit = matched.select(*by, "track_id").distinct().withColumn("hit", F.lit(True))
     per_track = tracks.join(hit, [*by, "track_id"], "left").groupBy(*by).agg(
         F.count_if((F.col("status") == "confirmed") & F.col("hit").isNull()).alias("false_confirmed_tracks"),
@@ -125,13 +132,9 @@ def track_metrics(
     )
 
 
-def frame_outcomes(tags: DataFrame, frames: DataFrame, keys: list[str] = FRAME) -> DataFrame:
+def frame_outcomes(pred: DataFrame, truth: DataFrame, frames: DataFrame, gate: float = 5.0, keys: list[str] = FRAME, **options) -> DataFrame:
     """Per declared frame: tp, fp, fn (zero when empty), summed and squared distance."""
-    per = tags.groupBy(*keys).agg(
-        *[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")],
-        F.sum("distance").alias("distance_sum"), F.sum(F.col("distance") ** 2).alias("squared_error"),
-    )
-    return frames.join(per, keys, "left").na.fill(0, ["tp", "fp", "fn"])
+    return frames.join(outcome_counts(pred, truth, gate, keys, keys, **options), keys, "left").na.fill(0, ["tp", "fp", "fn"])
 
 
 def frame_summary(per_frame: DataFrame, by: list[str] = [], ms: str | None = "processing_ms") -> DataFrame:
@@ -185,11 +188,11 @@ def ablation_report(
     by = ["sequence_id"]
     key = ["sequence_id", "track_id"]
     seen = visible_only(truth)
-    a = with_ratios(count_outcomes(tag_visible(detections, seen, gate, **options), by))
+    a = with_ratios(outcome_counts(detections, seen, gate, by, **options))
     accepted = accepted_observations(points, tracks, key, min_observations).withColumns(
         {"x": F.col("x_reference_px"), "y": F.col("y_reference_px")}
     )
-    b = with_ratios(count_outcomes(tag_visible(accepted, seen, gate, **options), by))
+    b = with_ratios(outcome_counts(accepted, seen, gate, by, **options))
     t = track_metrics(points, tracks, seen, gate, **options)
     kept = confirmed_in_lifecycle(tracks, min_observations).groupBy(*by).agg(F.count("*").alias("confirmed_in_lifecycle"))
     status = tracks.groupBy(*by).agg(

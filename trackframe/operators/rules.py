@@ -261,7 +261,8 @@ def check_point_labels(records: DataFrame, width: int = 640, height: int = 480,
     c = F.col("object_coords")
     pair = F.forall(c, lambda p: p.isNotNull() & (F.size(p) == 2))
     fin = F.forall(c, lambda p: F.forall(p, lambda q: finite(q)))
-    within = F.forall(c, lambda p: (p[0] >= -0.5) & (p[0] <= width - 0.5) & (p[1] >= -0.5) & (p[1] <= height - 0.5))
+    at = lambda p, i: F.get(p, F.lit(i))
+    within = F.forall(c, lambda p: at(p, 0).between(-0.5, width - 0.5) & at(p, 1).between(-0.5, height - 0.5))
     rules = {
         "frame_range": F.col("frame").between(1, 5),
         "object_count_range": F.col("num_objects").between(0, 30),

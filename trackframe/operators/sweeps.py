@@ -62,7 +62,7 @@ def tracking_sweep(
     accepted = accepted_observations(points, tracks, [*by_seq, "track_id"], "confirm").withColumns(
         {"x": F.col("x_reference_px"), "y": F.col("y_reference_px")}
     )
-    counts = ev.with_ratios(ev.count_outcomes(ev.tag_visible(accepted, truths, gate, key, frames_are_small=True), ["config_id"]))
+    counts = ev.with_ratios(ev.outcome_counts(accepted, truths, gate, ["config_id"], key, frames_are_small=True))
     spots = detections.withColumns({"x": F.col(f"x_{space}_px"), "y": F.col(f"y_{space}_px")})
     pairs = match_points(spots, seen, gate, frames_are_small=True).pairs
     named = pairs.join(seen.select(*FRAME, "truth_id", "target_id"), [*FRAME, "truth_id"]).select("sequence_id", "detection_id", "target_id")
@@ -96,8 +96,7 @@ def threshold_sweep(
     cuts = [{"threshold": float(t)} for t in thresholds]
     kept = with_configs(scored, cuts).where("score >= threshold")
     truths = with_configs(ev.visible_only(truth), cuts)
-    tags = ev.tag_visible(kept, truths, gate, key, **options)
-    return ev.with_ratios(ev.count_outcomes(tags, ["threshold"])).drop("null_reasons")
+    return ev.with_ratios(ev.outcome_counts(kept, truths, gate, ["threshold"], key, **options)).drop("null_reasons")
 
 
 def select_config(trials: DataFrame, recall_floor: float | Column = 0.0, order: str = "grid_ix") -> DataFrame:

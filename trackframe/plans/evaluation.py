@@ -101,7 +101,7 @@ SUMMARY_OUT = f"""frame_count, tp, fp, fn, {RATIOS}, {F1}, round(CASE WHEN tp >
 def frame_rows(spark, d):
     """Outcome counts per declared frame; the summed quality stands in for a timing."""
     det = v.detections(spark, d)
-    per = ev.frame_outcomes(ev.tag_visible(det, v.truth(spark, d), 5.0), v.frames(spark, d).select("sequence_id", "frame_index"))
+    per = ev.frame_outcomes(det, v.truth(spark, d), v.frames(spark, d).select("sequence_id", "frame_index"))
     ms = det.groupBy("sequence_id", "frame_index").agg(F.sum("quality_score").alias("processing_ms"))
     return per.join(ms, ["sequence_id", "frame_index"], "left")
 
@@ -329,9 +329,9 @@ def mode_rows(spark, d):
     """Detector-only and track-point outcomes per sequence; sequences of every tenth
     user have a failed registration, which fails the second mode only."""
     seq = ["sequence_id"]
-    a = ev.count_outcomes(ev.tag_visible(v.detections(spark, d), v.truth(spark, d), 5.0), seq).withColumn("mode", F.lit("standard"))
+    a = ev.outcome_counts(v.detections(spark, d), v.truth(spark, d), 5.0, seq).withColumn("mode", F.lit("standard"))
     p = v.points(spark, d).withColumns({"x": F.col("x_reference_px"), "y": F.col("y_reference_px")})
-    b = ev.count_outcomes(ev.tag_visible(p, v.truth(spark, d), 5.0), seq).withColumn("mode", F.lit("temporal"))
+    b = ev.outcome_counts(p, v.truth(spark, d), 5.0, seq).withColumn("mode", F.lit("temporal"))
     failed = v.transforms(spark, d).groupBy(*seq).agg(F.bool_or(F.col("status") == "failed").alias("failed"))
     state = failed.withColumn("mode", F.explode(F.array(F.lit("standard"), F.lit("temporal")))).select(
         "mode", *seq, F.when((F.col("mode") == "temporal") & F.col("failed"), "registration_failed").otherwise("succeeded").alias("status")

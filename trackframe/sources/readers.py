@@ -59,7 +59,7 @@ def read_frame_listing(spark: SparkSession, root: str, split: str | None = None)
 def label_points(records: DataFrame) -> DataFrame:
     """One row per labelled point; frames without objects keep one row of NULLs."""
     return records.select("sequence_id", "frame", "num_objects", F.posexplode_outer("object_coords").alias("label_index", "p")).select(
-        "sequence_id", "frame", (F.col("frame") - 1).alias("frame_index"), "num_objects", "label_index", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")
+        "sequence_id", "frame", (F.col("frame") - 1).alias("frame_index"), "num_objects", "label_index", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y")
     )
 
 
@@ -85,7 +85,7 @@ def parse_box_lines(lines: DataFrame, text: str = "value") -> DataFrame:
 
 def read_box_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(box rows with reasons, files) from label text files; empty files stay in files."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     files = raw.select("path", stem.alias("stem"), (F.trim("value") == "").alias("empty"))
     lines = raw.select("path", stem.alias("stem"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
@@ -138,7 +138,7 @@ def rendered_truth_points(rendered: DataFrame, space: str = "raw") -> DataFrame:
     xy = F.col(f"o.{space}_xy_px")
     return f.select(
         "sequence_id", "frame_index", F.concat_ws("/", F.col("frame_index").cast("string"), "o.object_id").alias("truth_id"),
-        xy[0].alias("x"), xy[1].alias("y"), F.col("o.object_id").alias("target_id"), F.col("o.visible").alias("visible"), F.col("o.reason").alias("reason"),
+        F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"), F.col("o.object_id").alias("target_id"), F.col("o.visible").alias("visible"), F.col("o.reason").alias("reason"),
     )
 
 
