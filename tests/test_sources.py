@@ -37,7 +37,8 @@ def test_box_label_audit_case(spark, tmp_path):
     (tmp_path / "lb").mkdir()
     (tmp_path / "lb/empty.txt").write_text("")
     (tmp_path / "lb/mixed.txt").write_text("0 .5 .5 .2 .2\n1 .5 .5 .2 .2\n0 nan .5 .2 .2\n0 .5 .5 .2\n\n0 .95 .5 .2 .2\n")
-    boxes, files = rd.read_box_labels(spark, str(tmp_path / "lb"))
+    listing = spark.createDataFrame([(str(f),) for f in (tmp_path / "lb").iterdir()], "path string")
+    boxes, files = rd.read_box_labels(spark, str(tmp_path / "lb"), listing)
     got = boxes.orderBy("line").collect()
     assert [(r.line, r.reason) for r in got] == [(1, None), (2, "class is not 0"), (3, "not a finite number"), (4, "expected five fields"), (6, None)]
     assert files.where("empty").count() == 1

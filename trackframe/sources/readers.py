@@ -83,11 +83,18 @@ def parse_box_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     return p.withColumn("reason", reason).drop("_n")
 
 
-def read_box_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(box rows with reasons, files) from label text files; empty files stay in files."""
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
+def read_box_labels(spark: SparkSession, path: str, listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(box rows with reasons, files) from label text files.
+
+    Spark's file scans leave out files of zero bytes. A `listing` with a column path
+    (a manifest of the folder) brings them back as empty files.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    files = raw.select("path", stem.alias("stem"), (F.trim("value") == "").alias("empty"))
+    files = raw.select(stem.alias("stem"), (F.trim(F.regexp_replace("value", r"\s+", " ")) == "").alias("empty"))
+    if listing is not None:
+        named = listing.select(stem.alias("stem")).distinct()
+        files = named.join(files, "stem", "left").select("stem", F.coalesce("empty", F.lit(True)).alias("empty"))
     lines = raw.select("path", stem.alias("stem"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     return parse_box_lines(lines.withColumn("line", F.col("line") + 1)), files
 
