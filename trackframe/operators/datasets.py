@@ -40,8 +40,10 @@ def hash_split(ids: DataFrame, column: str = "sequence_id", dev: float = 0.6, va
     cuts = cuts.withColumn("v", F.when((n >= 3) & (F.col("v") == 0), 1).otherwise(F.col("v")))
     short = (n >= 3) & (n - F.col("d") - F.col("v") <= 0)
     cuts = cuts.withColumn("d", F.when(short, F.greatest(F.lit(1), n - F.col("v") - 1)).otherwise(F.col("d")))
-    split = F.when(F.col("rank") <= F.col("d"), "development").when(F.col("rank") <= F.col("d") + F.col("v"), "validation").otherwise("test")
-    return ranked.join(F.broadcast(cuts), F.lit(True)).select(column, split.alias("split"))
+    first = cuts.select("d").scalar()
+    second = cuts.select(F.col("d") + F.col("v")).scalar()
+    split = F.when(F.col("rank") <= first, "development").when(F.col("rank") <= second, "validation").otherwise("test")
+    return ranked.select(column, split.alias("split"))
 
 
 def sample_sequences(ids: DataFrame, n: int, column: str = "sequence_id", seed: int = 26) -> DataFrame:
@@ -102,52 +104,51 @@ def median_signature(df: DataFrame, descriptor: str = "descriptor") -> DataFrame
     return d.withColumn("signature", F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))).drop("_mid")
 
 
-def near_duplicates(
-    items: DataFrame, max_hamming: int = 6, name: str = "name", split: str = "split", descriptor: str = "descriptor", extra_bands: int = 2
-) -> DataFrame:
-    """Near pairs between distinct descriptors of different splits, with correlation.
+def near_signatures(signed: DataFrame, max_hamming: int = 6, extra_bands: int = 2) -> DataFrame:
+    """(signature, other): every ordered pair of occurring signatures within the limit,
+    each signature with itself included.
 
-    Files with one descriptor and one split are folded into a group first, so copies
-    never multiply pairs: each output row is a pair of groups with their sizes and
-    first names. Of max_hamming + extra_bands bit bands at least `extra_bands` agree
-    on any pair within the limit; joining on every choice of that many bands finds
-    all of them with keys wide enough to stay selective.
+    Of max_hamming + extra_bands bit bands at least `extra_bands` agree on any such
+    pair; joining on every choice of that many bands finds all of them with keys wide
+    enough to stay selective. Only distinct signatures meet, so copies cost nothing.
     """
     from itertools import combinations
 
     bands = max_hamming + extra_bands
     if not 0 <= max_hamming <= 60 or bands > 64:
         raise ValueError("max_hamming + extra_bands must not exceed 64 bits")
-    sig = median_signature(items, descriptor)
-    groups = sig.groupBy(split, "signature", F.col(descriptor).alias("descriptor")).agg(
-        F.count("*").alias("files"), F.min(name).alias("first_name")
-    )
     edges = [round(64 * b / bands) for b in range(bands + 1)]
-    sums = []
+    masks = []
     for chosen in combinations(range(bands), extra_bands):
-        mask = 0
-        for b in chosen:
-            mask |= ((1 << (edges[b + 1] - edges[b])) - 1) << edges[b]
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        sums.append(mask)
-    masks = F.array(*[F.lit(m).cast("long") for m in sums])
-    # Signatures meet first, their groups afterwards: a crowded signature joins once.
-    solo = groups.select("signature").distinct()
-    keyed = solo.select("signature", F.posexplode(masks).alias("band", "mask")).select(
+        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
+        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+    choice = F.array(*[F.lit(m).cast("long") for m in masks])
+    keyed = signed.select("signature").distinct().select("signature", F.posexplode(choice).alias("band", "mask")).select(
         "signature", "band", F.col("signature").bitwiseAND(F.col("mask")).alias("key")
     )
     other = keyed.select(F.col("signature").alias("other"), "band", "key")
-    close = (
-        keyed.join(other, ["band", "key"]).where("signature <= other")
-        .where(F.bit_count(F.col("signature").bitwiseXOR(F.col("other"))) <= max_hamming)
-        .select("signature", "other").distinct()
+    near = F.bit_count(F.col("signature").bitwiseXOR(F.col("other"))) <= max_hamming
+    return keyed.join(other, ["band", "key"]).where(near).select("signature", "other").distinct()
+
+
+def near_duplicates(
+    items: DataFrame, max_hamming: int = 6, name: str = "name", split: str = "split", descriptor: str = "descriptor", extra_bands: int = 2
+) -> DataFrame:
+    """Report of near pairs between distinct descriptors of different splits.
+
+    Files with one descriptor and one split are folded into a group first, so copies
+    never multiply pairs: a row is a pair of groups with sizes, first names, bit
+    distance and correlation. To clean splits use `near_leaks`, which needs no pairs.
+    """
+    sig = median_signature(items, descriptor)
+    groups = sig.groupBy(split, "signature", F.col(descriptor).alias("descriptor")).agg(
+        F.count("*").alias("files"), F.min(name).alias("first_name")
     )
+    close = near_signatures(sig, max_hamming, extra_bands)
     left = groups.select(*[F.col(c).alias(f"l_{c}") for c in groups.columns])
     right = groups.select(*[F.col(c).alias(f"r_{c}") for c in groups.columns])
-    # A signature pair stands for both directions; group pairs are told apart by name.
-    both = close.unionByName(close.where("signature <> other").select(F.col("other").alias("signature"), F.col("signature").alias("other")))
     pairs = (
-        both.join(left, F.col("signature") == F.col("l_signature")).join(right, F.col("other") == F.col("r_signature"))
+        close.join(left, F.col("signature") == F.col("l_signature")).join(right, F.col("other") == F.col("r_signature"))
         .where((F.col(f"l_{split}") != F.col(f"r_{split}")) & (F.col("l_first_name") < F.col("r_first_name")))
     )
     a, b = F.col("l_descriptor"), F.col("r_descriptor")
@@ -164,22 +165,42 @@ def near_duplicates(
     )
 
 
+def near_leaks(items: DataFrame, max_hamming: int = 6, name: str = "name", descriptor: str = "descriptor", extra_bands: int = 2) -> DataFrame:
+    """Names that have a near partner in a higher-priority split: (name, reason).
+
+    The same files as "of every near pair drop the lower-priority one", decided per
+    signature: the highest priority among near signatures against one's own. Work
+    grows with the signatures, not with the pairs of a crowded one.
+    """
+    sig = median_signature(items, descriptor).withColumn("_rank", rank_of(F.col("split")))
+    top = sig.groupBy("signature").agg(F.max("_rank").alias("_top"))
+    best = (
+        near_signatures(sig, max_hamming, extra_bands).join(top.withColumnRenamed("signature", "other"), "other")
+        .groupBy("signature").agg(F.max("_top").alias("_best"))
+    )
+    return sig.join(best, "signature").where("_best > _rank").select(name, F.lit("cross_split_near").alias("reason"))
+
+
 def rank_of(split: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[split]
 
 
-def leakage_filter(records: DataFrame, near_pairs: DataFrame, digests: Sequence[str] = ("sha256",), errors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def leakage_filter(
+    records: DataFrame, near_pairs: DataFrame | None = None, digests: Sequence[str] = ("sha256",), errors: DataFrame | None = None, leaks: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(kept records, exclusions with reasons); nothing moves between splits.
 
-    records(name, split, digests…); near_pairs(left, right). Of a near pair the
+    records(name, split, digests…); near_pairs(left, right), or leaks(name, reason) from
+    `near_leaks`, which needs no pairs. Of a near pair the
     lower-priority split's member goes (the left one on a tie); of an exact group all
     but the highest-priority, first-named file; invalid rows go with their error. Group winners
     come from a combinable minimum, not from sorting a group.
     """
-    parts = []
+    parts = [] if leaks is None else [leaks.select("name", "reason")]
     side = lambda c: records.select(F.col("name").alias(c), rank_of(F.col("split")).alias(f"{c}_rank"))
-    near = near_pairs.select("left", "right").join(side("left"), "left").join(side("right"), "right")
-    parts.append(near.select(F.when(F.col("right_rank") < F.col("left_rank"), F.col("right")).otherwise(F.col("left")).alias("name"), F.lit("cross_split_near").alias("reason")))
+    if near_pairs is not None:
+        near = near_pairs.select("left", "right").join(side("left"), "left").join(side("right"), "right")
+        parts.append(near.select(F.when(F.col("right_rank") < F.col("left_rank"), F.col("right")).otherwise(F.col("left")).alias("name"), F.lit("cross_split_near").alias("reason")))
     for digest in digests:
         order = F.struct((-rank_of(F.col("split"))).alias("p"), F.col("name").alias("name"))
         keep = records.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(order)["name"].alias("winner"), F.count("*").alias("n")).where("n > 1")
@@ -226,15 +247,14 @@ def label_file_match(split_ids: DataFrame, label_ids: DataFrame) -> DataFrame:
     """For each label file: do its sequence ids equal the split's ids?
 
     split_ids(split, sequence_id); label_ids(file, sequence_id). Exactly one file per
-    split should match.
+    split should match; a file and a split without a common id are not listed.
     """
-    files = label_ids.select("file").distinct().join(split_ids.select("split").distinct(), F.lit(True))
     want = split_ids.select("split", "sequence_id").distinct()
     have = label_ids.select("file", "sequence_id").distinct()
     need = want.groupBy("split").agg(F.count("*").alias("need"))
     got = have.groupBy("file").agg(F.count("*").alias("got"))
     both = have.join(want, "sequence_id").groupBy("file", "split").agg(F.count("*").alias("common"))
-    j = files.join(need, "split").join(got, "file").join(both, ["file", "split"], "left").na.fill(0, ["common"])
+    j = both.join(need, "split").join(got, "file")
     return j.select("file", "split", ((F.col("common") == F.col("need")) & (F.col("common") == F.col("got"))).alias("matches"))
 
 

@@ -167,7 +167,9 @@ def frame_summary(per_frame: DataFrame, by: list[str] = [], ms: str | None = "pr
     if not ms:
         return s
     p95 = exact_percentiles(per_frame, ms, [0.95], by).withColumnRenamed("value", "processing_ms_p95_per_frame").drop("p")
-    return s.join(p95, by, "left") if by else s.join(F.broadcast(p95), F.lit(True), "left")
+    if by:
+        return s.join(p95, by, "left")
+    return s.withColumn("processing_ms_p95_per_frame", p95.select("processing_ms_p95_per_frame").scalar())
 
 
 def empty_frame_summary(per_frame: DataFrame, by: list[str] = [], ms: str | None = "processing_ms") -> DataFrame:
@@ -346,8 +348,8 @@ def box_metrics(pred: DataFrame, truth: DataFrame, images: DataFrame, iou_gate:
         F.count_if(empty).alias("negative_images"), F.count_if(empty & (F.col("predicted") > 0)).alias("negative_images_with_fp"),
         F.coalesce(F.sum(F.when(empty, F.col("predicted"))), F.lit(0)).alias("negative_fp"), F.avg("inference_ms").alias("inference_ms_mean"),
     )
-    p95 = exact_percentiles(images, "inference_ms", [0.95]).select(F.col("value").alias("inference_ms_p95"))
-    totals = totals.join(F.broadcast(p95), F.lit(True), "left").select(
+    p95 = exact_percentiles(images, "inference_ms", [0.95]).select("value").scalar()
+    totals = totals.withColumn("inference_ms_p95", p95).select(
         "*", ratio("tp", F.col("tp") + F.col("fp")).alias("fixed_precision"), ratio("tp", F.col("tp") + F.col("fn")).alias("fixed_recall"),
         ratio("negative_fp", "negative_images").alias("fp_per_negative"),
     )

@@ -143,7 +143,7 @@ def _solve_groups(contested: DataFrame, group: list[str], keys: list[str]) -> Da
     return map_key_groups(contested, group, ["left_id", "right_id"], fn, fields)
 
 
-def _frames_fit(left: DataFrame, right: DataFrame, keys: list[str], limit: int) -> bool:
+def frames_fit(left: DataFrame, right: DataFrame, keys: list[str] = FRAME, limit: int = GROUP_EDGES) -> bool:
     """True if no frame can hold more than `limit` edges, from row counts alone."""
     a = left.groupBy(*keys).agg(F.count("*").alias("a"))
     b = right.groupBy(*keys).agg(F.count("*").alias("b"))
@@ -169,7 +169,7 @@ def match_points(
     the producer already bounds a frame, e.g. a detector with a candidate cap.
     """
     if frames_are_small is None:
-        frames_are_small = _frames_fit(pred, truth, keys, group_edges)
+        frames_are_small = frames_fit(pred, truth, keys, group_edges)
     edges = gated_pairs(pred, truth, gate, pred_id, truth_id, pred_xy, truth_xy, keys)
     pairs = one_to_one(edges, keys, "distance", frames_are_small, group_edges).select(
         *keys, F.col("left_id").alias(pred_id), F.col("right_id").alias(truth_id), F.col("cost").alias("distance")
@@ -246,7 +246,7 @@ def match_boxes(
 ) -> Matching:
     """One-to-one box matching: most pairs, then most summed IoU."""
     if frames_are_small is None:
-        frames_are_small = _frames_fit(pred, truth, keys, GROUP_EDGES)
+        frames_are_small = frames_fit(pred, truth, keys, GROUP_EDGES)
     edges = overlapping_boxes(pred, truth, iou_gate, keys).withColumn("cost", 1 - F.col("iou"))
     pairs = one_to_one(edges, keys, "cost", frames_are_small).select(
         *keys, F.col("left_id").alias("detection_id"), F.col("right_id").alias("truth_id"), (1 - F.col("cost")).alias("iou")

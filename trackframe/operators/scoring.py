@@ -63,8 +63,9 @@ def feature_moments(rows: DataFrame, n: int = len(FEATURES), floor: float = 1e-8
 
 def standardize(rows: DataFrame, moments: DataFrame) -> DataFrame:
     """(feature - mean) / scale with a one-row moments table."""
-    z = F.zip_with(F.zip_with("features", "mean", lambda x, m: x - m), "scale", lambda x, s: x / s)
-    return rows.join(F.broadcast(moments), F.lit(True)).withColumn("features", z).drop("mean", "scale")
+    m = moments.select(F.struct("mean", "scale")).scalar()
+    z = F.zip_with(F.zip_with("features", "_m.mean", lambda x, c: x - c), "_m.scale", lambda x, c: x / c)
+    return rows.withColumn("_m", m).withColumn("features", z).drop("_m")
 
 
 def fit_logistic(rows: DataFrame, label: str = "label", max_iter: int = 200) -> ScorerModel:

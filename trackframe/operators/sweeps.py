@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackframe.functions.columns import all_of, ratio
 from trackframe.functions.stepper import TrackerConfig
 from trackframe.operators import evaluation as ev
-from trackframe.operators.matching import FRAME, match_points
+from trackframe.operators.matching import FRAME, frames_fit, match_points
 from trackframe.operators.tracking import accepted_observations, points_of, track_sequences, tracks_of
 
 # The nine tracker settings of the published sweep.
@@ -62,9 +62,10 @@ def tracking_sweep(
     accepted = accepted_observations(points, tracks, [*by_seq, "track_id"], "confirm").withColumns(
         {"x": F.col("x_reference_px"), "y": F.col("y_reference_px")}
     )
-    counts = ev.with_ratios(ev.outcome_counts(accepted, truths, gate, ["config_id"], key, frames_are_small=True))
+    small = frames_fit(detections, seen)
+    counts = ev.with_ratios(ev.outcome_counts(accepted, truths, gate, ["config_id"], key, frames_are_small=small))
     spots = detections.withColumns({"x": F.col(f"x_{space}_px"), "y": F.col(f"y_{space}_px")})
-    pairs = match_points(spots, seen, gate, frames_are_small=True).pairs
+    pairs = match_points(spots, seen, gate, frames_are_small=small).pairs
     named = pairs.join(seen.select(*FRAME, "truth_id", "target_id"), [*FRAME, "truth_id"]).select("sequence_id", "detection_id", "target_id")
     matched = points.select(*by_seq, "track_id", "frame_index", "detection_id").join(named, ["sequence_id", "detection_id"])
     switches = ev.id_switches(matched, by_seq).groupBy("config_id").agg(F.sum("id_switches").alias("id_switches"))
@@ -94,6 +95,7 @@ def threshold_sweep(
     """Detection metrics at every score threshold; matching is redone per threshold."""
     key = ["threshold", *FRAME]
     cuts = [{"threshold": float(t)} for t in thresholds]
+    options.setdefault("frames_are_small", frames_fit(scored, ev.visible_only(truth)))
     kept = with_configs(scored, cuts).where("score >= threshold")
     truths = with_configs(ev.visible_only(truth), cuts)
     return ev.with_ratios(ev.outcome_counts(kept, truths, gate, ["threshold"], key, **options)).drop("null_reasons")
@@ -113,11 +115,11 @@ def select_config(trials: DataFrame, recall_floor: float | Column = 0.0, order:
 
 def select_threshold(trials: DataFrame, keep_recall: float = 0.95) -> DataFrame:
     """Highest precision among thresholds keeping `keep_recall` of the threshold-0 recall."""
-    base = trials.where("threshold = 0").select(F.coalesce("recall", F.lit(0.0)).alias("base_recall"))
+    base = trials.where("threshold = 0").select(F.coalesce("recall", F.lit(0.0))).scalar()
     row = F.struct(*[F.col(c) for c in trials.columns])
     best = F.struct(F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0)), -F.col("threshold"))
     return (
-        trials.where("threshold > 0").join(F.broadcast(base), F.coalesce(F.col("recall"), F.lit(0.0)) >= F.col("base_recall") * keep_recall)
+        trials.where("threshold > 0").where(F.coalesce(F.col("recall"), F.lit(0.0)) >= base * keep_recall)
         .agg(F.max_by(row, best).alias("r")).where("r is not null").select("r.*")
     )
 

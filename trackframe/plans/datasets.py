@@ -81,6 +81,14 @@ def _(spark, d):
     return ds.near_duplicates(described(spark, d), NEAR_LIMIT).drop("correlation")
 
 
+@query("near_leaks", v.sql("", f"""
+    SELECT a.name, 'cross_split_near' AS reason FROM (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS p FROM sg) a WHERE EXISTS (
+      SELECT 1 FROM (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS p FROM sg) b WHERE b.p > a.p
+        AND list_sum([CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= {NEAR_LIMIT})""", NEAR))
+def _(spark, d):
+    return ds.near_leaks(described(spark, d), NEAR_LIMIT)
+
+
 @query("near_duplicate_correlation")
 def _(spark, d):
     return ds.near_duplicates(described(spark, d), NEAR_LIMIT)

@@ -375,7 +375,7 @@ TH_EDGES = """th AS (SELECT unnest([0.0::DOUBLE, 0.2, 0.4, 0.6, 0.8]) AS thresho
 
 def threshold_trials(spark, d):
     scored = v.detections(spark, d).withColumn("score", F.col("quality_score"))
-    return sw.threshold_sweep(scored, v.truth(spark, d), THRESHOLDS, 5.0, frames_are_small=True)
+    return sw.threshold_sweep(scored, v.truth(spark, d), THRESHOLDS, 5.0)
 
 
 @query("threshold_sweep", v.sql("detections visible_truth", f"SELECT threshold, tp, fp, fn, {RATIOS}, {F1} FROM trials", TH_EDGES))
