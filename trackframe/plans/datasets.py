@@ -72,11 +72,11 @@ NEAR = f"""ds AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS name, C
     sg AS (SELECT *, [CASE WHEN x > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END FOR x IN e] AS bits FROM ds),
     gr AS (SELECT split, bits, e, count(*) AS files, min(name) AS first_name FROM sg GROUP BY ALL),
     nr AS (SELECT a.first_name AS "left", a.split AS left_split, a.files AS left_files, b.first_name AS "right", b.split AS right_split, b.files AS right_files,
-      CAST(list_sum([CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS INTEGER) AS hamming
+      CAST(list_sum([CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS INTEGER) AS hamming, a.e AS ae, b.e AS be
       FROM gr a JOIN gr b ON a.split <> b.split AND a.first_name < b.first_name)"""
 
 
-@query("near_duplicates", v.sql("", f"SELECT * FROM nr WHERE hamming <= {NEAR_LIMIT}", NEAR))
+@query("near_duplicates", v.sql("", f"SELECT * EXCLUDE (ae, be) FROM nr WHERE hamming <= {NEAR_LIMIT}", NEAR))
 def _(spark, d):
     return ds.near_duplicates(described(spark, d), NEAR_LIMIT).drop("correlation")
 
@@ -89,9 +89,11 @@ def _(spark, d):
     return ds.near_leaks(described(spark, d), NEAR_LIMIT)
 
 
-@query("near_duplicate_correlation")
+@query("near_duplicate_correlation", v.sql("", f"""
+    SELECT "left", "right", round(corr(x, y), 6) AS correlation FROM (
+      SELECT "left", "right", unnest([CAST(q AS DOUBLE) FOR q IN ae]) AS x, unnest([CAST(q AS DOUBLE) FOR q IN be]) AS y FROM nr WHERE hamming <= {NEAR_LIMIT}) GROUP BY ALL""", NEAR))
 def _(spark, d):
-    return ds.near_duplicates(described(spark, d), NEAR_LIMIT)
+    return ds.near_duplicates(described(spark, d), NEAR_LIMIT).select("left", "right", *r6("correlation"))
 
 
 def records(spark, d):

@@ -155,7 +155,7 @@ def centres(spark, d):
 
 
 APERTURE = f"""ca AS (SELECT sequence_id, frame_index, x AS cx, y AS cy, x || '-' || y AS candidate_id FROM pixels WHERE value > 0.96),
-    pt AS (SELECT c.*, p.value, (p.x - cx) ** 2 + (p.y - cy) ** 2 AS r2, abs(p.x - cx) <= 1.5 AND abs(p.y - cy) <= 1.5 AS core FROM ca c JOIN pixels p USING (sequence_id, frame_index) WHERE abs(p.x - cx) <= 7 AND abs(p.y - cy) <= 7),
+    pt AS (SELECT c.*, p.value, p.x AS px, p.y AS py, (p.x - cx) ** 2 + (p.y - cy) ** 2 AS r2, abs(p.x - cx) <= 1.5 AND abs(p.y - cy) <= 1.5 AS core FROM ca c JOIN pixels p USING (sequence_id, frame_index) WHERE abs(p.x - cx) <= 7 AND abs(p.y - cy) <= 7),
     bg AS (SELECT sequence_id, frame_index, candidate_id, coalesce(median(value) FILTER (r2 >= 12.25 AND r2 <= 42.25), median(value)) AS b, count(*) FILTER (r2 >= 12.25 AND r2 <= 42.25) AS nr FROM pt GROUP BY ALL),
     ns AS (SELECT sequence_id, frame_index, candidate_id, any_value(b) AS b, greatest(1.4826 * coalesce(median(abs(value - b)) FILTER (r2 >= 12.25 AND r2 <= 42.25), median(abs(value - b))), {FLOOR}) AS noise
       FROM pt JOIN bg USING (sequence_id, frame_index, candidate_id) GROUP BY ALL),
@@ -171,7 +171,19 @@ def _(spark, d):
     return a.select("sequence_id", "frame_index", "candidate_id", *r6("aperture_snr_heuristic", "raw_peak_fraction", "local_noise_normalized", "local_contrast_normalized"), "component_aspect")
 
 
-@query("aperture_context")
+CONTEXT = APERTURE + """, sp AS (SELECT pt.sequence_id, pt.frame_index, candidate_id, px, py, value - b AS sig, noise, value - b > 2 * noise AND r2 <= 42.25 AS strong, core FROM pt JOIN ns USING (sequence_id, frame_index, candidate_id)),
+    sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id, frame_index, candidate_id ORDER BY sig DESC, py, px) AS rn FROM sp WHERE core) WHERE rn = 1 AND strong),
+    cc AS (SELECT sequence_id, frame_index, candidate_id, px, py, sig, noise FROM sd
+      UNION SELECT n.sequence_id, n.frame_index, n.candidate_id, n.px, n.py, n.sig, n.noise FROM cc c JOIN sp n ON n.sequence_id = c.sequence_id AND n.frame_index = c.frame_index AND n.candidate_id = c.candidate_id
+        AND n.strong AND n.px BETWEEN c.px - 1 AND c.px + 1 AND n.py BETWEEN c.py - 1 AND c.py + 1),
+    cm AS (SELECT sequence_id, frame_index, candidate_id, count(*) AS area, sum((sig - noise) * px) / sum(sig - noise) AS mx, sum((sig - noise) * py) / sum(sig - noise) AS my FROM cc GROUP BY ALL),
+    ck AS (SELECT sequence_id, frame_index, candidate_id, any_value(area) AS area, sum((sig - noise) * (px - mx) ** 2) / sum(sig - noise) AS vx, sum((sig - noise) * (py - my) ** 2) / sum(sig - noise) AS vy,
+      sum((sig - noise) * (px - mx) * (py - my)) / sum(sig - noise) AS vc FROM cc JOIN cm USING (sequence_id, frame_index, candidate_id) GROUP BY ALL)"""
+
+
+@query("aperture_context", v.sql("pixels", """
+    SELECT a.sequence_id, a.frame_index, a.candidate_id, coalesce(CAST(area AS DOUBLE), 0) AS context_area_px, round(coalesce(sqrt(((vx + vy) / 2 + sqrt(((vx - vy) / 2) ** 2 + vc ** 2) + 1 / 12.0::DOUBLE)
+      / ((vx + vy) / 2 - sqrt(((vx - vy) / 2) ** 2 + vc ** 2) + 1 / 12.0::DOUBLE)), 1), 6) AS context_elongation FROM ca a LEFT JOIN ck USING (sequence_id, frame_index, candidate_id)""", CONTEXT))
 def _(spark, d):
     a = p.aperture_features(centres(spark, d), v.pixels(spark, d))
     return a.select("sequence_id", "frame_index", "candidate_id", *r6("context_elongation", "context_area_px"))
