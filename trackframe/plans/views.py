@@ -222,7 +222,7 @@ def exact_pairs(edges: str, left: str, right: str, cost: str) -> str:
               UNION ALL SELECT sequence_id, frame_index, li, {left}, NULL, NULL FROM m_left) e
           ON e.sequence_id = s.sequence_id AND e.frame_index = s.frame_index AND e.li = l.li
         WHERE e.{right} IS NULL OR NOT list_contains(s.used, e.{right})),
-    m_best AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, frame_index ORDER BY k DESC, total) AS rn
+    m_best AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, frame_index ORDER BY k DESC, total, chosen, used) AS rn
         FROM m_try s WHERE li = (SELECT max(li) FROM m_left l WHERE l.sequence_id = s.sequence_id AND l.frame_index = s.frame_index)),
     pairs AS (SELECT b.sequence_id, b.frame_index, b.{left}, b.{right}, e.{cost} FROM (
             SELECT sequence_id, frame_index, unnest(chosen) AS {left}, unnest(used) AS {right} FROM m_best WHERE rn = 1) b
