@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -52,10 +52,6 @@ def all_of(conds) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
-def any_of(conds) -> Column:
-    return reduce(lambda a, b: a | b, conds, F.lit(False))
-
-
 def reason_array(pairs) -> Column:
     """Ordered array of the codes whose condition holds; pairs = [(cond, code)]."""
     return F.array_compact(F.array(*[F.when(c, F.lit(code)) for c, code in pairs]))
@@ -69,15 +65,6 @@ def reason_map(pairs) -> Column:
     return F.map_filter(F.create_map(*flat), lambda _k, v: v.isNotNull())
 
 
-def hash_fraction_bits(text) -> Column:
-    """First 32 bits of the SHA-256 of a text, as an unsigned number in a bigint."""
-    return F.conv(F.substring(F.sha2(col(text), 256), 1, 8), 16, 10).cast("bigint")
-
-
 def id_token(*parts) -> Column:
     """First 16 hex digits of sha256 over the parts joined by '/'."""
     return F.substring(F.sha2(F.concat_ws("/", *[col(p) for p in parts]), 256), 1, 16)
-
-
-def keyed(df: DataFrame, keys) -> list:
-    return [df[k] for k in keys]

@@ -6,7 +6,7 @@ still active, so its memory does not grow with the length of a sequence.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -15,7 +15,7 @@ from trackframe.functions.assignment import solve
 
 @dataclass(frozen=True)
 class TrackerConfig:
-    """Parameters of the tracker; defaults are the reference profile's values."""
+    """Parameters of the tracker with the contract's defaults."""
 
     config_id: str = "default"
     gate_distance_px: float = 20.0
@@ -23,9 +23,6 @@ class TrackerConfig:
     max_consecutive_misses: int = 2
     motion_aware: bool = True
 
-    def as_dict(self) -> dict:
-        return asdict(self)
-
 
 @dataclass
 class ActiveTrack:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.functions.columns import all_of, ratio
+from trackframe.functions.columns import all_of
 from trackframe.functions.stepper import TrackerConfig
 from trackframe.operators import evaluation as ev
 from trackframe.operators.matching import FRAME, frames_fit, match_points
