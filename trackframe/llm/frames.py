@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +67,18 @@ def in_bitmap(filter_words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (filter_words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+class Shared:
+    """A broadcast that carries the code of what it holds, as shipped functions do. Only for things of bounded size."""
+
+    def __init__(self, spark: SparkSession, value: Any) -> None:
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self) -> Any:
+        return cloudpickle.loads(self.bytes.value)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-__all__ = ["BITS", "SALTS", "bitmap", "cut_lineage", "held_out", "in_bitmap", "salted_join", "sample_share", "signed", "table"]
+__all__ = ["BITS", "SALTS", "Shared", "bitmap", "cut_lineage", "held_out", "in_bitmap", "salted_join", "sample_share", "signed", "table"]
