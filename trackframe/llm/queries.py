@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontaminate, language, mixing, quality_model, quality_rules, secrets, sqltwins, toxicity
+from trackframe.llm import decontaminate, extract, language, mixing, quality_model, quality_rules, secrets, sqltwins, toxicity
 from trackframe.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @op("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@op("op7_template_removal")
+def op7_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))

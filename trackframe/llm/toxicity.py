@@ -139,9 +139,9 @@ def _small_hash(word: str) -> int:
 
 
 def lexicon(terms: list[str], stems: list[str]) -> automaton.Automaton:
-    """Fixed and learned terms of five letters or more may be one edit off; shorter ones must match."""
-    every = sorted({*TERMS, *terms})
-    return automaton.build([w for w in every if len(w) >= 5], [w for w in every if len(w) < 5], stems)
+    """Fixed terms of five letters and learned ones of seven or more may be one edit off; others must match."""
+    near = {w for w in TERMS if len(w) >= 5} | {w for w in terms if len(w) >= 7}
+    return automaton.build(sorted(near), sorted({*TERMS, *terms} - near), stems)
 
 
 def quoted_ranges(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
