@@ -19,6 +19,7 @@ from trackframe.llm.frames import held_out
 from trackframe.llm.textbytes import slices, texts
 
 PROFILE = 400
+UNKNOWN = "und"
 #: training texts are a hash sample of about so many rows for each language
 SAMPLE = 3000
 SPREAD = 16
@@ -104,6 +105,25 @@ class Profiles:
         return np.where(known & (ranks >= 0), np.minimum(off, self.size), self.size).sum(axis=1)
 
 
+def predict(column: pa.Array, letters: Letters, known: Profiles, size: int = PROFILE) -> tuple[list[str], list[float], list[float]]:
+    """(language, score, margin) of each text of an Arrow column."""
+    pred, score, margin = [], [], []
+    for lo, hi in slices(column):
+        for text in column.slice(lo, hi - lo).to_pylist():
+            doc = ranked(gram_codes(text, letters), size)
+            if not len(doc) or not known.names:
+                pred.append(UNKNOWN)
+                score.append(0.0)
+                margin.append(0.0)
+                continue
+            share = known.distances(doc) / (len(doc) * size)
+            best = np.sort(share)[:2]
+            pred.append(known.names[int(np.argmin(share))])
+            score.append(float(1 - best[0]))
+            margin.append(float(best[-1] - best[0]) if len(best) > 1 else float(1 - best[0]))
+    return pred, score, margin
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, lang_pred, score, margin; one row for each row.
 
@@ -111,24 +131,25 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
     sorts first. `und`, 0 and 0 for a null text, a text without letters, or no profiles.
     """
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, known = Letters(), Profiles(profiles, size)
         for batch in batches:
-            column = texts(batch)
-            pred, score, margin = [], [], []
-            for lo, hi in slices(column):
-                for text in column.slice(lo, hi - lo).to_pylist():
-                    doc = ranked(gram_codes(text, letters), size)
-                    if not len(doc) or not known.names:
-                        pred.append("und"), score.append(0.0), margin.append(0.0)
-                        continue
-                    share = known.distances(doc) / (len(doc) * size)
-                    best = np.sort(share)[:2]
-                    pred.append(known.names[int(np.argmin(share))]), score.append(float(1 - best[0]))
-                    margin.append(float(best[-1] - best[0]) if len(best) > 1 else float(1 - best[0]))
+            pred, score, margin = predict(texts(batch), letters, known, size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double, margin double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double")
+
+
+def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
+    """The rows of docs, all columns, whose text gets a language; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, known = Letters(), Profiles(profiles, size)
+        for batch in batches:
+            pred, _, _ = predict(texts(batch), letters, known, size)
+            yield batch.filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language_of(docs: DataFrame) -> DataFrame:
