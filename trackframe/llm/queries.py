@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontaminate, extract, jaccard, language, mixing, quality_model, quality_rules, secrets, sqltwins, toxicity
+from trackframe.llm import decontaminate, extract, jaccard, language, mixing, quality_model, quality_rules, secrets, sqltwins, substrings, toxicity
 from trackframe.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op7_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @op("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+@op("op8_suffix_removal")
+def op8_suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(table(spark, sf_dir, "documents")).drop("kept")
