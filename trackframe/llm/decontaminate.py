@@ -68,7 +68,7 @@ class Seeds:
         powers = Powers()
         self.words, row = tokens(column, powers)
         n = len(ids)
-        self.ids = np.array(ids, np.int64)
+        self.ids = ids
         self.length = np.bincount(row, minlength=n)
         self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         # items too short for a mask are found by all their words at once
@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, matc
                                 if old is None or (got[0], got[1], -got[3]) > (old[0], old[1], -old[3]):
                                     best[lo + r, i] = got
                 keys = sorted(best)
-                cols = [pa.array([ids[r] for r, _ in keys], pa.int64()), pa.array([int(known.ids[i]) for _, i in keys], pa.int64())]
+                cols = [pa.array([ids[r] for r, _ in keys], pa.int64()), pa.array([known.ids[i] for _, i in keys], pa.int64())]
                 cols += [pa.array([best[k][j] for k in keys], pa.int32()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "overlap", "matched", "item_tokens", "doc_start"])
 
