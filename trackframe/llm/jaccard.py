@@ -23,7 +23,7 @@ from trackframe.llm.tsearch import connect, prefix_size
 
 SHINGLE = 3
 SIMILAR = (90, 100)
-RARE = 0.2
+RARE = 0.15
 BLOCK = 300
 
 
@@ -82,15 +82,45 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
     return docs.withColumn("h", F.xxhash64("doc_id")).select("doc_id", "text", "h").mapInArrow(run, "doc_id long, tokens array<long>")
 
 
+def prefix_left(similar: tuple[int, int]):
+    """How many tokens of a prefix are shared ones: its size less the posted tokens that only one set has."""
+    num, den = similar
+    prefix = (F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1).cast("int")
+    return prefix - (F.col("posted") - F.size("head"))
+
+
+def shared_heads(signed_docs: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """doc_id, n, s1, s2, posted, head: posted tokens that occur twice, of sets whose prefix holds any.
+
+    Tokens are counted in Spark; a bitmap of those counted twice thins the lists where they
+    are, so that only a small part of the postings is shuffled by document or joined.
+    """
+    counts = signed_docs.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= 2)
+    shared = Shared(signed_docs.sparkSession, bitmap(counts, "token"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.get()
+        for batch in batches:
+            lists = batch.column(4)
+            offsets = np.asarray(lists.offsets)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            keep = in_bitmap(known, values)
+            head = nested(values[keep], row[keep], len(batch), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(offsets).astype(np.int32)), head], ["doc_id", "n", "s1", "s2", "posted", "head"])
+
+    thin = signed_docs.where("n > 0").select("doc_id", "n", "s1", "s2", "head").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, posted int, head array<long>")
+    return thin.where(prefix_left(similar) > 0)
+
+
 def shared_prefixes(heads: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """doc_id, token: the tokens of each set's prefix, rarest first, that another set posted too."""
-    posted = heads.select("doc_id", "n", F.size("head").alias("posted"), F.explode("head").alias("token"))
+    posted = heads.select("doc_id", F.explode("head").alias("token"))
     counts = cut_lineage(posted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= 2))
-    own = posted.join(counts, "token").groupBy("doc_id", "n", "posted").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("common"))
-    num, den = similar
-    prefix = (F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1).cast("int")
-    left = prefix - (F.col("posted") - F.size("common"))
-    return own.where(left > 0).select("doc_id", F.explode(F.slice("common", F.lit(1), left)).alias("item")).select("doc_id", F.col("item")["token"].alias("token"))
+    own = posted.join(counts, "token").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("head"))
+    own = own.join(heads.select("doc_id", "n", "posted").distinct(), "doc_id")
+    left = prefix_left(similar)
+    return own.where(left > 0).select("doc_id", F.explode(F.slice("head", F.lit(1), left)).alias("item")).select("doc_id", F.col("item")["token"].alias("token"))
 
 
 def homes(prefixes: DataFrame) -> DataFrame:
@@ -173,7 +203,7 @@ def link(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILA
     signed_docs = cut_lineage(signatures(docs, size, similar))
     key = ["n", "s1", "s2"]
     classes = cut_lineage(signed_docs.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id")))
-    heads = signed_docs.join(classes, [*key, "doc_id"], "left_semi")
+    heads = cut_lineage(shared_heads(signed_docs, similar).join(classes, [*key, "doc_id"], "left_semi"))
     prefixes = cut_lineage(shared_prefixes(heads, similar))
     members = cut_lineage(homes(prefixes))
     wanted = bitmap(members.select(F.xxhash64("doc_id").alias("h")).distinct(), "h")
