@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import dets, truths
-from trackframe.functions.consensus import SMALL, consensus
 from trackframe.functions.ranks import exact_percentiles, global_rank
 from trackframe.operators import datasets as ds
 from trackframe.operators import evaluation as ev
@@ -65,15 +64,42 @@ def test_consensus_finds_the_shift(spark, n):
     assert {r.feature_ix for r in got if r.inlier} == set(range(n)) and refused.count() == 0
 
 
-def test_consensus_branches_agree():
-    rng = random.Random(2)
-    for n in (1, 2, 5, SMALL):
-        xs, ys = [rng.choice([rng.uniform(0, 2), 1.0]) for _ in range(n)], [rng.uniform(0, 2) for _ in range(n)]
-        small = consensus(xs, ys, 0.8)
-        from trackframe.functions.consensus import _wide
+CORR = "sequence_id string, frame_index int, feature_ix long, ref_x double, ref_y double, raw_x double, raw_y double"
+
+
+def plain_consensus(shifts, radius):
+    """Best shift of (feature, x, y) rows by looking at every proposal."""
+    near = lambda x, y: [s for s in shifts if math.sqrt((s[1] - x) ** 2 + (s[2] - y) ** 2) <= radius]
+    gaps = lambda f, x, y: [math.sqrt((s[1] - x) ** 2 + (s[2] - y) ** 2) for s in near(x, y)]
+    _, x, y = min(shifts, key=lambda s: (-len(near(*s[1:])), float(np.median(gaps(*s))), s[0]))
+    for _ in range(3):
+        kept = near(x, y)
+        x, y = float(np.median([s[1] for s in kept])), float(np.median([s[2] for s in kept]))
+    return x, y, {s[0] for s in near(x, y)}
 
-        wide = _wide(np.array(xs), np.array(ys), 0.8)
-        assert np.allclose(small[:2], wide[:2]) and small[2] == wide[2]
+
+def test_consensus_equals_every_proposal_tried(spark):
+    rng = random.Random(2)
+    rows = []
+    for f, n in enumerate((1, 2, 5, 24, 25, 60)):
+        rows += [("s", f, i, rng.choice([rng.uniform(0, 2), 1.0]), rng.uniform(-1, 1), 0.0, 0.0) for i in range(n)]
+    got = g.translation_consensus(spark.createDataFrame(rows, CORR), 0.8)[0].collect()
+    for f in range(6):
+        x, y, inliers = plain_consensus([(r[2], r[3], r[4]) for r in rows if r[1] == f], 0.8)
+        mine = [r for r in got if r.frame_index == f]
+        assert {(round(r.tx, 12), round(r.ty, 12)) for r in mine} == {(round(x, 12), round(y, 12))}
+        assert {r.feature_ix for r in mine if r.inlier} == inliers and len(mine) == sum(r[1] == f for r in rows)
+
+
+@pytest.mark.parametrize("n", [1300, 5000])
+def test_large_frames_are_fitted(spark, n):
+    rng = random.Random(n)
+    frames = spark.createDataFrame([("s", 0, 640, 480), ("s", 1, 640, 480)], "sequence_id string, frame_index int, width_px int, height_px int")
+    rows = [("s", 0, i, x, y, x - 1.0 + rng.gauss(0, 0.05), y + 2.0) for i in range(n) for x, y in [(rng.uniform(0, 640), rng.uniform(0, 480))]]
+    rows += [("s", 1, i, 1.0 * i, 2.0, float("nan") if i == 3 else 1.0 * i, 2.0) for i in range(40)]
+    by = {r.frame_index: r for r in g.registration_gates(spark.createDataFrame(rows, CORR), frames).collect()}
+    assert by[0].status == "estimated" and abs(by[0].tx - 1) < 0.01 and abs(by[0].ty + 2) < 1e-6
+    assert by[1].status == "failed" and list(by[1].reasons) == ["invalid_correspondences"]
 
 
 def test_failed_frame_blocks_its_sequence(spark):

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from trackframe.functions.columns import dist, ratio, reason_array
-from trackframe.functions.consensus import consensus
-from trackframe.functions.groups import map_key_groups
 
 FRAME = ["sequence_id", "frame_index"]
 
-# Most correspondences one frame may hold; a frame with more is reported, not fitted.
-MAX_CORRESPONDENCES = 1000
-
 # The acceptance limits of a registered frame.
 REGISTRATION = {
     "min_inliers": 12,
@@ -127,45 +123,46 @@ def orient_point(x, y, width, height, orientation) -> tuple[Column, Column]:
     return new_x, new_y
 
 
-SHIFT_SCHEMA = T.StructType(
-    [
-        T.StructField("sequence_id", T.StringType()),
-        T.StructField("frame_index", T.IntegerType()),
-        T.StructField("feature_ix", T.LongType()),
-        T.StructField("tx", T.DoubleType()),
-        T.StructField("ty", T.DoubleType()),
-        T.StructField("inlier", T.BooleanType()),
-    ]
-)
-
-
 def translation_consensus(correspondences: DataFrame, radius: float = 1.25) -> tuple[DataFrame, DataFrame]:
-    """(tx, ty) of every frame with an inlier flag per correspondence, and frames not fitted.
+    """(tx, ty) of every frame with an inlier flag per correspondence, and frames that cannot be fitted.
 
     Each correspondence proposes the shift ref - raw. Most support within `radius`
     wins, then the smallest median residual, then feature order; three rounds of
-    median refinement follow. A frame's proposals (at most 1000, checked) meet inside
-    their task instead of as pairs in a shuffle.
+    median refinement follow. Equal shifts of a frame are counted first; proposals meet
+    shifts on grid cells of one radius, and residuals are looked at for tied proposals
+    only. Any number of correspondences is fitted. A frame with a missing or infinite
+    coordinate comes out in the second table with its error.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
-    sizes = correspondences.groupBy(*FRAME).agg(
-        F.count("*").alias("n"),
-        F.bool_and(*[F.col("ref_x").isNotNull() & F.col("ref_y").isNotNull() & F.col("raw_x").isNotNull() & F.col("raw_y").isNotNull()]).alias("whole"),
-    )
-    refused = sizes.where((F.col("n") > MAX_CORRESPONDENCES) | ~F.col("whole")).select(
-        *FRAME, F.when(F.col("n") > MAX_CORRESPONDENCES, "too_many_correspondences").otherwise("invalid_correspondences").alias("error")
-    )
+    coordinates = [F.col(c).cast("double") for c in ("ref_x", "ref_y", "raw_x", "raw_y")]
+    broken = reduce(lambda a, c: a | c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), coordinates, F.lit(False))
+    refused = correspondences.where(broken).select(*FRAME).distinct().withColumn("error", F.lit("invalid_correspondences"))
     rows = correspondences.join(refused, FRAME, "left_anti").select(
         "sequence_id", F.col("frame_index").cast("int").alias("frame_index"), F.col("feature_ix").cast("long").alias("feature_ix"),
         (F.col("ref_x") - F.col("raw_x")).alias("sx"), (F.col("ref_y") - F.col("raw_y")).alias("sy"),
     )
-
-    def fit(key, cols):
-        tx, ty, flags = consensus(cols["sx"].tolist(), cols["sy"].tolist(), radius)
-        return [(key[0], int(key[1]), int(i), tx, ty, bool(k)) for i, k in zip(cols["feature_ix"], flags)]
-
-    return map_key_groups(rows, FRAME, ["feature_ix"], fit, SHIFT_SCHEMA), refused
+    shifts = rows.groupBy(*FRAME, "sx", "sy").agg(F.count("*").alias("n"), F.min("feature_ix").alias("first_ix"))
+    residual = dist("px", "py", "sx", "sy")
+    near = _meetings(shifts.select(*FRAME, F.col("sx").alias("px"), F.col("sy").alias("py"), "first_ix"), shifts, radius).where(residual <= radius)
+    support = near.groupBy(*FRAME, "px", "py", "first_ix").agg(F.sum("n").alias("support"))
+    tied = support.withColumn("most", F.max("support").over(W.partitionBy(*FRAME))).where("support = most").drop("support", "most")
+    middle = F.expr("percentile(residual, 0.5, n)")
+    spread = _meetings(tied, shifts, radius).withColumn("residual", residual).where(F.col("residual") <= radius).groupBy(*FRAME, "px", "py", "first_ix").agg(middle.alias("spread"))
+    shift = spread.groupBy(*FRAME).agg(F.min(F.struct("spread", "first_ix", "px", "py")).alias("best")).select(*FRAME, F.col("best.px").alias("tx"), F.col("best.py").alias("ty"))
+    for _ in range(3):
+        kept = shifts.join(shift, FRAME).where(dist("sx", "sy", "tx", "ty") <= radius)
+        shift = kept.groupBy(*FRAME).agg(F.expr("percentile(sx, 0.5, n)").alias("tx"), F.expr("percentile(sy, 0.5, n)").alias("ty"))
+    fitted = rows.join(shift, FRAME).withColumn("inlier", dist("sx", "sy", "tx", "ty") <= radius)
+    return fitted.select(*FRAME, "feature_ix", "tx", "ty", "inlier"), refused
+
+
+def _meetings(proposals: DataFrame, shifts: DataFrame, radius: float) -> DataFrame:
+    """Proposals (px, py) beside the shifts of their frame in the same or a neighbouring cell."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.array(*[F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    left = proposals.withColumn("cell", F.explode(around)).withColumns({"cx": F.col("cell.cx"), "cy": F.col("cell.cy")}).drop("cell")
+    return left.join(shifts.select(*FRAME, "sx", "sy", "n", cell("sx").alias("cx"), cell("sy").alias("cy")), [*FRAME, "cx", "cy"]).drop("cx", "cy")
 
 
 def registration_gates(
@@ -174,7 +171,7 @@ def registration_gates(
     """Acceptance of a frame's translation: one diagnostic row per frame.
 
     Every fifth original feature is reserved and never enters the fit. Reasons are
-    listed in order; a frame without reasons is 'estimated', else 'failed' with a NULL
+    listed in order (broken coordinates are a reason of their own); a frame without reasons is 'estimated', else 'failed' with a NULL
     transform. frames(sequence_id, frame_index, width_px, height_px).
     """
     c = correspondences.withColumn("reserved", F.pmod(F.col("feature_ix"), F.lit(5)) == 0)
@@ -182,7 +179,7 @@ def registration_gates(
         F.count("*").alias("matched_features"), F.count_if("reserved").alias("validation_matches"), F.count_if(~F.col("reserved")).alias("fit_matches")
     )
     enough = (F.col("fit_matches") >= limits["min_inliers"]) & (F.col("validation_matches") >= min_validation)
-    fitted, _ = translation_consensus(c.where("not reserved").join(counts.where(enough).select(*FRAME), FRAME, "left_semi"), limits["inlier_radius_px"])
+    fitted, refused = translation_consensus(c.where("not reserved").join(counts.where(enough).select(*FRAME), FRAME, "left_semi"), limits["inlier_radius_px"])
     shift = fitted.groupBy(*FRAME).agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"))
     residual = dist(F.col("raw_x") + F.col("tx"), F.col("raw_y") + F.col("ty"), "ref_x", "ref_y")
     r = c.join(shift, FRAME).withColumn("residual", residual).withColumn("inlier", F.col("residual") <= limits["inlier_radius_px"])
@@ -195,7 +192,7 @@ def registration_gates(
         F.sqrt(F.avg(F.when(F.col("inlier"), before))).alias("before_rmse_px"), span("ref_x").alias("span_x"), span("ref_y").alias("span_y"),
         F.first("tx").alias("tx"), F.first("ty").alias("ty"),
     )
-    g = frames.select(*FRAME, "width_px", "height_px").join(counts, FRAME, "left").join(stats, FRAME, "left").na.fill(0, ["matched_features", "validation_matches", "fit_matches"])
+    g = frames.select(*FRAME, "width_px", "height_px").join(counts, FRAME, "left").join(stats, FRAME, "left").join(refused, FRAME, "left").na.fill(0, ["matched_features", "validation_matches", "fit_matches"])
     g = g.withColumns(
         {
             "fit_inlier_ratio": ratio("fit_inliers", "fit_matches"), "validation_inlier_ratio": ratio("validation_inliers", "validation_matches"),
@@ -208,7 +205,8 @@ def registration_gates(
     tried = F.col("tx").isNotNull()
     reasons = reason_array(
         [
-            (~tried, "insufficient_verified_matches"),
+            (F.col("error").isNotNull(), "invalid_correspondences"),
+            (~tried & F.col("error").isNull(), "insufficient_verified_matches"),
             (tried & ((F.col("fit_inliers") < limits["min_inliers"]) | (F.col("fit_inlier_ratio") < limits["min_inlier_ratio"])), "weak_translation_consensus"),
             (
                 tried
@@ -227,4 +225,4 @@ def registration_gates(
     )
     g = g.withColumn("reasons", reasons).withColumn("status", F.when(F.size("reasons") == 0, "estimated").otherwise("failed"))
     ok = F.col("status") == "estimated"
-    return g.withColumns({"tx": F.when(ok, F.col("tx")), "ty": F.when(ok, F.col("ty"))}).drop("span_x", "span_y")
+    return g.withColumns({"tx": F.when(ok, F.col("tx")), "ty": F.when(ok, F.col("ty"))}).drop("span_x", "span_y", "error")
