@@ -34,19 +34,22 @@ def map_key_batches(df: DataFrame, keys: list[str], order: list[str], fn: Callab
     ordered = spread(df, keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        held: list[pd.DataFrame] = []  # the pieces of a group that may go on; each row is joined once
         for batch in batches:
             if not len(batch):
                 continue
-            if rest is not None:
-                batch = pd.concat([rest, batch], ignore_index=True)
             starts = group_starts(batch, keys)
+            goes_on = bool(held) and all(_same(held[-1][k].iloc[-1], batch[k].iloc[0]) for k in keys)
+            if len(starts) == 1 and (goes_on or not held):
+                held.append(batch)
+                continue
             cut = int(starts[-1])
-            rest = batch.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield fn(batch.iloc[:cut], starts[:-1])
-        if rest is not None:
-            yield fn(rest, np.array([0]))
+            whole = pd.concat([*held, batch.iloc[:cut]], ignore_index=True) if held else batch.iloc[:cut]
+            held = [batch.iloc[cut:]]
+            yield fn(whole, group_starts(whole, keys))
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield fn(whole, np.array([0]))
 
     return ordered.mapInPandas(run, schema)
 
@@ -67,6 +70,10 @@ def map_key_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callabl
     return map_key_batches(df, keys, order, each, schema)
 
 
+def _same(a, b) -> bool:
+    return a == b or a is None and b is None
+
+
 def group_starts(batch: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Row numbers at which a new key begins in a key-sorted batch."""
     change = np.zeros(len(batch), dtype=bool)
