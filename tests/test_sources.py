@@ -14,12 +14,12 @@ from trackframe.sources import sinks as sk
 
 def test_files_are_read_as_declared(spark, tmp_path):
     (tmp_path / "labels.json").write_text(json.dumps([{"sequence_id": "7", "frame": 1, "num_objects": 0, "object_coords": []}, {"sequence_id": "7", "frame": 2, "num_objects": 1, "object_coords": [[3.5, 4]]}]))
-    _, pts = rd.read_point_labels(spark, str(tmp_path / "labels.json"))
+    _, pts, _ = rd.read_point_labels(spark, str(tmp_path / "labels.json"))
     assert [(r.frame_index, r.num_objects, r.x, r.y) for r in pts.orderBy("frame").collect()] == [(0, 0, None, None), (1, 1, 3.5, 4.0)]
 
     seq = {"schema_version": "0.1.0", "sequence_id": "q", "source_type": "real", "profile": "spotgeo", "frames": [{"frame_index": i, "image_ref": f"i{i}", "width_px": 640, "height_px": 480, "timestamp_s": None} for i in range(3)]}
     (tmp_path / "seq.json").write_text(json.dumps(seq))
-    _, frames = rd.read_sequences(spark, str(tmp_path / "seq.json"))
+    _, frames, _ = rd.read_sequences(spark, str(tmp_path / "seq.json"))
     assert [(r.position, r.image_ref, r.timestamp_s) for r in frames.orderBy("position").collect()] == [(i, f"i{i}", None) for i in range(3)]
 
     for s, n in (("train/10", 5), ("train/9", 2), ("test/1", 1)):
@@ -27,7 +27,12 @@ def test_files_are_read_as_declared(spark, tmp_path):
         for i in range(1, n + 1):
             (tmp_path / "img" / s / f"{i}.png").write_bytes(f"{s}{i}".encode())
     (tmp_path / "img/train/9/note.png").write_bytes(b"x")
-    listing = rd.read_frame_listing(spark, str(tmp_path / "img"), "train").orderBy("sequence_number", "frame").collect()
+    (tmp_path / "img/train/007").mkdir()
+    (tmp_path / "img/train/007/1.png").write_bytes(b"x")
+    frames, rejected = rd.read_frame_listing(spark, str(tmp_path / "img"), "train")
+    listing = frames.orderBy("sequence_number", "frame").collect()
+    assert sorted(r.reason for r in rejected.collect()) == ["sequence is not a canonical number", "unsupported frame name"]
+    assert [tuple(r) for r in rd.incomplete_folders(frames).collect()] == [("train", "9", [3, 4, 5])]
     assert [(r.sequence_id, r.frame) for r in listing] == [("9", 1), ("9", 2)] + [("10", i) for i in range(1, 6)]
     files = rd.hash_files(spark, str(tmp_path / "img/test/1")).collect()
     assert [(r.name, r.sha256) for r in files] == [("test/1/1.png", hashlib.sha256(b"test/11").hexdigest())]
@@ -61,10 +66,17 @@ def test_exports_round_trip_and_refuse_to_overwrite(spark, sf, tmp_path):
     p = v.points(spark, sf)
     fits = tr.fit_velocity(p)
     d = v.detections(spark, sf).withColumnsRenamed({"x": "x_raw_px", "y": "y_raw_px"})
-    nested = sk.nest_results(v.frames(spark, sf).select("sequence_id").distinct(), d, v.tracks(spark, sf), p, fits, tr.extrapolate(fits))
+    seq = v.frames(spark, sf).select("sequence_id").distinct().unionByName(spark.createDataFrame([("lost",), ("nowhere",)], "sequence_id string"))
+    outcomes = seq.where("sequence_id <> 'nowhere'").select("sequence_id", F.when(F.col("sequence_id") == "lost", "invalid_input").otherwise("succeeded").alias("status"), F.lit(None).cast("string").alias("detail"))
+    evidence = d.withColumn("evidence_statistics", F.create_map(F.lit("snr"), F.col("quality_score")))
+    nested = sk.nest_results(seq, outcomes, evidence, v.tracks(spark, sf), p, fits, tr.extrapolate(fits))
     out = str(tmp_path / "json")
     sk.write_results_json(nested, out)
-    back = rd.result_tables(rd.read_json(spark, out, __import__("trackframe.schemas", fromlist=["RESULT"]).RESULT, multiline=False))
+    back = rd.read_results(spark, out)
+    assert back["rejected"].count() == 0 and back["sequences"].count() == seq.count()
+    assert {r.sequence_id: r.status for r in back["sequences"].collect() if r.status != "succeeded"} == {"lost": "invalid_input", "nowhere": "uncertain_observation"}
+    assert back["detections"].where("evidence_statistics['snr'] is null").count() == 0
+    assert spark.read.text(out).where("value like '%\"lost\"%' and value like '%\"detections\":[],\"tracks\":[]%'").count() == 1
     assert back["points"].count() == p.count() and back["detections"].count() == d.count()
     assert back["tracks"].select("sequence_id", "track_id", "status").exceptAll(v.tracks(spark, sf).select("sequence_id", "track_id", "status")).count() == 0
     rows = sk.track_point_rows(p, tr.extrapolate(fits))
@@ -76,6 +88,15 @@ def test_exports_round_trip_and_refuse_to_overwrite(spark, sf, tmp_path):
             again()
 
 
+def test_broken_documents_come_back_as_rows(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"sequence_id": "a", "frames": [{"frame_index": 0}]}\n{"sequence_id": "b", "frames": [{"frame_in\n{"frames": []}\n')
+    sequences, frames, rejected = rd.read_sequences(spark, str(tmp_path / "m.json"))
+    assert [r.sequence_id for r in sequences.collect()] == ["a"] and frames.count() == 1
+    assert sorted(r.reason for r in rejected.collect()) == ["not a document of the declared form", "sequence_id is missing"]
+    (tmp_path / "one.json").write_text('{\n "sequence_id": "a",\n "frames": [{"frame_index": 0}]\n}')
+    assert rd.read_sequences(spark, str(tmp_path / "one.json"), multiline=True)[1].count() == 1
+
+
 def test_manifest_digest_ignores_order_and_sees_changes(spark):
     m = spark.createDataFrame([(f"f{i}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(200)], "name string, sha256 string")
     a = rd.manifest_digest(m).first()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackframe import schemas as s
+from trackframe.functions.lineage import ensure_checkpoint_dir
 from trackframe.operators import trajectory as r
 from trackframe.plans import views as v
 from trackframe.plans.registry import query
@@ -40,7 +43,17 @@ def _(spark, d):
 def _(spark, d):
     x = v.read(spark, d, "lineitem")
     path = F.concat(F.lit("/data/raw/"), F.when(F.col("l_returnflag") == "N", "test").otherwise("train"), F.lit("/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit(".png"))
-    return rd.parse_frame_paths(x.select(path.alias("path"))).select("split", "sequence_id", "frame", "sequence_number")
+    return rd.parse_frame_paths(x.select(path.alias("path")))[0].select("split", "sequence_id", "frame", "sequence_number")
+
+
+@query("rejected_frame_names", v.sql("", """
+    SELECT '/data/raw/train/' || lpad(CAST(l_orderkey AS VARCHAR), 7, '0') || '/' || l_linenumber || '.png' AS path,
+      CASE WHEN l_orderkey < 1000000 THEN 'sequence is not a canonical number' ELSE 'unsupported frame name' END AS reason
+    FROM lineitem WHERE l_orderkey < 1000000 OR l_linenumber > 5"""))
+def _(spark, d):
+    x = v.read(spark, d, "lineitem")
+    path = F.concat(F.lit("/data/raw/train/"), F.lpad(F.col("l_orderkey").cast("string"), 7, "0"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit(".png"))
+    return rd.parse_frame_paths(x.select(path.alias("path")))[1]
 
 
 @query("read_point_labels", v.sql("detections frames", """
@@ -95,7 +108,38 @@ def nested(spark, d):
     p = v.points(spark, d)
     fits = r.fit_velocity(p)
     det = v.detections(spark, d).withColumnsRenamed({"x": "x_raw_px", "y": "y_raw_px"})
-    return sk.nest_results(v.frames(spark, d).select("sequence_id").distinct(), det, v.tracks(spark, d), p, fits, r.extrapolate(fits))
+    seq = v.frames(spark, d).select("sequence_id").distinct()
+    return sk.nest_results(seq, outcomes(seq, lambda i: F.lit(True)), det, v.tracks(spark, d), p, fits, r.extrapolate(fits))
+
+
+def outcomes(sequences, fine):
+    """Outcome rows by a rule on the number in the sequence's name; others have failed registration."""
+    ok = fine(F.substring("sequence_id", 2, 20).cast("long"))
+    return sequences.select("sequence_id", F.when(ok, "succeeded").otherwise("registration_failed").alias("status"), F.when(~ok, "weak_translation_consensus").alias("detail"))
+
+
+@query("results_round_trip", v.sql("detections tracks points frames", """
+    SELECT f.sequence_id, CASE WHEN ok THEN 'succeeded' ELSE 'registration_failed' END AS status, CASE WHEN NOT ok THEN 'weak_translation_consensus' END AS detail,
+      CASE WHEN ok THEN coalesce(d.n, 0) ELSE 0 END AS detections, round(CASE WHEN ok THEN coalesce(d.s, 0) ELSE 0 END, 4) AS x_sum, CASE WHEN ok THEN coalesce(t.n, 0) ELSE 0 END AS tracks,
+      CASE WHEN ok THEN coalesce(p.n, 0) ELSE 0 END AS points, CASE WHEN ok THEN coalesce(c.n, 0) ELSE 0 END AS predictions, 'synthetic' AS source_type
+    FROM (SELECT DISTINCT sequence_id, CAST(substr(sequence_id, 2) AS BIGINT) % 3 <> 0 AS ok FROM frames) f
+    LEFT JOIN (SELECT sequence_id, count(*) AS n, sum(x) AS s FROM detections GROUP BY 1) d USING (sequence_id) LEFT JOIN (SELECT sequence_id, count(*) AS n FROM tracks GROUP BY 1) t USING (sequence_id)
+    LEFT JOIN (SELECT sequence_id, count(*) AS n FROM points GROUP BY 1) p USING (sequence_id) LEFT JOIN (SELECT sequence_id, count(*) AS n FROM forecast GROUP BY 1) c USING (sequence_id)""",
+    fit_cte("frame_index") + "," + FORECAST))
+def _(spark, d):
+    # Written by the sink below the session's checkpoint folder, read back by the reader, counted per sequence.
+    p = v.points(spark, d)
+    fits = r.fit_velocity(p)
+    det = v.detections(spark, d).withColumnsRenamed({"x": "x_raw_px", "y": "y_raw_px"})
+    seq = v.frames(spark, d).select("sequence_id").distinct().withColumn("source_type", F.lit("synthetic"))
+    out = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    sk.write_results_json(sk.nest_results(seq, outcomes(seq, lambda i: i % 3 != 0), det, v.tracks(spark, d), p, fits, r.extrapolate(fits)), out)
+    back = rd.read_results(spark, out)
+    rows = back["sequences"].select("sequence_id", "status", "detail", "source_type")
+    for name in ("detections", "tracks", "points", "predictions"):
+        more = [F.sum("x_raw_px").alias("x_sum")] if name == "detections" else []
+        rows = rows.join(back[name].groupBy("sequence_id").agg(F.count("*").alias(name), *more), "sequence_id", "left")
+    return rows.na.fill(0, ["detections", "tracks", "points", "predictions", "x_sum"]).withColumn("x_sum", F.round("x_sum", 4))
 
 
 def reread(spark, d):

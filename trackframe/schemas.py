@@ -37,7 +37,7 @@ TRACK_STRUCT = (
     f"points:array<{POINT_STRUCT}>,observed_count:int,quality_score:double,warnings:array<string>,trajectory:{TRAJECTORY_STRUCT}>"
 )
 RESULT = (
-    "schema_version string, job_id string, sequence_id string, source_type string, profile string, status string, time_basis string, "
+    "schema_version string, job_id string, sequence_id string, source_type string, profile string, status string, detail string, time_basis string, "
     "coordinate_frame string, registration struct<status:string,warnings:array<string>>, "
     f"detections array<{DETECTION_STRUCT}>, tracks array<{TRACK_STRUCT}>, runtime_ms double, warnings array<string>, "
     "provenance struct<input_sha256:string,config_sha256:string,code_commit:string,dataset_version:string>"

@@ -13,12 +13,26 @@ from trackframe import schemas as s
 from trackframe.functions.columns import all_of, finite
 
 
-def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = True) -> DataFrame:
-    """JSON with a declared schema; unparsable records keep their text in `_corrupt`."""
+def read_json(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+    """JSON with a declared schema; unparsable records keep their text in `_corrupt`.
+
+    One document a line by default, so files are split. `multiline=True` is for files
+    of a single document (or one array) spread over lines: each such file is one task.
+    """
     full = s.ddl(schema + ", _corrupt string")
     return spark.read.schema(full).option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def split_rejected(raw: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(good documents, rejected ones with sequence_id, record and reason); no document is lost."""
+    reason = F.when(F.col("_corrupt").isNotNull(), "not a document of the declared form")
+    for c in required:
+        reason = reason.when(F.col(c).isNull(), f"{c} is missing")
+    judged = raw.withColumn("reason", reason)
+    record = F.coalesce("_corrupt", F.to_json(F.struct(*[c for c in raw.columns if c != "_corrupt"]))).alias("record")
+    return judged.where("reason is null").drop("_corrupt", "reason"), judged.where("reason is not null").select("sequence_id", record, "reason")
+
+
 def unknown_fields(raw: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Rows of JSON text whose top level has a key outside `allowed` (strict schema)."""
     keys = F.json_object_keys(column)
@@ -31,28 +45,40 @@ def sequence_frames(sequences: DataFrame) -> DataFrame:
     return sequences.select("sequence_id", F.posexplode("frames").alias("position", "f")).select("sequence_id", "position", "f.*")
 
 
-def read_sequences(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sequences, frames) from sequence manifests."""
-    raw = read_json(spark, path, s.SEQUENCE)
-    return raw.drop("frames"), sequence_frames(raw)
+def read_sequences(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sequences, frames, rejected documents) from sequence manifests."""
+    good, rejected = split_rejected(read_json(spark, path, s.SEQUENCE, multiline), ["sequence_id", "frames"])
+    return good.drop("frames"), sequence_frames(good), rejected
+
 
+def parse_frame_paths(files: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(frames, rejected paths with reason) of …/split/<sequence>/<1..5>.png.
 
-def parse_frame_paths(files: DataFrame, path: str = "path") -> DataFrame:
-    """(split, sequence_id, frame) from …/split/<sequence>/<1..5>.png; others are left out."""
-    pattern = r"([^/]+)/([0-9]+)/([1-5])\.png$"
-    part = lambda i: F.regexp_extract(path, pattern, i)
-    return (
-        files.where(F.col(path).rlike(pattern))
-        .select(part(1).alias("split"), part(2).alias("sequence_id"), part(3).cast("int").alias("frame"), F.col(path).alias("path"),
-                *[c for c in files.columns if c != path])
-        .withColumn("sequence_number", F.col("sequence_id").cast("bigint"))
+    A sequence number is written without leading zeros; any other name is rejected.
+    """
+    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)$", i)
+    reason = (
+        F.when(~F.col(path).rlike(r"[^/]+/[^/]+/[^/]+$"), "not split/sequence/frame").when(~part(2).rlike(r"^(0|[1-9][0-9]*)$"), "sequence is not a canonical number")
+        .when(~part(3).rlike(r"^[1-5]\.png$"), "unsupported frame name")
+    )
+    judged = files.withColumn("reason", reason)
+    frames = judged.where("reason is null").select(
+        part(1).alias("split"), part(2).alias("sequence_id"), F.substring(part(3), 1, 1).cast("int").alias("frame"), F.col(path).alias("path"),
+        *[c for c in files.columns if c != path],
     )
+    return frames.withColumn("sequence_number", F.col("sequence_id").cast("bigint")), judged.where("reason is not null").select(F.col(path).alias("path"), "reason")
+
+
+def incomplete_folders(frames: DataFrame, expected: int = 5) -> DataFrame:
+    """Sequences that lack some of their frames, with the numbers that are missing."""
+    seen = frames.groupBy("split", "sequence_id").agg(F.collect_set("frame").alias("seen"))
+    missing = F.array_except(F.sequence(F.lit(1), F.lit(expected)), "seen")
+    return seen.where(F.size(missing) > 0).select("split", "sequence_id", F.array_sort(missing).alias("missing"))
 
 
-def read_frame_listing(spark: SparkSession, root: str, split: str | None = None) -> DataFrame:
-    """Frame files below root, by name only: file contents are never opened."""
-    glob = f"{root}/{split or '*'}/*/*.png"
-    files = spark.read.format("binaryFile").load(glob).select("path", "length")
+def read_frame_listing(spark: SparkSession, root: str, split: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frame files, rejected names) below root, by name only: file contents are never opened."""
+    files = spark.read.format("binaryFile").load(f"{root}/{split or '*'}/*/*").select("path", "length")
     return parse_frame_paths(files)
 
 
@@ -63,10 +89,10 @@ def label_points(records: DataFrame) -> DataFrame:
     )
 
 
-def read_point_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(label records, exploded points) from a JSON array file."""
-    raw = read_json(spark, path, s.POINT_LABEL)
-    return raw, label_points(raw)
+def read_point_labels(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(label records, exploded points, rejected records) from lines of JSON records or arrays of them."""
+    good, rejected = split_rejected(read_json(spark, path, s.POINT_LABEL, multiline), ["sequence_id", "frame"])
+    return good, label_points(good), rejected
 
 
 def parse_box_lines(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -135,8 +161,10 @@ def result_tables(results: DataFrame) -> dict[str, DataFrame]:
     return {"detections": dets, "tracks": tracks, "points": points, "trajectories": fits, "predictions": ahead}
 
 
-def read_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return result_tables(read_json(spark, path, s.RESULT))
+def read_results(spark: SparkSession, path: str, multiline: bool = False) -> dict[str, DataFrame]:
+    """The tables of `result_tables`, the outcome and envelope per sequence, and rejected documents."""
+    good, rejected = split_rejected(read_json(spark, path, s.RESULT, multiline), ["sequence_id", "status"])
+    return {**result_tables(good), "sequences": good.drop("detections", "tracks"), "rejected": rejected}
 
 
 def rendered_truth_points(rendered: DataFrame, space: str = "raw") -> DataFrame:
@@ -149,8 +177,10 @@ def rendered_truth_points(rendered: DataFrame, space: str = "raw") -> DataFrame:
     )
 
 
-def read_rendered_truth(spark: SparkSession, path: str, space: str = "raw") -> DataFrame:
-    return rendered_truth_points(read_json(spark, path, s.RENDERED_TRUTH), space)
+def read_rendered_truth(spark: SparkSession, path: str, space: str = "raw", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(truth points, rejected documents)."""
+    good, rejected = split_rejected(read_json(spark, path, s.RENDERED_TRUTH, multiline), ["sequence_id", "frames"])
+    return rendered_truth_points(good, space), rejected
 
 
 def hash_files(spark: SparkSession, path: str) -> DataFrame:
