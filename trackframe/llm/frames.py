@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ def sample_share(rows: DataFrame, bound: int, key: Column) -> DataFrame:
 
 
 BITS = 26
+#: words of a bitmap travel to the driver in pages of 2**PAGE
+PAGE = 10
 
 
 def bitmap(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
@@ -56,10 +60,22 @@ def bitmap(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
         values.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), F.pow(F.lit(2.0), at.bitwiseAND(F.lit(31))).cast("long").alias("low"), (at.bitwiseAND(F.lit(63)) >= 32).alias("high"))
         .groupBy("word").agg(F.bit_or(F.when(~F.col("high"), F.col("low")).otherwise(0)).alias("low"), F.bit_or(F.when(F.col("high"), F.col("low")).otherwise(0)).alias("high"))
     )
-    found = words.toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["low"].to_numpy(np.uint64) | (found["high"].to_numpy(np.uint64) << np.uint64(32))
-    return out
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, low, high = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            value = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+            for page in np.unique(word >> PAGE).tolist():
+                own = word >> PAGE == page
+                pages.setdefault(page, np.zeros(1 << PAGE, np.uint64))[word[own] & ((1 << PAGE) - 1)] = value[own]
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([p.tobytes() for p in pages.values()], pa.binary())], ["page", "bits"])
+
+    packed = words.repartition(16, F.shiftright("word", PAGE)).mapInArrow(pack, "page int, bits binary")
+    out = np.zeros(max(1 << (bits - 6), 1 << PAGE), np.uint64)
+    for row in packed.collect():
+        out[row["page"] << PAGE : (row["page"] + 1) << PAGE] = np.frombuffer(row["bits"], np.uint64)
+    return out[: 1 << (bits - 6)]
 
 
 def in_bitmap(filter_words: np.ndarray, values: np.ndarray) -> np.ndarray:
