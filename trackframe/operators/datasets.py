@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trackframe.functions.lineage import cut_lineage
 from trackframe.functions.ranks import bucket_rank
 
+# Hex digits of the digest that order a split.
+SPLIT_DIGITS = 8
 # Which split keeps an image when two splits hold it.
 PRIORITY = {"train": 0, "validation": 1, "test": 2}
 
 
-def hash_order(ids: DataFrame, column: str, salt: Column | str) -> DataFrame:
-    """Distinct ids with `rank` = 1, 2, … by SHA-256 of salt + id, ties by id.
+def hash_order(ids: DataFrame, column: str, salt: Column | str, digits: int = 64) -> DataFrame:
+    """Distinct ids with `rank` = 1, 2, … by the first `digits` hex digits of SHA-256 of salt + id, ties by id.
 
     A uniform hash splits into 4096 prefix buckets; a rank is the size of the earlier
     buckets plus the place in one's own, so no task ever orders all ids.
@@ -23,7 +28,7 @@ def hash_order(ids: DataFrame, column: str, salt: Column | str) -> DataFrame:
     salt = F.lit(salt) if isinstance(salt, str) else salt
     text = F.concat(salt, F.col(column))
     d = ids.select(column).distinct().withColumn("_h", F.sha2(text, 256)).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_g", F.lit(1))
-    return bucket_rank(d, ["_g"], "_b", [F.substring("_h", 1, 8), column]).select(column, "_h", "rank")
+    return bucket_rank(d, ["_g"], "_b", [F.substring("_h", 1, digits), column]).select(column, "_h", "rank")
 
 
 def hash_split(ids: DataFrame, column: str = "sequence_id", dev: float = 0.6, val: float = 0.2, test: float = 0.2, seed: int = 26) -> DataFrame:
@@ -33,7 +38,7 @@ def hash_split(ids: DataFrame, column: str = "sequence_id", dev: float = 0.6, va
     """
     if abs(dev + val + test - 1.0) > 1e-5:
         raise ValueError("split ratios must sum to 1")
-    ranked = hash_order(ids, column, f"{seed}:")
+    ranked = hash_order(ids, column, f"{seed}:", SPLIT_DIGITS)
     n = F.col("n")
     total = ranked.agg(F.count("*").alias("n"))
     cuts = total.withColumn("v", F.bround(n * val).cast("long")).withColumn("d", F.bround(n * dev).cast("long"))
@@ -93,46 +98,62 @@ def split_overlap_guard(manifest: DataFrame, digest: str = "sha256", group: str
 def median_signature(df: DataFrame, descriptor: str = "descriptor") -> DataFrame:
     """64-bit signature: bit i says that element i lies above the descriptor's median.
 
-    Descriptors may hold up to 64 numbers.
+    A descriptor of more than 64 numbers has no such signature and stops the job.
     """
     a = F.col(descriptor)
     s = F.sort_array(a)
-    n = F.size(a)
+    n = F.when(F.size(a) <= 64, F.size(a)).otherwise(F.raise_error(F.lit("a descriptor holds more than 64 numbers")).cast("int"))
     mid = (F.element_at(s, ((n + 1) / 2).cast("int")).cast("double") + F.element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2
     d = df.withColumn("_mid", mid)
     pairs = F.transform(a, lambda x, i: F.when(x > F.col("_mid"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return d.withColumn("signature", F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))).drop("_mid")
 
 
-def near_signatures(signed: DataFrame, max_hamming: int = 6, extra_bands: int = 2) -> DataFrame:
+def agreeing_bands(signatures: int, max_hamming: int) -> int:
+    """How many bands a key should hold, so that keys are about as wide as the logarithm of the number of signatures.
+
+    With b = max_hamming + e bands, e of them have 64 * e / b bits.
+    """
+    e = 1
+    while e < 8 and 64 * e / (max_hamming + e) < math.log2(max(signatures, 2)):
+        e += 1
+    return e
+
+
+def near_signatures(signed: DataFrame, max_hamming: int = 6, extra_bands: int | None = None) -> DataFrame:
     """(signature, other): every ordered pair of occurring signatures within the limit,
     each signature with itself included.
 
     Of max_hamming + extra_bands bit bands at least `extra_bands` agree on any such
-    pair; joining on every choice of that many bands finds all of them with keys wide
-    enough to stay selective. Only distinct signatures meet, so copies cost nothing.
+    pair, so joining on every choice of that many bands finds all of them. The number is
+    chosen from the count of distinct signatures: keys widen as they grow, and the
+    candidates of one signature stay few. A pair is kept at its first agreeing choice
+    only; nothing has to be made distinct afterwards.
     """
-    from itertools import combinations
-
-    bands = max_hamming + extra_bands
-    if not 0 <= max_hamming <= 60 or bands > 64:
-        raise ValueError("max_hamming + extra_bands must not exceed 64 bits")
+    if not 0 <= max_hamming <= 56:
+        raise ValueError("max_hamming must leave room for bands in 64 bits")
+    distinct = cut_lineage(signed.select("signature").distinct())
+    extra = extra_bands or agreeing_bands(distinct.count(), max_hamming)
+    bands = max_hamming + extra
     edges = [round(64 * b / bands) for b in range(bands + 1)]
-    masks = []
-    for chosen in combinations(range(bands), extra_bands):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in chosen)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    choice = F.array(*[F.lit(m).cast("long") for m in masks])
-    keyed = signed.select("signature").distinct().select("signature", F.posexplode(choice).alias("band", "mask")).select(
-        "signature", "band", F.col("signature").bitwiseAND(F.col("mask")).alias("key")
+    as_long = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    band = [as_long(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b]) for b in range(bands)]
+    choices = []
+    for chosen in combinations(range(bands), extra):
+        skipped = [b for b in range(chosen[-1]) if b not in chosen]
+        mask = as_long(sum(band[b] & ((1 << 64) - 1) for b in chosen))
+        choices.append(F.struct(F.lit(mask).cast("long").alias("mask"), F.array(*[F.lit(band[b]).cast("long") for b in skipped]).cast("array<long>").alias("skipped")))
+    keyed = distinct.select("signature", F.posexplode(F.array(*choices)).alias("choice", "c")).select(
+        "signature", "choice", F.col("signature").bitwiseAND(F.col("c.mask")).alias("key"), F.col("c.skipped").alias("skipped")
     )
-    other = keyed.select(F.col("signature").alias("other"), "band", "key")
-    near = F.bit_count(F.col("signature").bitwiseXOR(F.col("other"))) <= max_hamming
-    return keyed.join(other, ["band", "key"]).where(near).select("signature", "other").distinct()
+    other = keyed.select(F.col("signature").alias("other"), "choice", "key")
+    differing = F.col("signature").bitwiseXOR(F.col("other"))
+    first = F.forall("skipped", lambda m: differing.bitwiseAND(m) != 0)
+    return keyed.join(other, ["choice", "key"]).where((F.bit_count(differing) <= max_hamming) & first).select("signature", "other")
 
 
 def near_duplicates(
-    items: DataFrame, max_hamming: int = 6, name: str = "name", split: str = "split", descriptor: str = "descriptor", extra_bands: int = 2
+    items: DataFrame, max_hamming: int = 6, name: str = "name", split: str = "split", descriptor: str = "descriptor", extra_bands: int | None = None
 ) -> DataFrame:
     """Report of near pairs between distinct descriptors of different splits.
 
@@ -165,7 +186,7 @@ def near_duplicates(
     )
 
 
-def near_leaks(items: DataFrame, max_hamming: int = 6, name: str = "name", descriptor: str = "descriptor", extra_bands: int = 2) -> DataFrame:
+def near_leaks(items: DataFrame, max_hamming: int = 6, name: str = "name", descriptor: str = "descriptor", extra_bands: int | None = None) -> DataFrame:
     """Names that have a near partner in a higher-priority split: (name, reason).
 
     The same files as "of every near pair drop the lower-priority one", decided per

@@ -33,7 +33,7 @@ def _(spark, d):
 
 @query("salted_order_groups", v.sql("", """
     SELECT sequence_id, CASE WHEN rk <= 40 THEN 'train' ELSE 'validation' END AS "group" FROM (
-      SELECT c.sequence_id, row_number() OVER (ORDER BY substr(sha256('assess-v1:' || c.sequence_id), 1, 8), c.sequence_id) AS rk
+      SELECT c.sequence_id, row_number() OVER (ORDER BY sha256('assess-v1:' || c.sequence_id), c.sequence_id) AS rk
       FROM cust c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE CAST(s.s_suppkey AS VARCHAR) = c.sequence_id)) WHERE rk <= 60""", CUST))
 def _(spark, d):
     known = v.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("sequence_id"))
@@ -60,19 +60,26 @@ def _(spark, d):
 
 
 def described(spark, d):
-    e = v.read(spark, d, "embeddings")
-    split = F.when(F.col("label") < 6, "train").when(F.col("label") < 8, "validation").otherwise("test")
-    return e.select(F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 7, "0")).alias("name"), split.alias("split"), F.col("embedding").alias("descriptor"))
-
-
-NEAR_LIMIT = 18
-
-NEAR = f"""ds AS (SELECT 'v' || lpad(CAST(vec_id AS VARCHAR), 7, '0') AS name, CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'validation' ELSE 'test' END AS split, embedding AS e,
-      list_sort([CAST(x AS DOUBLE) FOR x IN embedding]) AS s FROM embeddings),
-    sg AS (SELECT *, [CASE WHEN x > (s[32] + s[33]) / 2 THEN 1 ELSE 0 END FOR x IN e] AS bits FROM ds),
+    """Documents by 64 numbers: how many of their words fall into each of 64 digest classes. Copies and near copies come close."""
+    docs = v.read(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0)).alias("words"))
+    cell = F.floor(F.conv(F.substring(F.md5("word"), 1, 2), 16, 10).cast("int") / 4).cast("int")
+    counts = docs.select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", cell.alias("cell")).agg(F.count("*").alias("n"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
+    m = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"))
+    split = F.when(F.col("doc_id") % 10 < 6, "train").when(F.col("doc_id") % 10 < 8, "validation").otherwise("test")
+    return m.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), split.alias("split"), filled.alias("descriptor"))
+
+
+NEAR_LIMIT = 6
+
+NEAR = """wd AS (SELECT doc_id, CAST(floor(CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) / 4) AS INTEGER) AS cell FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n]+')) AS w FROM documents)),
+    hs AS (SELECT doc_id, map_from_entries(list((cell, n))) AS m FROM (SELECT doc_id, cell, count(*) AS n FROM wd GROUP BY ALL) GROUP BY 1),
+    ds AS (SELECT 'doc-' || doc_id AS name, CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split,
+      [CAST(coalesce(m[i], 0) AS DOUBLE) FOR i IN range(0, 64)] AS e FROM hs),
+    sg AS (SELECT name, split, e, list_sum([CASE WHEN e[i + 1] > (s[32] + s[33]) / 2 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END FOR i IN range(0, 64)])::UBIGINT AS bits FROM (SELECT *, list_sort(e) AS s FROM ds)),
     gr AS (SELECT split, bits, e, count(*) AS files, min(name) AS first_name FROM sg GROUP BY ALL),
     nr AS (SELECT a.first_name AS "left", a.split AS left_split, a.files AS left_files, b.first_name AS "right", b.split AS right_split, b.files AS right_files,
-      CAST(list_sum([CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS INTEGER) AS hamming, a.e AS ae, b.e AS be
+      CAST(bit_count(xor(a.bits, b.bits)) AS INTEGER) AS hamming, a.e AS ae, b.e AS be
       FROM gr a JOIN gr b ON a.split <> b.split AND a.first_name < b.first_name)"""
 
 
@@ -81,10 +88,11 @@ def _(spark, d):
     return ds.near_duplicates(described(spark, d), NEAR_LIMIT).drop("correlation")
 
 
-@query("near_leaks", v.sql("", f"""
-    SELECT a.name, 'cross_split_near' AS reason FROM (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS p FROM sg) a WHERE EXISTS (
-      SELECT 1 FROM (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS p FROM sg) b WHERE b.p > a.p
-        AND list_sum([CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= {NEAR_LIMIT})""", NEAR))
+LEAKS = NEAR + f""", lp AS (SELECT name, bits, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS p FROM sg),
+    lk AS (SELECT name, 'cross_split_near' AS reason FROM lp a WHERE EXISTS (SELECT 1 FROM lp b WHERE b.p > a.p AND bit_count(xor(a.bits, b.bits)) <= {NEAR_LIMIT}))"""
+
+
+@query("near_leaks", v.sql("", "SELECT name, reason FROM lk", LEAKS))
 def _(spark, d):
     return ds.near_leaks(described(spark, d), NEAR_LIMIT)
 
@@ -97,31 +105,24 @@ def _(spark, d):
 
 
 def records(spark, d):
-    """Document manifest as image records: split by language, exact groups by text hash."""
-    m = v.manifest(spark, d)
-    split = F.when(F.col("split") == "en", "train").when(F.col("split") == "de", "validation").otherwise("test")
-    return m.withColumn("split", split)
+    """Document manifest as image records: split by id as the descriptors are, exact groups by text hash."""
+    number = F.substring("name", 5, 20).cast("long") % 10
+    return v.manifest(spark, d).withColumn("split", F.when(number < 6, "train").when(number < 8, "validation").otherwise("test"))
 
 
-RECORDS = """rec AS (SELECT name, source, sha256, size, CASE split WHEN 'en' THEN 'train' WHEN 'de' THEN 'validation' ELSE 'test' END AS split FROM manifest),
-    pr AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS p FROM rec),
-    np AS (SELECT 'doc-' || a.doc_id AS l, 'doc-' || b.doc_id AS r FROM documents a JOIN documents b ON a.n_chars = b.n_chars AND a.source = b.source AND a.doc_id < b.doc_id AND a.lang <> b.lang)"""
+RECORDS = LEAKS + """, pr AS (SELECT name, sha256, size, CASE WHEN CAST(substr(name, 5) AS BIGINT) % 10 < 6 THEN 0 WHEN CAST(substr(name, 5) AS BIGINT) % 10 < 8 THEN 1 ELSE 2 END AS p FROM manifest)"""
 
 
 @query("leakage_filter", v.sql("manifest", """
     SELECT name, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM (
-      SELECT CASE WHEN b.p < a.p THEN b.name ELSE a.name END AS name, 'cross_split_near' AS reason FROM np JOIN pr a ON a.name = l JOIN pr b ON b.name = r
+      SELECT name, reason FROM lk
       UNION ALL SELECT name, 'sha256' FROM (SELECT name, row_number() OVER (PARTITION BY sha256 ORDER BY p DESC, name) AS rn FROM pr) WHERE rn > 1
       UNION ALL SELECT name, 'invalid_image_or_label: too_short' FROM pr WHERE size < 20) GROUP BY name""", RECORDS))
 def _(spark, d):
-    docs = v.read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    a, b = docs.alias("a"), docs.alias("b")
-    # Same length and source but another language: a cheap stand-in for near pairs.
-    near = a.join(b, (F.col("a.n_chars") == F.col("b.n_chars")) & (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.lang") != F.col("b.lang")))
-    near = near.select(F.concat(F.lit("doc-"), F.col("a.doc_id").cast("string")).alias("left"), F.concat(F.lit("doc-"), F.col("b.doc_id").cast("string")).alias("right"))
     r = records(spark, d)
     errors = r.where("size < 20").select("name", F.lit("too_short").alias("error"))
-    return ds.leakage_filter(r, near, errors=errors)[1].withColumn("reasons", F.array_join("reasons", ","))
+    leaks = ds.near_leaks(described(spark, d), NEAR_LIMIT)
+    return ds.leakage_filter(r, errors=errors, leaks=leaks)[1].withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("missing_and_orphans", v.sql("", """
