@@ -205,12 +205,12 @@ def tag_matches(
 
 
 def iou(a: str, b: str) -> Column:
-    """Intersection over union of two box structs with exclusive upper bounds."""
+    """Intersection over union of two box structs with exclusive upper bounds; NULL, so no match, for two boxes without area."""
     f = lambda s, n: F.col(f"{s}.{n}")
     w = F.greatest(F.least(f(a, "x1"), f(b, "x1")) - F.greatest(f(a, "x0"), f(b, "x0")), F.lit(0.0))
     h = F.greatest(F.least(f(a, "y1"), f(b, "y1")) - F.greatest(f(a, "y0"), f(b, "y0")), F.lit(0.0))
     area = lambda s: (f(s, "x1") - f(s, "x0")) * (f(s, "y1") - f(s, "y0"))
-    return w * h / (area(a) + area(b) - w * h)
+    return F.try_divide(w * h, area(a) + area(b) - w * h)
 
 
 def overlapping_boxes(

@@ -232,11 +232,20 @@ def check_sequences(frames: DataFrame, sequences: DataFrame | None = None) -> Da
     return v
 
 
-def check_payload(detections: DataFrame, frames: DataFrame, x: str = "x_raw_px", y: str = "y_raw_px", box: str = "box") -> DataFrame:
+# What a hand-over says about itself.
+PAYLOAD = {"schema_version": "0.1.0", "coordinate_system": "raw_top_left_xy_px_integer_centers", "score_type": "uncalibrated_heuristic", "tracking_performed": False}
+
+
+def check_payload(
+    detections: DataFrame, frames: DataFrame, x: str = "x_raw_px", y: str = "y_raw_px", box: str = "box",
+    payload_frames: DataFrame | None = None, metadata: DataFrame | None = None, expected: dict = PAYLOAD,
+) -> DataFrame:
     """Hand-over rules as violations (sequence_id, frame_index, ref, rule).
 
     Every detection lies in a declared frame and inside the native image, ids are
-    unique per sequence, and no reference coordinates exist yet.
+    unique per sequence, and no reference coordinates exist yet. payload_frames are the
+    frames the payload lists, empty ones too: a declared frame that is not among them
+    is named. metadata(sequence_id, …) must hold the values of `expected`.
     """
     key = ["sequence_id", "frame_index"]
     j = detections.join(frames.select(*key, "width_px", "height_px"), key, "left")
@@ -250,7 +259,16 @@ def check_payload(detections: DataFrame, frames: DataFrame, x: str = "x_raw_px",
         rules["not_registered"] = F.col("x_reference_px").isNull() & F.col("y_reference_px").isNull()
     v = apply_rules(j, rules, [*key, "detection_id"]).violations
     copies = detections.groupBy("sequence_id", "detection_id").agg(F.count("*").alias("n"), F.min("frame_index").alias("frame_index")).where("n > 1")
-    return v.unionByName(copies.select(*key, "detection_id", F.lit("unique_id").alias("rule"))).withColumnRenamed("detection_id", "ref")
+    v = v.unionByName(copies.select(*key, "detection_id", F.lit("unique_id").alias("rule")))
+    none = F.lit(None).cast("string").alias("detection_id")
+    if payload_frames is not None:
+        lost = frames.select(*key).join(payload_frames.select(*key), key, "left_anti")
+        v = v.unionByName(lost.select(*key, none, F.lit("frame_missing").alias("rule")))
+    if metadata is not None:
+        wrong = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.lit(value)), F.lit(c)) for c, value in expected.items()]))
+        bad = metadata.select("sequence_id", F.explode(wrong).alias("rule"))
+        v = v.unionByName(bad.select("sequence_id", F.lit(None).cast(v.schema["frame_index"].dataType).alias("frame_index"), none, "rule"))
+    return v.withColumnRenamed("detection_id", "ref")
 
 
 def check_point_labels(records: DataFrame, width: int = 640, height: int = 480, complete: bool = True) -> DataFrame:

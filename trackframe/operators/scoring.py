@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.functions.columns import all_of, finite
+from trackframe.functions.lineage import cut_lineage
 from trackframe.operators.matching import FRAME, match_points, score_band
 
 # The scorer's feature names, in model order, and its version.
@@ -73,9 +74,11 @@ def fit_logistic(rows: DataFrame, label: str = "label", max_iter: int = 200) ->
 
     Spark's L2 term is regParam / 2, so the regParam is 0.02.
     """
-    if rows.select(label).distinct().limit(3).count() != 2:
+    rows = cut_lineage(rows)
+    seen = rows.agg(F.count_distinct(label).alias("classes"), F.max(F.size("features")).alias("n")).first()
+    if seen["classes"] != 2:
         raise ValueError("both classes are required")
-    n = rows.select(F.size("features")).first()[0]
+    n = seen["n"]
     moments = feature_moments(rows, n)
     z = standardize(rows, moments).select(array_to_vector("features").alias("features"), F.col(label).cast("double").alias("label"))
     lr = LogisticRegression(regParam=0.02, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-10)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackframe.functions.columns import all_of
 from trackframe.functions.stepper import TrackerConfig
+from trackframe.functions.lineage import cut_lineage
 from trackframe.operators import evaluation as ev
 from trackframe.operators.matching import FRAME, frames_fit, match_points
 from trackframe.operators.tracking import accepted_observations, points_of, track_sequences, tracks_of
@@ -52,7 +53,7 @@ def tracking_sweep(
     """
     key = ["config_id", *FRAME]
     by_seq = ["config_id", "sequence_id"]
-    steps = track_sequences(detections, frames, configs, space, **options).persist()
+    steps = cut_lineage(track_sequences(detections, frames, configs, space, **options))
     points, tracks = points_of(steps), tracks_of(steps)
     limits = {c.config_id: c.confirmation_observations for c in configs}
     confirm = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("config_id")]

@@ -49,33 +49,38 @@ def _(spark, d):
     return p.robust_sigma(v.pixels(spark, d)).select("sequence_id", "frame_index", *r6("frame_median", "sigma"))
 
 
-# The view's frames are 16 x 12, so the size rule names every one of them.
-SUIT = STATS + "," + SIGMA + """, su AS (SELECT st.*, concat_ws(',', CASE WHEN least(w, h) < 32 THEN 'dimensions_too_small' END, CASE WHEN sat > 0.8 THEN 'severe_clipping' END,
+# The view's frames are 16 x 12; in two of three sequences their pixels are set 40 apart, as a sparse sample of a real frame.
+SUIT = "px AS (SELECT * REPLACE (x * k AS x, y * k AS y) FROM (SELECT *, CASE WHEN CAST(substr(sequence_id, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE 40 END AS k FROM pixels))," + STATS.replace("FROM pixels", "FROM px") + "," + SIGMA + """, su AS (SELECT *, CASE WHEN least(w, h) < 32 OR sat > 0.8 OR (q10 > 0.4 AND median > 0.6 AND q90 > 0.7 AND bright > 0.8) THEN 'unsupported' WHEN codes <> '' THEN 'uncertain' ELSE 'supported' END AS status FROM (
+      SELECT st.*, concat_ws(',', CASE WHEN least(w, h) < 32 THEN 'dimensions_too_small' END, CASE WHEN sat > 0.8 THEN 'severe_clipping' END,
       CASE WHEN q10 > 0.4 AND median > 0.6 AND q90 > 0.7 AND bright > 0.8 THEN 'broad_bright_field' END, CASE WHEN n < 20 THEN 'low_feature_evidence' END,
-      CASE WHEN sigma / 4 > 0.08 THEN 'excessive_noise' END, CASE WHEN n >= 20 AND sat < 0.008 THEN 'possible_blur' END) AS codes
-      FROM st JOIN sg USING (sequence_id, frame_index))"""
+      CASE WHEN sigma / 4 > 0.08 THEN 'excessive_noise' END, CASE WHEN n >= 20 AND sat < 0.008 AND frame_index % 2 = 0 THEN 'possible_blur' END) AS codes
+      FROM st JOIN sg USING (sequence_id, frame_index)))"""
 
 
 def suitability(spark, d):
     px = v.pixels(spark, d)
-    s = p.frame_stats(px)
+    k = F.when(F.substring("sequence_id", 2, 20).cast("long") % 3 == 0, 1).otherwise(40)
+    s = p.frame_stats(px.withColumns({"x": F.col("x") * k, "y": F.col("y") * k}))
     noise = p.robust_sigma(px).select("sequence_id", "frame_index", (F.col("sigma") / 4).alias("noise"))
-    # Pixel counts and saturation stand in for the kernel metrics of a real frame.
-    m = s.select("sequence_id", "frame_index", (F.col("n_pixels") * 8 / 20).alias("features"), F.col("upper_saturation_fraction").alias("sharpness"))
+    # Pixel counts and saturation stand in for the kernel metrics of a real frame; every other frame counts as sharp.
+    sharp = F.when(F.col("frame_index") % 2 == 0, F.col("upper_saturation_fraction")).otherwise(1.0)
+    m = s.select("sequence_id", "frame_index", (F.col("n_pixels") * 8 / 20).alias("features"), sharp.alias("sharpness"))
     return p.frame_suitability(s, m.join(noise, ["sequence_id", "frame_index"]))
 
 
-@query("frame_suitability", v.sql("pixels", "SELECT sequence_id, frame_index, codes AS reason_codes, 'unsupported' AS status FROM su", SUIT))
+@query("frame_suitability", v.sql("pixels", "SELECT sequence_id, frame_index, codes AS reason_codes, status FROM su", SUIT))
 def _(spark, d):
     return suitability(spark, d).select("sequence_id", "frame_index", F.array_join("reason_codes", ",").alias("reason_codes"), "status")
 
 
 @query("sequence_suitability", v.sql("pixels", """
-    SELECT sequence_id, CASE WHEN n <> 7 THEN 'sequence_length' ELSE concat_ws(',', codes, CASE WHEN sizes <> 1 THEN 'inconsistent_dimensions' END,
-      CASE WHEN spread > 0.25 THEN 'background_inconsistency' END) END AS reason_codes, 'unsupported' AS status, false AS inference_allowed FROM (
-      SELECT sequence_id, count(*) AS n, count(DISTINCT w || 'x' || h) AS sizes, max(median) - min(median) AS spread FROM su GROUP BY 1) a JOIN (
+    SELECT sequence_id, reason_codes, status, status = 'supported' AS inference_allowed FROM (SELECT sequence_id, reason_codes,
+      CASE WHEN n <> 7 OR hard OR sizes <> 1 THEN 'unsupported' WHEN reason_codes <> '' THEN 'uncertain' ELSE 'supported' END AS status FROM (
+      SELECT sequence_id, n, hard, sizes, CASE WHEN n <> 7 THEN 'sequence_length' ELSE concat_ws(',', nullif(codes, ''), CASE WHEN sizes <> 1 THEN 'inconsistent_dimensions' END,
+      CASE WHEN spread > 0.25 THEN 'background_inconsistency' END) END AS reason_codes FROM (
+      SELECT sequence_id, count(*) AS n, bool_or(status = 'unsupported') AS hard, count(DISTINCT w || 'x' || h) AS sizes, max(median) - min(median) AS spread FROM su GROUP BY 1) a LEFT JOIN (
       SELECT sequence_id, string_agg(c, ',' ORDER BY first_at) AS codes FROM (SELECT sequence_id, c, min(frame_index * 100 + i) AS first_at FROM (
-        SELECT sequence_id, frame_index, unnest(string_split(codes, ',')) AS c, unnest(range(1, len(string_split(codes, ',')) + 1)) AS i FROM su) GROUP BY ALL) GROUP BY 1) b USING (sequence_id)""", SUIT))
+        SELECT sequence_id, frame_index, unnest(string_split(codes, ',')) AS c, unnest(range(1, len(string_split(codes, ',')) + 1)) AS i FROM su WHERE codes <> '') GROUP BY ALL) GROUP BY 1) b USING (sequence_id)))""", SUIT))
 def _(spark, d):
     s = p.sequence_suitability(suitability(spark, d), 7)
     return s.withColumn("reason_codes", F.array_join("reason_codes", ","))
@@ -232,10 +237,16 @@ def scored_boxes(spark, d):
     SELECT sequence_id, frame_index, 'sy' || substr(sha256(sequence_id || '/streak-experimental'), 1, 16) || '-f' || frame_index || '-c' || (rn - 1) AS detection_id,
       round((x0 + x1) / 2, 6) AS x_raw_px, round((y0 + y1) / 2, 6) AS y_raw_px, round(score, 6) AS quality_score FROM br WHERE rn <= 3""", BOX_ROWS))
 def _(spark, d):
-    dets, _ = p.boxes_to_detections(scored_boxes(spark, d), v.frames(spark, d), max_candidates=3)
+    dets, _, _ = p.boxes_to_detections(scored_boxes(spark, d), v.frames(spark, d), 3)
     return dets.select("sequence_id", "frame_index", "detection_id", *r6("x_raw_px", "y_raw_px", "quality_score"))
 
 
 @query("rejected_boxes", v.sql("detections", "SELECT reason, count(*) AS boxes FROM bj WHERE reason IS NOT NULL GROUP BY 1", BOX_ROWS))
 def _(spark, d):
-    return p.boxes_to_detections(scored_boxes(spark, d), v.frames(spark, d))[1].groupBy("reason").agg(F.count("*").alias("boxes"))
+    return p.boxes_to_detections(scored_boxes(spark, d), v.frames(spark, d), 3)[1].groupBy("reason").agg(F.count("*").alias("boxes"))
+
+
+@query("box_cap_warnings", v.sql("detections", """
+    SELECT sequence_id, frame_index, max(rn) AS proposals, max(rn) || ' proposals exceed cap 3; strongest retained' AS warning FROM br GROUP BY ALL HAVING max(rn) > 3""", BOX_ROWS))
+def _(spark, d):
+    return p.boxes_to_detections(scored_boxes(spark, d), v.frames(spark, d), 3)[2]

@@ -103,14 +103,18 @@ def _(spark, d):
     return q.check_sequences(f)
 
 
-@query("check_payload", v.sql("contract_detections", """
+@query("check_payload", v.sql("contract_detections frames", """
     SELECT sequence_id, frame_index, detection_id AS ref, 'frame_declared' AS rule FROM contract_detections WHERE frame_index >= 28
     UNION ALL SELECT sequence_id, frame_index, detection_id, 'inside_image' FROM contract_detections WHERE frame_index < 28
       AND NOT (x0 >= 0 AND x1 <= 512 AND y0 >= 0 AND y1 <= 96 AND x0 <= x_raw_px AND x_raw_px < x1 AND y0 <= y_raw_px AND y_raw_px < y1)
-    UNION ALL SELECT sequence_id, frame_index, detection_id, 'not_registered' FROM contract_detections WHERE x_reference_px IS NOT NULL OR y_reference_px IS NOT NULL"""))
+    UNION ALL SELECT sequence_id, frame_index, detection_id, 'not_registered' FROM contract_detections WHERE x_reference_px IS NOT NULL OR y_reference_px IS NOT NULL
+    UNION ALL SELECT sequence_id, frame_index, NULL, 'frame_missing' FROM frames WHERE frame_index < 28 AND (sequence_id, frame_index) NOT IN (SELECT (sequence_id, frame_index) FROM contract_detections)
+    UNION ALL SELECT DISTINCT sequence_id, NULL::BIGINT, NULL, 'tracking_performed' FROM frames WHERE CAST(substr(sequence_id, 2) AS BIGINT) % 2 = 1"""))
 def _(spark, d):
     f = v.frames(spark, d).where("frame_index < 28").withColumn("height_px", F.lit(96))
-    return q.check_payload(v.contract_detections(spark, d), f)
+    meta = f.select("sequence_id").distinct().select("sequence_id", *[F.lit(x).alias(c) for c, x in q.PAYLOAD.items() if c != "tracking_performed"], (F.substring("sequence_id", 2, 20).cast("long") % 2 == 1).alias("tracking_performed"))
+    det = v.contract_detections(spark, d)
+    return q.check_payload(det, f, payload_frames=det, metadata=meta)
 
 
 @query("check_point_labels", v.sql("detections", """

@@ -30,7 +30,9 @@ def _(spark, d):
 
 @query("tracks_registered")
 def _(spark, d):
-    det = v.contract_detections(spark, d).where("x_reference_px is not null")
+    # One frame without a transform blocks its whole sequence.
+    det = v.contract_detections(spark, d)
+    det = det.join(det.where("x_reference_px is null").select("sequence_id").distinct(), "sequence_id", "left_anti")
     return t.tracks_of(t.track_sequences(det, v.frames(spark, d), space="reference")).groupBy("sequence_id", "status").agg(F.count("*").alias("tracks"))
 
 
