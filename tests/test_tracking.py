@@ -152,6 +152,29 @@ def test_single_pass_rounds_and_stream_agree(spark, sf, tmp_path):
     assert sorted((r.sequence_id, r.track_no, r.s.status, r.s.observed_count) for r in last.collect()) == sorted(map(tuple, final.collect()))
 
 
+@pytest.mark.parametrize("batches", [1, 10])
+def test_stream_equals_batch_however_it_is_split(spark, sf, batches):
+    from trackframe.plans.sources import staged
+
+    d = views.detections(spark, sf).withColumnsRenamed({"x": "x_raw_px", "y": "y_raw_px"})
+    want = tracking.track_sequences(d).select("sequence_id", "track_no", "frame_index", "detection_id")
+    out = stream.run_available(stream.track_stream(staged(spark, sf, batches)))
+    assert out.where("event = 'late'").isEmpty()
+    got = out.where("event = 'observed'").select("sequence_id", "track_no", "frame_index", "detection_id")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+
+
+def test_watermark_closes_frames(spark, tmp_path):
+    rows = [("s", f, f"d{f}{k}", 1.0 * k * 50, 0.0, 0.5, 86400 + 60 * f) for f in range(5) for k in range(2)]
+    make = lambda part: spark.createDataFrame(part, "sequence_id string, frame_index int, detection_id string, x double, y double, quality_score double, at int").withColumn("at", F.timestamp_seconds("at"))
+    for n, part in enumerate((rows[:3] + rows[5:6], rows[3:5] + rows[6:], [("t", 0, "x", 0.0, 0.0, 0.5, 90000)], [("t", 1, "y", 0.0, 0.0, 0.5, 90060)])):
+        make(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(make(rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = stream.run_available(stream.track_stream(src, time="at", delay="5 minutes"), folder=str(tmp_path / "out"))
+    got = sorted((r.frame_index, r.detection_id) for r in out.where("event = 'observed' and sequence_id = 's'").collect())
+    assert got == [(r[1], r[2]) for r in rows] and out.where("event = 'late'").isEmpty()
+
+
 def test_result_does_not_depend_on_partitions(spark, sf):
     d = views.detections(spark, sf).withColumnsRenamed({"x": "x_raw_px", "y": "y_raw_px"})
     a = tracking.track_sequences(d, sequences_are_small=True).drop("timestamp_s")

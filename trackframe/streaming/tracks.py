@@ -30,66 +30,101 @@ OUTPUT = T.StructType(
     ]
 )
 # Keyed list state needs the state store that ships with Spark for it.
+STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 TRACK_STATE = "track_no long, misses int, count int, quality double, f1 int, x1 double, y1 double, f0 int, x0 double, y0 double"
-BUFFER_STATE = "frame int, detection_id string, x double, y double, quality double"
+BUFFER_STATE = "frame int, detection_id string, x double, y double, quality double, at_ms long"
 META_STATE = "next_no long, last_frame int, closed int"
 
 
 class FrameTracker(StatefulProcessor):
     """Buffers detections until their frame is closed, then steps frame by frame.
 
-    State per sequence: active tracks (ended ones are emitted and forgotten), the
-    buffered rows of open frames, and three numbers. Rows for a frame that is already
-    processed go out as 'late' and never enter a track.
+    A frame is closed by a marker (`closes`) or, with event times, by the watermark: a
+    timer at the frame's own time wakes the sequence even if no further row comes. State
+    per sequence: active tracks (ended ones are emitted and forgotten), the buffered rows
+    of open frames, and three numbers; an end marker drops all of it. Rows for a frame
+    that is already processed go out as 'late' and never enter a track.
     """
 
-    def __init__(self, config: TrackerConfig):
-        self.config = config
+    def __init__(self, config: TrackerConfig, timed: bool = False):
+        self.config, self.timed = config, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.tracks = handle.getListState("tracks", TRACK_STATE)
         self.buffer = handle.getListState("buffer", BUFFER_STATE)
         self.meta = handle.getValueState("meta", META_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        meta = self.meta.get() if self.meta.exists() else (1, None, None)
-        next_no, last, closed = meta[0], meta[1], meta[2]
+        next_no, last, closed = self._numbers()
         waiting = [tuple(r) for r in self.buffer.get()]
-        out = []
+        late, timers, over = [], set(), False
         for block in rows:
-            for fi, did, x, y, q, closes in zip(*[block[c].tolist() for c in ("frame_index", "detection_id", "x", "y", "quality_score", "closes")]):
-                fi = None if fi is None or fi != fi else int(fi)
+            for fi, did, x, y, q, closes, ends, at in zip(*[block[c].tolist() for c in ("frame_index", "detection_id", "x", "y", "quality_score", "closes", "ends", "at_ms")]):
+                over |= ends is True
                 if closes is not None and closes == closes:
                     closed = int(closes) if closed is None else max(closed, int(closes))
                 if did is None or did != did:
                     continue
-                if last is not None and fi <= last:
-                    out.append((key[0], fi, "late", None, did, x, y, None, None, q, None))
+                if last is not None and int(fi) <= last:
+                    late.append((key[0], int(fi), "late", None, did, x, y, None, None, q, None))
                 else:
-                    waiting.append((fi, did, x, y, q))
+                    waiting.append((int(fi), did, x, y, q, None if at is None or at != at else int(at)))
+                    timers.add(waiting[-1][5])
+        if late:
+            yield _rows(late)
+        if self.timed:
+            closed = self._passed(waiting, closed, timerValues)
+            for at in sorted(t for t in timers if t is not None and t > timerValues.getCurrentWatermarkInMs()):
+                self.handle.registerTimer(at)
+        if over and waiting:
+            closed = max([w[0] for w in waiting] + ([closed] if closed is not None else []))
+        yield from self._advance(key[0], waiting, next_no, last, closed, over)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        next_no, last, closed = self._numbers()
+        waiting = [tuple(r) for r in self.buffer.get()]
+        yield from self._advance(key[0], waiting, next_no, last, self._passed(waiting, closed, timerValues), False)
+
+    def _numbers(self) -> tuple:
+        found = self.meta.get() if self.meta.exists() else (1, None, None)
+        whole = lambda v: None if v is None or v != v else int(v)
+        return int(found[0]), whole(found[1]), whole(found[2])
+
+    def _passed(self, waiting: list, closed: int | None, timerValues) -> int | None:
+        """The last frame whose rows all lie behind the watermark."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        whole = lambda v: v is not None and v == v
+        done = [w[0] for w in waiting if whole(w[5]) and int(w[5]) <= mark]
+        return max([*done, *([closed] if closed is not None else [])], default=None)
+
+    def _advance(self, seq, waiting: list, next_no: int, last: int | None, closed: int | None, over: bool) -> Iterator[pd.DataFrame]:
+        """Step through the closed frames, a table of rows each, and put the state back."""
         if closed is not None and (last is None or closed > last):
             stepper = SequenceStepper(self.config, next_no)
             for no, misses, count, quality, f1, x1, y1, f0, x0, y0 in (tuple(r) for r in self.tracks.get()):
                 before = None if f0 is None or f0 != f0 else (int(f0), x0, y0)
                 stepper.active.append(ActiveTrack(int(no), int(misses), int(count), quality, (int(f1), x1, y1), before))
-            ready = sorted(r for r in waiting if r[0] <= closed)
-            waiting = [r for r in waiting if r[0] > closed]
             by_frame: dict = {}
-            for fi, did, x, y, q in ready:
-                by_frame.setdefault(fi, []).append((did, x, y, q, did))
+            for fi, did, x, y, q, _ in sorted((r for r in waiting if r[0] <= closed), key=lambda r: (r[0], r[1])):
+                by_frame.setdefault(int(fi), []).append((did, x, y, q, did))
+            waiting = [r for r in waiting if r[0] > closed]
             start = last + 1 if last is not None else (min(by_frame) if by_frame else closed + 1)
             for fi in range(start, closed + 1):
                 if stepper.active or fi in by_frame:
-                    out += self._frame(key[0], stepper, fi, by_frame.get(fi, []))
+                    yield _rows(self._frame(seq, stepper, fi, by_frame.get(fi, [])))
             if by_frame or last is not None:
                 last = closed
             next_no = stepper.next_no
             _keep(self.tracks, [(t.track_no, t.misses, t.count, t.quality_sum, *t.last, *(t.before or (None, None, None))) for t in stepper.active])
+        if over:
+            for state in (self.tracks, self.buffer, self.meta):
+                state.clear()
+            return
         _keep(self.buffer, waiting)
         self.meta.update((next_no, last, closed))
-        yield pd.DataFrame(out, columns=OUTPUT.names).astype({"track_no": "Int64", "observed_count": "Int32", "misses": "Int32", "frame_index": "Int32"})
 
     def _frame(self, seq, stepper: SequenceStepper, frame: int, dets: list) -> list:
         """Snapshot rows of every active track after this frame, plus ended ones."""
@@ -109,6 +144,10 @@ class FrameTracker(StatefulProcessor):
         pass
 
 
+def _rows(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=OUTPUT.names).astype({"track_no": "Int64", "observed_count": "Int32", "misses": "Int32", "frame_index": "Int32"})
+
+
 def _keep(state, rows: list) -> None:
     """Replace a list state; an empty one is cleared, the store refuses empty lists."""
     if rows:
@@ -117,17 +156,25 @@ def _keep(state, rows: list) -> None:
         state.clear()
 
 
-def track_stream(rows: DataFrame, config: TrackerConfig = TrackerConfig()) -> DataFrame:
+def track_stream(rows: DataFrame, config: TrackerConfig = TrackerConfig(), time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Snapshot of all tracks after each closed frame, as an append stream.
 
-    rows(sequence_id, frame_index, detection_id, x, y, quality_score, closes): `closes`
-    says that frames up to this number are complete for the sequence; a row with a
-    NULL detection_id is only such a marker, so that empty frames advance misses too.
+    rows(sequence_id, frame_index, detection_id, x, y, quality_score, and optionally closes,
+    ends, and the event time named by `time`). `closes` says that frames up to this number
+    are complete for the sequence; `ends` that nothing more comes, which closes the last
+    frame and drops the sequence's state; a row with a NULL detection_id is only such a
+    marker, so that empty frames advance misses too. With `time`, a frame is also closed
+    once the watermark (`delay` behind the latest event) has passed it. The same rows give
+    the same tracks however they are split into files and micro-batches, as long as no row
+    comes after its frame was closed. The session needs the state store named in ROCKSDB
+    (`run_available` sees to it).
     """
-    cols = ["sequence_id", "frame_index", "detection_id", "x", "y", "quality_score", "closes"]
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.select(*cols).groupBy("sequence_id").transformWithStateInPandas(
-        statefulProcessor=FrameTracker(config), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+    given = lambda c, t: F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c)
+    at = F.unix_millis(F.col(time)) if time else F.lit(None).cast("long")
+    rows = rows.withWatermark(time, delay) if time else rows
+    cols = ["sequence_id", "frame_index", "detection_id", "x", "y", "quality_score", given("closes", "int"), given("ends", "boolean"), at.alias("at_ms")]
+    return rows.select(*cols, *([time] if time else [])).groupBy("sequence_id").transformWithStateInPandas(
+        statefulProcessor=FrameTracker(config, bool(time)), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if time else "None"
     )
 
 
@@ -140,18 +187,24 @@ def frame_counts_stream(rows: DataFrame, time: str = "event_time", width: str =
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append", partitions: list[str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now and return its rows as a table.
 
-    Both the rows and the stream's own checkpoint live in the shared checkpoint
-    folder. 'complete' keeps the last result, 'append' all batches.
+    Rows and the stream's own checkpoint go below `folder`, by default a new one in the
+    shared checkpoint folder. 'complete' keeps the last result, 'append' all batches. The
+    session's state store setting is put back once the stream has started.
     """
     spark = stream.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        q = writer.format("parquet").option("path", f"{folder}/rows").start()
-    else:
-        q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows")).start()
-    q.awaitTermination()
+    folder = folder or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        if mode == "append":
+            q = writer.format("parquet").option("path", f"{folder}/rows").start()
+        else:
+            q = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before) if before is not None else spark.conf.unset(STORE)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
