@@ -122,6 +122,20 @@ def test_percentiles_are_exact_under_skew(spark):
             assert np.allclose([got[k, p] for p in ps], want)
 
 
+def test_outlier_leaves_small_cells(spark):
+    from trackframe.functions.ranks import _ratio_cell
+
+    values = spark.range(200_000).select((F.rand(5) * 100).alias("v")).unionByName(spark.createDataFrame([(1e9,), (-3e12,)], "v double")).persist()
+    largest = values.groupBy(_ratio_cell("v", 4096).alias("c")).count().agg(F.max("count")).first()[0]
+    assert largest < 200
+    rows = np.array([r.v for r in values.collect()])
+    got = {r.p: r.value for r in exact_percentiles(values, "v", [0.0, 0.05, 0.5, 0.95, 1.0]).collect()}
+    assert all(np.isclose(v, np.percentile(rows, 100 * p), rtol=1e-12) for p, v in got.items()) and len(got) == 5
+    powers = spark.createDataFrame([(float(x),) for k in range(-40, 40) for x in (np.nextafter(2.0**k, 0), 2.0**k, np.nextafter(2.0**k, 1e30))], "v double")
+    cells = [r.c for r in powers.select("v", _ratio_cell("v", 8).alias("c")).orderBy("v").collect()]
+    assert cells == sorted(cells)
+
+
 def test_global_rank(spark):
     rows = [(k, f"{k}{i:04d}") for k, n in (("a", 300), ("b", 7)) for i in range(n)]
     random.Random(1).shuffle(rows)

@@ -1,4 +1,4 @@
-"""Ranks and exact percentiles without one task that sees a whole group."""
+"""Ranks and exact percentiles by cells, so that a task sees the few cells that matter of a group."""
 
 from __future__ import annotations
 
@@ -38,41 +38,57 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linearly interpolated percentiles for groups of any size: (by…, p, value).
 
-    Equal values are counted first; a histogram of `buckets` equal-width cells per
-    group then finds the cells that hold the wanted ranks, and only those cells are
-    sorted. Nothing is approximated and no task receives a whole group.
+    Equal values are counted first. Values then fall into cells of equal ratio (`buckets` to
+    each power of two), so that an outlier takes no width from the others, and the cells
+    that hold the wanted ranks are cut again into `buckets` cells of equal width between
+    their own ends, so that values close together part as well. Only what is left of
+    those cells is sorted. Nothing is approximated.
     """
-    by = list(by)
-    one = "_all" if not by else None
-    keys = by or ["_all"]
+    keys = list(by) or ["_all"]
     src = df.where(F.col(value).isNotNull())
-    if one:
-        src = src.withColumn("_all", F.lit(1))
+    src = src if by else src.withColumn("_all", F.lit(1))
     counts = src.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    cell = F.when(
-        F.col("hi") > F.col("lo"),
-        F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1)),
-    ).otherwise(F.lit(0)).cast("long")
-    placed = counts.join(span, keys).withColumn("cell", cell)
-    cells = placed.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.first("total").alias("total"))
-    upto = W.partitionBy(*keys).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    cells = cells.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     wanted = (
-        cells.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
         .withColumn("at", (F.col("total") - 1) * F.col("p"))
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
-        .select(*keys, "cell", "before", "p", "at", "rank")
+        .select(*keys, "p", "at", "rank", F.lit(0).cast("long").alias("base"))
     )
-    running = W.partitionBy(*keys, "cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    near = placed.join(wanted.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi").select(
-        *keys, "cell", "v", "n", F.sum("n").over(running).alias("c")
-    )
-    found = near.join(wanted, [*keys, "cell"]).where(
-        (F.col("rank") < F.col("before") + F.col("c")) & (F.col("rank") >= F.col("before") + F.col("c") - F.col("n"))
+    near, wanted = _narrow(counts.withColumn("c1", _ratio_cell("v", buckets)), wanted, keys, "c1")
+    span = near.groupBy(*keys, "c1").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    even = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("long")
+    near = near.join(span, [*keys, "c1"]).withColumn("c2", even).drop("lo", "hi")
+    near, wanted = _narrow(near, wanted, [*keys, "c1"], "c2")
+    cell = [*keys, "c1", "c2"]
+    running = W.partitionBy(*cell).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    found = near.withColumn("c", F.sum("n").over(running)).join(wanted, cell).where(
+        (F.col("rank") < F.col("base") + F.col("c")) & (F.col("rank") >= F.col("base") + F.col("c") - F.col("n"))
     )
     out = found.groupBy(*keys, "p").agg(
         F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"), F.first("at").alias("at")
     )
     return out.select(*by, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
+def _ratio_cell(value: str, buckets: int) -> Column:
+    """A number that grows with the value, `buckets` of them to each power of two.
+
+    A logarithm rounded the wrong way at a power of two lands in the same cell: one less
+    in the exponent is `buckets` more in the fraction.
+    """
+    size = F.abs(value)
+    power = F.floor(F.log2(size))
+    cell = (power + 1100) * buckets + F.floor((size / F.pow(F.lit(2.0), power) - 1) * buckets) + 1
+    return F.when(F.col(value) == 0, 0).otherwise(F.signum(value) * cell).cast("long")
+
+
+def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of cells that hold a wanted rank, and the wanted ranks with the count before their cell in `base`."""
+    sizes = rows.groupBy(*keys, cell).agg(F.sum("n").alias("_n"))
+    upto = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)
+    sizes = sizes.withColumn("_upto", F.sum("_n").over(upto))
+    hit = sizes.join(wanted, keys).where((F.col("rank") >= F.col("base") + F.col("_upto") - F.col("_n")) & (F.col("rank") < F.col("base") + F.col("_upto")))
+    hit = hit.select(*keys, cell, "p", "at", "rank", (F.col("base") + F.col("_upto") - F.col("_n")).alias("base"))
+    return rows.join(hit.select(*keys, cell).distinct(), [*keys, cell], "left_semi"), hit
