@@ -1,11 +1,12 @@
 """One sequence, one frame at a time: predict, associate, update the lifecycle.
 
-The same step serves the batch job and the stream. It holds only the tracks that are
-still active, so its memory does not grow with the length of a sequence.
+The same step serves the batch job and the stream. It holds the tracks that are still
+active with their observations; the stream keeps the last observation only.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -120,13 +121,17 @@ class SequenceStepper:
 
 
 def gate_edges(spots, dets, gate: float) -> list[tuple[int, int, float]]:
-    """(track, detection, distance) inside the gate, by a sweep along x when crowded."""
+    """(track, detection, distance) inside the gate.
+
+    A crowded frame is swept along x first. Both ways square, add and take the correctly
+    rounded root of the same differences, so a distance has the same bits in either.
+    """
     if len(spots) * len(dets) <= 400:
         out = []
         for i, (px, py) in enumerate(spots):
             for j, det in enumerate(dets):
                 dx, dy = px - det[1], py - det[2]
-                d = (dx * dx + dy * dy) ** 0.5
+                d = math.sqrt(dx * dx + dy * dy)
                 if d <= gate:
                     out.append((i, j, d))
         return out
@@ -138,7 +143,8 @@ def gate_edges(spots, dets, gate: float) -> list[tuple[int, int, float]]:
     for i, (px, py) in enumerate(spots):
         reach = gate * (1 + 1e-9)
         lo, hi = np.searchsorted(xs, px - reach, "left"), np.searchsorted(xs, px + reach, "right")
-        d = np.sqrt((xs[lo:hi] - px) ** 2 + (ys[lo:hi] - py) ** 2)
+        dx, dy = px - xs[lo:hi], py - ys[lo:hi]
+        d = np.sqrt(dx * dx + dy * dy)
         for k in np.flatnonzero(d <= gate):
             out.append((i, int(order[lo + k]), float(d[k])))
     return out
