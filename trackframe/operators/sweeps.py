@@ -12,6 +12,7 @@ from trackframe.functions.stepper import TrackerConfig
 from trackframe.functions.lineage import cut_lineage
 from trackframe.operators import evaluation as ev
 from trackframe.operators.matching import FRAME, frames_fit, match_points
+from trackframe.operators.pixels import aperture_features
 from trackframe.operators.tracking import accepted_observations, points_of, track_sequences, tracks_of
 
 # The nine tracker settings of the published sweep.
@@ -133,3 +134,22 @@ def feature_quantiles(rows: DataFrame, features: Sequence[str], probabilities: S
         "category", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("s")
     ).select("category", "s.feature", F.col("s.v").alias("v"))
     return exact_percentiles(long, "v", probabilities, ["category", "feature"])
+
+
+def outcome_features(found: DataFrame, missed: DataFrame, pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """Aperture features of detections by category (tp, fp) and of missed truth points (fn).
+
+    found(sequence_id, frame_index, candidate_id, category, x, y, box); missed(sequence_id,
+    frame_index, candidate_id, x, y) are measured in a box one pixel around them, cut at
+    the frame's edge. Labels only decide what is measured, never a detection.
+    """
+    wh = frames.select("sequence_id", "frame_index", "width_px", "height_px")
+    edge = F.struct(
+        F.greatest(F.lit(0.0), F.col("x") - 1).alias("x0"), F.greatest(F.lit(0.0), F.col("y") - 1).alias("y0"),
+        F.least(F.col("width_px").cast("double"), F.col("x") + 2).alias("x1"), F.least(F.col("height_px").cast("double"), F.col("y") + 2).alias("y1"),
+    )
+    cols = [*FRAME, "candidate_id", "category", "x", "y", "box"]
+    double_box = F.struct(*[F.col(f"box.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    lost = missed.join(wh, FRAME).withColumns({"box": edge, "category": F.lit("fn")}).select(*cols)
+    every = cut_lineage(found.withColumn("box", double_box).select(*cols).unionByName(lost))
+    return aperture_features(every, pixels).join(every.select(*FRAME, "candidate_id", "category"), [*FRAME, "candidate_id"])

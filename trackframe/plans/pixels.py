@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackframe.operators import pixels as p
+from trackframe.operators.sweeps import feature_quantiles, outcome_features
 from trackframe.plans import views as v
 from trackframe.plans.registry import query
 from trackframe.plans.trajectory import r6
@@ -195,6 +196,24 @@ def _(spark, d):
     return a.select("sequence_id", "frame_index", "candidate_id", *r6("context_elongation", "context_area_px"))
 
 
+# Bright pixels as detections (true above .98), dimmer ones as truth points that nothing found.
+OUTCOME = APERTURE.replace("value > 0.96", "value > 0.955") + """, oc AS (SELECT a.*, CASE WHEN p.value > 0.98 THEN 'tp' WHEN p.value > 0.96 THEN 'fp' ELSE 'fn' END AS category
+      FROM af a JOIN pixels p ON p.sequence_id = a.sequence_id AND p.frame_index = a.frame_index AND p.x || '-' || p.y = a.candidate_id),
+    ol AS (SELECT category, unnest(['aperture_snr_heuristic', 'raw_peak_fraction', 'local_noise_normalized', 'local_contrast_normalized']) AS feature,
+      unnest([snr, CASE WHEN total > 0 THEN peak / total ELSE 0 END, noise, peak]) AS val FROM oc)"""
+
+
+@query("aperture_quantiles", v.sql("pixels", " UNION ALL ".join(f"SELECT category, feature, {q}::DOUBLE AS p, round(quantile_cont(val, {q}), 6) AS value FROM ol GROUP BY ALL" for q in (0.1, 0.25, 0.5, 0.75, 0.9)), OUTCOME))
+def _(spark, d):
+    px = v.pixels(spark, d)
+    found = centres(spark, d).join(px.where("value > 0.98").select("sequence_id", "frame_index", F.concat_ws("-", "x", "y").alias("candidate_id"), F.lit("tp").alias("true")), ["sequence_id", "frame_index", "candidate_id"], "left")
+    found = found.withColumn("category", F.coalesce("true", F.lit("fp")))
+    missed = px.where("value > 0.955 and value <= 0.96").select("sequence_id", "frame_index", F.concat_ws("-", "x", "y").alias("candidate_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    frames = px.groupBy("sequence_id", "frame_index").agg((F.max("x") + 1).alias("width_px"), (F.max("y") + 1).alias("height_px"))
+    names = ["aperture_snr_heuristic", "raw_peak_fraction", "local_noise_normalized", "local_contrast_normalized"]
+    return feature_quantiles(outcome_features(found, missed, px, frames), names).select("category", "feature", "p", *r6("value"))
+
+
 def shifts(spark, d):
     return v.pixels(spark, d).select("sequence_id", "frame_index").distinct().select(
         "sequence_id", "frame_index", F.lit("estimated").alias("status"), (F.col("frame_index") % 3 - 0.8).alias("tx"), (F.col("frame_index") % 2 + 0.3).alias("ty")
