@@ -27,7 +27,8 @@ GRAM = 32
 #: anchors at least so frequent are settled in SALTS parts first
 HOT = 1000
 SALTS = 64
-BATCH = 8_000_000
+#: bytes of snippets that are settled at once; a task holds some 60 times as much
+BATCH = 1_500_000
 
 ROWS = "key long, doc_id long, start int, lead int, windows int, hot boolean, snippet binary"
 
