@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.functions.lineage import cut_lineage
+from trackframe.functions.lineage import cut_lineage, ensure_checkpoint_dir
 
 SALTS = 32
 
@@ -83,6 +84,16 @@ def in_bitmap(filter_words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (filter_words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet below the shared checkpoint folder and read back: lineage is cut, columns are packed.
+
+    For tables of many small rows, which a checkpoint would write row by row.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Shared:
     """A broadcast that carries the code of what it holds, as shipped functions do. Only for things of bounded size."""
 
@@ -97,4 +108,4 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-__all__ = ["BITS", "SALTS", "Shared", "bitmap", "cut_lineage", "held_out", "in_bitmap", "salted_join", "sample_share", "signed", "table"]
+__all__ = ["BITS", "SALTS", "Shared", "bitmap", "cut_lineage", "held_out", "in_bitmap", "salted_join", "sample_share", "signed", "stored", "table"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.frames import Shared, bitmap, cut_lineage, in_bitmap, signed
+from trackframe.llm.frames import Shared, bitmap, in_bitmap, signed, stored
 from trackframe.llm.suffixes import Text, repeats, window_minima
 from trackframe.llm.textbytes import Powers, mix, prefix_hashes, slices, span_hashes, texts, utf8
 
@@ -185,16 +185,16 @@ def settle_groups(rows: DataFrame, limit: int, last: bool) -> DataFrame:
 
 def removed_spans(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, start, end: byte spans that cover every repeated window; spans may overlap."""
-    counts = cut_lineage(anchors(docs, limit, gram).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= 2))
+    counts = stored(anchors(docs, limit, gram).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= 2))
     twice = bitmap(counts, "anchor")
     often = bitmap(counts.where(F.col("n") >= hot), "anchor", 20)
-    first = cut_lineage(settle_groups(snippets(docs, twice, often, limit, gram), limit, False))
+    first = stored(settle_groups(snippets(docs, twice, often, limit, gram), limit, False))
     spans = first.where(F.col("key").isNull()).select("doc_id", "start", "end")
     left = first.where(F.col("key").isNotNull())
     if left.isEmpty():
         return spans
     row = lambda df, key, hot: df.select(key.alias("key"), "doc_id", "start", F.lit(0).alias("lead"), F.lit(1).alias("windows"), F.lit(hot).alias("hot"), "snippet")
-    salted = cut_lineage(settle_groups(row(left, F.xxhash64("key", F.pmod("doc_id", F.lit(SALTS))), True), limit, False))
+    salted = stored(settle_groups(row(left, F.xxhash64("key", F.pmod("doc_id", F.lit(SALTS))), True), limit, False))
     end = settle_groups(row(salted.where(F.col("key").isNotNull()), F.col("key"), False), limit, True)
     return spans.unionByName(salted.where(F.col("key").isNull()).select("doc_id", "start", "end")).unionByName(end.select("doc_id", "start", "end"))
 
@@ -217,9 +217,9 @@ def remove(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, hot: int = HOT
     texts that lose something are shuffled.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = cut_lineage(removed_spans(docs, limit, gram, hot))
+    spans = removed_spans(docs, limit, gram, hot)
     lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    lists = cut_lineage(lists)
+    lists = stored(lists)
     touched = Shared(docs.sparkSession, bitmap(lists.select(F.xxhash64("doc_id").alias("h")), "h"))
     keyed = docs.withColumn("h", F.xxhash64("doc_id"))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -66,7 +66,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n + 1:
-            size = max(n + 1, 2 * len(self.up))
+            size = max(n + 1, len(self.up) * 5 // 4)
             one = np.ones(1, np.uint64)
             self.up = np.concatenate([one, np.multiply.accumulate(np.full(size, BASE, np.uint64))])
             self.down = np.concatenate([one, np.multiply.accumulate(np.full(size, BASE_INVERSE, np.uint64))])
