@@ -28,7 +28,7 @@ GRAM = 32
 HOT = 1000
 SALTS = 64
 #: bytes of snippets that are settled at once; a task holds some 60 times as much
-BATCH = 1_500_000
+BATCH = 600_000
 
 ROWS = "key long, doc_id long, start int, lead int, windows int, hot boolean, snippet binary"
 
@@ -223,29 +223,40 @@ def remove(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, hot: int = HOT
     touched = Shared(docs.sparkSession, bitmap(lists.select(F.xxhash64("doc_id").alias("h")), "h"))
     keyed = docs.withColumn("h", F.xxhash64("doc_id"))
 
-    def split(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = touched.get()
-            for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(known, batch.column(2).to_numpy(zero_copy_only=False)) == want))
-
-        return keyed.mapInArrow(run, keyed.schema)
+    def may_lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = touched.get()
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(known, batch.column(2).to_numpy(zero_copy_only=False))))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = texts(batch)
-            sizes, removed, count, kept, sha = [], [], [], [], []
-            for text, found in zip(column, batch.column(3).to_pylist()):
-                data = text.as_buffer().to_pybytes()
-                gone = merged([(s["start"], s["end"]) for s in found or ()])
-                parts, at = [], 0
-                for a, b in gone:
-                    parts.append(data[at:a])
-                    at = b
-                left = b"".join([*parts, data[at:]])
-                sizes.append(len(data)), removed.append(len(data) - len(left)), count.append(len(gone)), kept.append(left), sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, count)), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    whole = split(False).select("doc_id", "text", "h", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
-    cut_rows = split(True).join(lists, "doc_id", "left").select("doc_id", "text", "h", "spans")
-    return whole.unionByName(cut_rows).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+            yield without(texts(batch), batch.column(0), batch.column(3).to_pylist())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = touched.get()
+        for batch in batches:
+            batch = batch.filter(pa.array(~in_bitmap(known, batch.column(2).to_numpy(zero_copy_only=False))))
+            yield without(texts(batch), batch.column(0), [None] * len(batch))
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    cut_rows = keyed.mapInArrow(may_lose, keyed.schema).join(lists, "doc_id", "left").select("doc_id", "text", "h", "spans")
+    return keyed.mapInArrow(keep, schema).unionByName(cut_rows.mapInArrow(finish, schema))
+
+
+def without(column: pa.Array, ids: pa.Array, spans: list) -> pa.RecordBatch:
+    """Each text without its spans: sizes, number of merged spans, the bytes left and their digest."""
+    sizes, removed, count, kept, sha = [], [], [], [], []
+    for text, found in zip(column, spans):
+        data = text.as_buffer().to_pybytes()
+        gone = merged([(s["start"], s["end"]) for s in found or ()])
+        parts, at = [], 0
+        for a, b in gone:
+            parts.append(data[at:a])
+            at = b
+        left = b"".join([*parts, data[at:]])
+        sizes.append(len(data))
+        removed.append(len(data) - len(left))
+        count.append(len(gone))
+        kept.append(left)
+        sha.append(hashlib.sha256(left).hexdigest())
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, count)), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])

@@ -40,7 +40,7 @@ class Text:
     def equal_bytes(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether size bytes at a and b are the same, byte by byte, in steps of bounded memory."""
         out = np.ones(len(a), dtype=bool)
-        step = 1 << 21
+        step = 1 << 19
         ends = np.cumsum(size)
         lo = 0
         while lo < len(a):
