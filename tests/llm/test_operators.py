@@ -242,6 +242,18 @@ def test_templates_are_removed_by_host(spark):
     assert extract.main_text(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_templates_inside_articles_go_and_copies_stay(spark):
+    notice, body = "<div class=x><p>This text was first printed by our paper</p><p>All rights are ours alone</p></div>", "<p>One story that is told in equal words</p><p>Its second part is told so too</p>"
+    article = lambda i, tail: f"<nav>{i} way</nav><article><h1>Title {i}</h1><p>Own story number {i} here</p>{tail}</article>"
+    data = [(i, f"http://a.example/{i}", article(i, notice if i % 4 == 0 else "<p>Yes</p>" if i % 4 == 1 else "")) for i in range(200)]
+    data += [(1000 + i, f"http://b.example/{i}", f"<nav>{i} other</nav><article><h1>Story</h1>{body}</article>") for i in range(40)]
+    data += [(2000 + i, f"http://b.example/n{i}", f"<article><h1>Story</h1>{body}<p>Changed by {i}</p></article>") for i in range(2)]
+    data += [(3000 + i, f"http://c.example/{i}", article(i, notice)) for i in range(9)]
+    by = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(data, PAGE)).collect()}
+    assert by[4] == "Title 4\n\nOwn story number 4 here" and by[5].endswith("\n\nYes") and "rights" in by[3003]
+    assert all(by[1000 + i] == "Story\n\nOne story that is told in equal words\n\nIts second part is told so too" for i in range(40)) and by[2001].endswith("Changed by 1")
+
+
 # 8. substrings
 
 

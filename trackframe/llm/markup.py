@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -28,6 +28,8 @@ FURNITURE_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup share sharing social related recommended comment comments reply replies "
     "discussion disqus widget toolbar pagination pager skip legal disclaimer copyright login search contentinfo complementary banner dialog alert hidden".split()
 )
+#: a subtree of fewer words may recur without being a template
+LEAST_WORDS = 4
 #: an opening tag of the first kind ends an open element of the second
 ENDS_P = BLOCK - {"body", "html", "head"}
 
@@ -38,7 +40,6 @@ class Element:
     parent: int
     furniture: bool
     article: bool
-    text: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -46,23 +47,41 @@ class Page:
     elements: list[Element]
     blocks: list[tuple[int, str]]  # (innermost element, text) in page order
 
-    def subtree_hashes(self) -> dict[int, int]:
-        """A hash of tag and text of every element with text that is neither furniture nor part of an article."""
-        for e in self.elements:
-            e.text = []
-        for k, text in self.blocks:
+    def subtrees(self) -> dict[int, tuple[int, list[int]]]:
+        """Hash of the text, and numbers of the blocks, of every element with text, but roots of articles, cells of tables in them and what holds a whole page."""
+        own: list[list[int]] = [[] for _ in self.elements]
+        for i, (k, _) in enumerate(self.blocks):
             while k >= 0:
-                self.elements[k].text.append(text)
+                own[k].append(i)
                 k = self.elements[k].parent
         out = {}
         for k, e in enumerate(self.elements):
-            if e.text and e.tag not in ("html", "body", "main") and not e.furniture and not e.article:
-                out[k] = int.from_bytes(hashlib.blake2b("\n".join([e.tag, *e.text]).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+            root = e.tag == "article" and not (e.parent >= 0 and self.elements[e.parent].article)
+            if own[k] and e.tag not in ("html", "body", "main") and not root and not (e.article and e.tag in ("td", "th")):
+                out[k] = digest("\n".join(self.blocks[i][1] for i in own[k])), own[k]
         return out
 
-    def main_text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
-        """Blocks outside furniture and outside the subtrees hashed in `template`; of articles if the page has any, else of its main part, else all."""
-        gone = {k for k, h in self.subtree_hashes().items() if h in template} if template else set()
+    def candidates(self) -> set[tuple[int, int, bool, bool]]:
+        """(hash, context, short, shown) of the subtrees; shown if a part of the main text is inside.
+
+        The context is the block of the main text outside the subtree with the smallest hash: copies of a page
+        have one context, near copies few, pages that share nothing but the subtree have one each. A
+        subtree that holds the whole main text has none and is left out.
+        """
+        marks = [digest(t) for _, t in self.blocks]
+        shown = set(self.main_blocks())
+        main = sorted({marks[i] for i in shown})
+        out = set()
+        for h, own in self.subtrees().values():
+            inside = {marks[i] for i in own}
+            context = next((m for m in main if m not in inside), None)
+            if context is not None:
+                out.add((h, context, sum(len(self.blocks[i][1].split()) for i in own) < LEAST_WORDS, not shown.isdisjoint(own)))
+        return out
+
+    def main_blocks(self, template: frozenset[int] | set[int] = frozenset()) -> list[int]:
+        """Numbers of the blocks of main_text."""
+        gone = {k for k, (h, _) in self.subtrees().items() if h in template} if template else set()
         bad: dict[int, bool] = {}
 
         def removed(k: int) -> bool:
@@ -79,12 +98,19 @@ class Page:
                 k = self.elements[k].parent
             return False
 
-        kept = [(k, t) for k, t in self.blocks if not removed(k)]
+        kept = [i for i, (k, _) in enumerate(self.blocks) if not removed(k)]
         for tag in ("article", "main"):
             if any(e.tag == tag and not removed(i) for i, e in enumerate(self.elements)):
-                kept = [(k, t) for k, t in kept if inside(k, tag)]
-                break
-        return "\n\n".join(t for _, t in kept)
+                return [i for i in kept if inside(self.blocks[i][0], tag)]
+        return kept
+
+    def main_text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
+        """Blocks outside furniture and outside the subtrees hashed in `template`; of articles if the page has any, else of its main part, else all."""
+        return "\n\n".join(self.blocks[i][1] for i in self.main_blocks(template))
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
