@@ -19,6 +19,9 @@ from trackframe.llm.frames import held_out, table
 #: learned profiles, hashes and patterns are beyond SQL; tests compare with a brute-force run
 ORACLE_SQL = None
 
+#: words of a shingle and similarity of the near-duplicate stage; op2_jaccard_join has its own
+SHINGLE, SIMILAR = 5, (80, 100)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text gets a language; null texts and texts without letters go. `lang` stays as it came."""
@@ -26,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones. Rows without an id stay; rows that repeat an id are one."""
-    linked = jaccard.link(docs)
+    """The document with the smallest id of each group linked on five words at 0.8. Rows without an id stay; rows that repeat an id are one."""
+    linked = jaccard.link(docs, SHINGLE, SIMILAR)
     kept = docs.join(linked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "doc_id", "left_anti")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
     if not repeated.isEmpty():

@@ -18,11 +18,11 @@ def shingles(text, size=3):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
 
 
-def linked_components(rows, num=90, den=100):
+def linked_components(rows, num=90, den=100, size=3):
     """{id: (set size, smallest id reachable)} from (id, text) rows."""
     sets = {}
     for i, t in rows:
-        sets[i] = shingles(t)
+        sets[i] = shingles(t, size)
     up = {i: i for i in sets}
 
     def find(i):

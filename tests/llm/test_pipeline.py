@@ -72,6 +72,16 @@ def test_stages(spark, folder):
     assert all(0 < r.taken <= 2 * r.n_words for r in mixed)
 
 
+def test_near_duplicates_at_five_words_and_eight_tenths(spark):
+    rng = random.Random(5)
+    long, short, other = sentence(rng, 100), sentence(rng, 50).split(), sentence(rng, 50).split()
+    data = [(1, long), (2, long + " " + sentence(rng, 15)), (3, long + " " + sentence(rng, 40)), (10, " ".join(short)), (11, " ".join([*short[:24], "changed", *short[25:]])), (20, " ".join(other)), (21, " ".join([*other[:10], "one", *other[11:30], "two", *other[31:]]))]
+    docs = spark.createDataFrame([(i, t, "xx", "a", len(t)) for i, t in data], DOC)
+    group = brute.linked_components(data, 80, 100, 5)
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect())
+    assert kept == [i for i, _ in data if group[i][1] == i] == [1, 3, 10, 20, 21]
+
+
 def test_run_equals_stages(spark, folder):
     sf, _, _ = folder
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -23,7 +23,8 @@ from trackframe.llm.tsearch import connect, prefix_size
 
 SHINGLE = 3
 SIMILAR = (90, 100)
-RARE = 0.15
+#: posted share of tokens, in parts of the share that may differ: with more than a prefix, tokens of one set alone use up its prefix
+RARE = 1.5
 BLOCK = 300
 
 
@@ -48,7 +49,7 @@ def signatures(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        rare = np.uint64(int(RARE * (1 << 64)))
+        rare = np.uint64(min(int(RARE * (similar[1] - similar[0]) / similar[1] * (1 << 64)), (1 << 64) - 1))
         for batch in batches:
             column = texts(batch)
             for lo, hi in slices(column):
