@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: whole tables, production parameters, full results."""
+"""Registered queries of the operators: whole tables, production parameters, full results."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.llm import decontaminate, extract, jaccard, language, mixing, quality_model, quality_rules, secrets, sqltwins, substrings, toxicity
+from trackframe.llm import collocations, decontaminate, extract, jaccard, language, lexical, licenses, mixing, quality_model, quality_rules, secrets, sqltwins, substrings, toxicity
 from trackframe.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @op("op8_suffix_removal")
 def op8_suffix_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@op("op11_lexical_search", sqltwins.SEARCH)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@op("op12_collocations", sqltwins.PHRASES)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@op("op13_license_scan", sqltwins.licenses(licenses.PHRASES, licenses.TEMPLATES, licenses.RARE, licenses.SLACK, licenses.AGREE))
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))

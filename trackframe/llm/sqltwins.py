@@ -54,3 +54,68 @@ v AS (SELECT source, (failed + alpha) / (docs + alpha + beta) < 0.5 AS host_kept
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = rf"""
+WITH i AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+t AS (SELECT id, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+f AS (SELECT id, doc_id, n, term, count(*) AS tf FROM t SEMI JOIN i USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2::DOUBLE * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+s AS (SELECT item_id, id, doc_id, sum(i.c * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM f JOIN i USING (term) JOIN w USING (term), c GROUP BY item_id, id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+c AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 5) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+q AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT y.lang, y.phrase, a, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score FROM
+  (SELECT *, array_to_string(w[1 : j], ' ') AS lp, array_to_string(w[j + 1 : k], ' ') AS rp FROM q, range(1, 4) t(j) WHERE j < k) y
+  JOIN f l ON l.lang = y.lang AND l.phrase = lp JOIN f r ON r.lang = y.lang AND r.phrase = rp),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+u AS (SELECT lang, array_to_string(w[s : s + n - 1], ' ') AS phrase, max(a) AS longer FROM q, range(1, 4) t(s), range(2, 4) v(n) WHERE n < k AND s + n - 1 <= k GROUP BY ALL),
+z AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM b LEFT JOIN u USING (lang, phrase) WHERE NOT (100 * coalesce(longer, 0) >= 80 * a))
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM z JOIN c USING (lang) WHERE rank <= 2000
+"""
+
+
+def licenses(phrases: tuple, templates: tuple, rare: int, slack: int, agree: tuple[int, int]) -> str:
+    """The license scan over the given phrases and templates."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = ", ".join(f"({k}, {text(label)}, {text(words)})" for k, (label, words, _) in enumerate(templates))
+    needs = ", ".join(f"({k}, {text(p)})" for k, (_, _, own) in enumerate(templates) for p in own)
+    known = ", ".join(f"({text(p)}, {text(label)})" for p, label in phrases)
+    words = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH t AS (SELECT template, label, {words} AS w FROM (VALUES {listed}) v(template, label, text)),
+tw AS (SELECT template, label, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM t),
+d AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
+dw AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+df AS (SELECT word, count(DISTINCT id) AS df FROM dw SEMI JOIN tw USING (word) GROUP BY word),
+o AS (SELECT template, word, row_number() OVER (PARTITION BY template ORDER BY coalesce(df, 0), word) AS k,
+    least({rare}, ceil(count(*) OVER (PARTITION BY template) / 2))::INTEGER AS size FROM (SELECT DISTINCT template, word FROM tw) LEFT JOIN df USING (word)),
+x AS (SELECT template, label, word, place, k, size FROM tw JOIN o USING (template, word) WHERE k <= size),
+v AS (SELECT id, template, label, size, k, floor((pos - place) / {slack}) - e AS win FROM dw JOIN x USING (word), range(0, 2) r(e)),
+m AS (SELECT id, template, label, size, max(n) AS matched FROM (SELECT id, template, label, size, win, count(DISTINCT k) AS n FROM v GROUP BY ALL) GROUP BY ALL),
+j AS (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
+ok AS (SELECT id, label, matched / size AS share FROM m JOIN j USING (id) WHERE matched >= 2 AND matched * {agree[1]} >= size * {agree[0]}
+  AND NOT EXISTS (SELECT 1 FROM (VALUES {needs}) q(template, phrase) WHERE q.template = m.template AND NOT contains(s, ' ' || phrase || ' '))),
+b AS (SELECT id, pos, label FROM dw JOIN d USING (id), (VALUES {known}) q(phrase, label)
+  WHERE word = split_part(phrase, ' ', 1) AND array_to_string(w[pos + 1 : pos + len(string_split(phrase, ' '))], ' ') = phrase),
+bs AS (SELECT id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM b GROUP BY id),
+al AS (SELECT id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT id, label FROM b UNION ALL SELECT id, label FROM ok) GROUP BY id),
+sh AS (SELECT id, max(share) AS share FROM ok GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (id) LEFT JOIN al USING (id) LEFT JOIN sh USING (id)
+"""
