@@ -74,7 +74,7 @@ def rare_index(docs_words: DataFrame, templates: DataFrame, rare: int = RARE) ->
     """
     vocabulary = [r["word"] for r in templates.select("word").distinct().collect()]  # words of the parameter
     seen = docs_words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))).alias("word"))
-    df = seen.groupBy("word").agg(F.count("*").alias("df"))
+    df = cut_lineage(seen.groupBy("word").agg(F.count("*").alias("df")))
     own = templates.select("template", "word").distinct().join(df, "word", "left").na.fill(0, ["df"])
     by = W.partitionBy("template")
     own = own.withColumn("k", F.row_number().over(by.orderBy("df", "word"))).withColumn("half", F.least(F.lit(rare), F.ceil(F.count("*").over(by) / 2).cast("int")))
