@@ -133,11 +133,12 @@ def mixed(spark):
     return data + data[:9], spark.createDataFrame(data + data[:9], DOC)
 
 
-def test_collocations_equal_brute_force(mixed, odd, clash, none):
+def test_collocations_equal_brute_force(monkeypatch, mixed, odd, clash, none):
     data, docs = mixed
     for least, chunk, share in ((30, 1_000_000, 1000), (2, 100, 4)):
+        monkeypatch.setattr(collocations, "HOT_SHARE", share)
         want = mined([(r[1], r[2]) for r in data], least)
-        assert rows(collocations.collocations(docs, least, chunk_words=chunk, hot_share=share), *COLUMNS) == sorted(want, key=repr)
+        assert rows(collocations.collocations(docs, least, chunk_words=chunk), *COLUMNS) == sorted(want, key=repr)
     assert any(" " in w[2] for w in want) and {w[0] for w in want} >= {"en", "und"}
     same_with_clashes(lambda d: collocations.collocations(d, 2), odd, clash, *COLUMNS)
     assert collocations.collocations(none).count() == 0
@@ -150,15 +151,6 @@ def test_collocations_equal_sql_and_top(mixed):
     assert rows(collocations.collocations(docs, 2, top=10), *COLUMNS) == sorted(want, key=repr)
 
 
-def test_hashes_agree_with_spark(spark):
-    words = ["a", "é", "longer than thirty-two bytes, so that blocks are used", ""]
-    df = spark.createDataFrame([(w,) for w in words], "word string")
-    from pyspark.sql import functions as F
-
-    got = {r.word: r.h & (1 << 64) - 1 for r in df.select("word", collocations.word_hash(F.lit("en"), "word").alias("h")).collect()}
-    assert [got[w] for w in words] == collocations.hashes("en", [w.encode() for w in words]).tolist()
-
-
 # 13. license scan
 
 SCAN = sqltwins.licenses(licenses.PHRASES, licenses.TEMPLATES, licenses.RARE, licenses.SLACK, licenses.AGREE)

@@ -4,9 +4,10 @@ A stripe belongs to a prefix of one to three words and counts the words that fol
 entry "" counts the places where none that matters does. Tasks combine stripes of their own
 text, Spark merges them elementwise, and the merged stripes hold all that is asked for: an
 entry is the frequency of a longer phrase, the sum of a stripe that of its prefix, its
-largest entry what a candidate loses to on the right. Words, then pairs, are counted first,
-because a phrase can only be frequent if its parts are; filters made from them keep rare
-phrases away from the shuffle and lose none that is frequent.
+largest entry what a candidate loses to on the right. Hashes of words, then of pairs, then
+of longer phrases are counted first, because a phrase can only be frequent if its parts
+are; filters made from them keep rare phrases out of the stripes and lose none that is
+frequent. What a filter lets through by chance counts as it is and is dropped by its sum.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.llm.frames import Shared, bitmap, in_bitmap, stored
-from trackframe.llm.textbytes import LOWER, texts
+from trackframe.llm.textbytes import BASE, LOWER, mix, texts
 
 LEAST = 30
 LONGEST = 4
@@ -32,10 +33,12 @@ SUBSUMED = 80
 TOP = 2000
 UNKNOWN = "und"
 #: words of text that a task combines before it hands its stripes on
-CHUNK_WORDS = 1_000_000
-#: a prefix with one word in HOT_SHARE of all is hot (there are at most HOT_SHARE of them); its stripe is dealt out in BUCKETS parts
+CHUNK_WORDS = 2_000_000
+#: a phrase with more than one in HOT_SHARE of all words is hot; its stripe is dealt out in BUCKETS parts
 HOT_SHARE = 1000
 BUCKETS = 64
+#: phrases are thinned by hashes of so many bits: 12 that deal them out, 32 in an entry
+HASH = (1 << 44) - 1
 #: bits of a filter for each value in it, and the bounds of its size
 BITS_EACH = 16
 LEAST_BITS, MOST_BITS = 16, 28
@@ -78,37 +81,92 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str,
     yield from ((la, list(c.ids), np.array(c.seq, np.int64)) for la, c in held.items())
 
 
-def word_counts(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """lang, word, f: occurrences of every word."""
+def grams(h: np.ndarray, seq: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether no border lies inside) of the `size` words from each place on; seq ends with LONGEST borders."""
+    n = len(seq) - LONGEST
+    code, inside = np.full(n, size, np.uint64), np.ones(n, dtype=bool)
+    for i in range(size):
+        own = seq[i : n + i]
+        code = mix(code * np.uint64(BASE) + h[own])
+        inside &= own > 0
+    return code & np.uint64(HASH), inside
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, seq in chunks(batches, chunk_words):
-            n = np.bincount(seq, minlength=len(words))[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([w.decode() for w in words[1:]], pa.string()), pa.array(n)], ["lang", "word", "f"])
 
-    return docs.mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+class Filters:
+    """What may be frequent, by number of words: bitmaps of hashes; and the hashes of what is hot."""
 
+    def __init__(self) -> None:
+        self.bits: dict[int, np.ndarray] = {}
+        self.hot = np.zeros(0, np.uint64)
 
-def word_hash(lang: str | Column, word: str | Column) -> Column:
-    return F.xxhash64(lang, word)
+    def add(self, sizes: tuple[int, ...], bits: np.ndarray, hot: list[int]) -> None:
+        self.bits.update(dict.fromkeys(sizes, bits))
+        self.hot = np.union1d(self.hot, np.array(hot, np.uint64))
 
+    def passing(self, h: np.ndarray, seq: np.ndarray, size: int) -> np.ndarray:
+        code, inside = grams(h, seq, size)
+        return in_bitmap(self.bits[size], code) & inside
 
-def pair_hash(first: Column, second: Column) -> Column:
-    return F.shiftleft(first, 1).bitwiseXOR(second)
 
+def every(good: np.ndarray, n: int) -> np.ndarray:
+    """Whether `n` places from each on are good; beyond the end none is."""
+    good = np.concatenate([good, np.zeros(n, dtype=bool)])
+    return np.logical_and.reduce([good[i : len(good) - n + i] for i in range(n)])
 
-def hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    """The same numbers as word_hash gives in Spark."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
+def hashed(lang: str, words: list[bytes], seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, numbers with LONGEST borders at the end)."""
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), np.concatenate([seq, np.zeros(LONGEST, np.int64)])
 
-class Filters:
-    """What may be frequent: words, then pairs of neighbours; and the words and pairs that are hot."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray | None, hot: frozenset[int]) -> None:
-        self.words, self.pairs = words, pairs
-        self.hot = np.array(sorted(hot), np.uint64)
+def hash_counts(docs: DataFrame, shared: Shared, sizes: tuple[int, ...], chunk_words: int) -> DataFrame:
+    """Counts of the hashes of phrases whose parts pass, combined by chunk: four bytes an entry.
+
+    One row a chunk and bucket (the upper bits of the hashes); with single words, a row more
+    that has a language and the number of its words.
+    """
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.get()
+        for lang, words, seq in chunks(batches, chunk_words):
+            h, seq = hashed(lang, words, seq)
+            for size in sizes:
+                code, inside = grams(h, seq, size)
+                if size > 1:  # its words, or its pairs, must all pass
+                    part = min(size - 1, 2)
+                    inside &= every(known.passing(h, seq, part), size - part + 1)
+                value, n = np.unique(code[inside], return_counts=True)
+                bucket = (value >> np.uint64(32)).astype(np.int32)
+                start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(value) else np.zeros(0, np.int64)
+                langs, buckets, edge = [None] * len(start), bucket[start].tolist(), np.append(start, len(value)).tolist()
+                low, n = value.astype(np.uint32).view(np.int32), n.astype(np.int32)
+                if size == 1:
+                    langs, buckets, edge = [*langs, lang], [*buckets, -1 - len(value) % BUCKETS], [*edge, len(value) + 1]
+                    low, n = np.append(low, np.int32(0)), np.append(n, np.int32(inside.sum()))
+                offsets = pa.array(edge, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(low)), pa.ListArray.from_arrays(offsets, pa.array(n))]
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(buckets, pa.int32()), *lists], ["lang", "bucket", "low", "n"])
+
+    return docs.mapInArrow(collect, "lang string, bucket int, low array<int>, n array<int>")
+
+
+def frequent(docs: DataFrame, filters: Filters, sizes: tuple[int, ...], least: int, chunk_words: int, hot_at: int = 0) -> tuple[DataFrame, int]:
+    """Take the hashes of phrases with `least` occurrences into the filters: (lang, n) if words were counted, and n of all.
+
+    `hot_at` is the count from which on a phrase is hot (0: not known before the words are counted).
+    """
+    parts = hash_counts(docs, Shared(docs.sparkSession, filters), sizes, chunk_words).repartition("bucket")
+    each = parts.select("lang", "bucket", F.explode(F.arrays_zip("low", "n")).alias("e"))
+    counts = each.groupBy("lang", "bucket", F.col("e.low").alias("low")).agg(F.sum("e.n").alias("f")).where((F.col("f") >= least) | F.col("lang").isNotNull())
+    h = F.shiftleft(F.col("bucket").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    counts = stored(counts.withColumn("h", h))
+    totals = counts.where("lang is not null").groupBy("lang").agg(F.sum("f").alias("n"))
+    hashes = counts.where("lang is null")
+    words = totals.agg(F.sum("n")).first()[0] or 0
+    hot_at = hot_at or max(words // HOT_SHARE, 1)
+    filters.add(sizes, filter_of(hashes, "h"), [r["h"] for r in hashes.where(F.col("f") > hot_at).select("h").collect()])  # fewer than HOT_SHARE rows a size
+    return totals, hot_at
 
 
 def filter_of(values: DataFrame, column: str) -> np.ndarray:
@@ -145,35 +203,24 @@ def emit(lang: str, words: pa.Array, prefix: list[np.ndarray], follower: np.ndar
     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), text, pa.array((key[start] % BUCKETS).astype(np.int32)), *lists], ["lang", "prefix", "bucket", "next", "f"])
 
 
-def stripes(docs: DataFrame, shared: Shared, sizes: tuple[int, ...], chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Stripes of prefixes of the given numbers of words, combined by chunk, before they are merged.
+def stripes(docs: DataFrame, shared: Shared, chunk_words: int) -> DataFrame:
+    """Stripes of all prefixes of one to three words that pass, combined by chunk, before they are merged.
 
-    With a filter of pairs a prefix and its follower must consist of pairs that pass; without
-    one, of words that pass. Every place of a prefix counts, so that a stripe sums to its prefix.
+    Every place of a prefix counts, so that a stripe sums to its prefix; a follower has its
+    own entry if prefix and follower together pass.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.get()
         for lang, words, seq in chunks(batches, chunk_words):
-            h = hashes(lang, words)
+            h, seq = hashed(lang, words, seq)
             words[0] = b""
             column = pa.array([w.decode() for w in words], pa.string())
-            seq = np.concatenate([seq, [0]])  # the last word has a neighbour too
-            if known.pairs is None:
-                good = in_bitmap(known.words, h.view(np.int64))
-                good[0] = False
-                prefix = np.flatnonzero(good[seq])
-                yield from emit(lang, column, [seq[prefix]], np.where(good[seq[prefix + 1]], seq[prefix + 1], 0), h, np.isin(h[seq[prefix]], known.hot))
-                continue
-            pair = (h[seq[:-1]] << np.uint64(1)) ^ h[seq[1:]]
-            good = in_bitmap(known.pairs, pair.view(np.int64)) & (seq[:-1] > 0) & (seq[1:] > 0)
-            good, hot = np.concatenate([good, [False] * LONGEST]), np.concatenate([np.isin(pair, known.hot), [False] * LONGEST])
-            seq = np.concatenate([seq, [0] * LONGEST])
-            for size in sizes:
-                prefix = np.flatnonzero(np.logical_and.reduce([good[i : len(good) - LONGEST + i] for i in range(size - 1)]))
-                follows = np.where(good[prefix + size - 1], seq[prefix + size], 0)
-                crowd = np.logical_and.reduce([hot[prefix + i] for i in range(size - 1)])
-                yield from emit(lang, column, [seq[prefix + i] for i in range(size)], follows, h, crowd)
+            passing = known.passing(h, seq, 1)
+            for size in range(1, LONGEST):
+                prefix, passing = np.flatnonzero(passing), known.passing(h, seq, size + 1)
+                hot = np.isin(grams(h, seq, size)[0][prefix], known.hot)
+                yield from emit(lang, column, [seq[prefix + i] for i in range(size)], np.where(passing[prefix], seq[prefix + size], 0), h, hot)
 
     return docs.mapInArrow(collect, STRIPES)
 
@@ -202,7 +249,7 @@ def part(first: int, n: Column | None = None) -> Column:
     return F.array_join(F.slice(words, first, F.size(words) - (first - 1) if n is None else n), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED, top: int = TOP, chunk_words: int = CHUNK_WORDS, hot_share: int = HOT_SHARE) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED, top: int = TOP, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """docs(text, lang) -> lang, rank, phrase, a, l, r, n, score: each language's best phrases.
 
     Phrases of 2 to 4 words of one piece with a = f(phrase) >= `least`; the cut with the lowest
@@ -211,28 +258,16 @@ def collocations(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED,
     frequency, highest first, then by phrase. Null texts are empty, null languages 'und';
     repeated rows count each; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
+    filters = Filters()
+    totals, hot_at = frequent(docs, filters, (1,), least, chunk_words)
+    frequent(docs, filters, (2,), least, chunk_words, hot_at)
+    frequent(docs, filters, (3, 4), least, chunk_words, hot_at)
+    striped = stored(merged(stripes(docs, Shared(docs.sparkSession, filters), chunk_words), least))
 
-    counts = stored(word_counts(docs, chunk_words))
-    totals = stored(counts.groupBy("lang").agg(F.sum("f").alias("n")))
-    all_words = totals.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("f") * hot_share >= max(all_words, 1)
-    words = counts.where(F.col("f") >= least).select("lang", "word", "f", word_hash("lang", "word").alias("h"))
-    hot_words = words.where(is_hot).select("lang", "word", "h").collect()  # at most hot_share rows
-    shared = Shared(spark, Filters(filter_of(words, "h"), None, frozenset(r["h"] & (1 << 64) - 1 for r in hot_words)))
-    two = stored(merged(stripes(docs, shared, (1,), chunk_words), least))
-
-    entries = two.select("lang", "prefix", F.explode("ext").alias("e")).select("lang", "prefix", "e.next", "e.f")
-    pairs = entries.withColumn("h", pair_hash(word_hash("lang", "prefix"), word_hash("lang", "next")))
-    hot_pairs = pairs.where(is_hot).select("lang", "prefix", "next", "h").collect()  # at most hot_share rows
-    shared = Shared(spark, Filters(np.zeros(1, np.uint64), filter_of(pairs, "h"), frozenset(r["h"] & (1 << 64) - 1 for r in hot_pairs)))
-    longer = stored(merged(stripes(docs, shared, (2, 3), chunk_words), least))
-
-    striped = two.unionByName(longer)
     facts = stored(whole(striped).where(F.col("f") >= least))
     phrases = striped.select("lang", "prefix", F.explode("ext").alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"), F.col("e.f").alias("a"))
-    hot = [f"{r['lang']}\n{r['word']}" for r in hot_words] + [f"{r['lang']}\n{r['prefix']} {r['next']}" for r in hot_pairs]
+    hot = [f"{r['lang']}\n{r['phrase']}" for r in facts.where(F.col("f") > hot_at).select("lang", "phrase").collect()]  # fewer than HOT_SHARE rows a size
     scored = best_cuts(phrases, facts.select("lang", F.col("phrase").alias("part"), "f"), hot)
 
     left = phrases.where(F.size(F.split("phrase", " ")) > 2).groupBy("lang", part(2).alias("phrase")).agg(F.max("a").alias("left"))
