@@ -3,8 +3,8 @@
 A stripe belongs to a prefix of one to three words and counts the words that follow it; the
 entry "" counts the places where none that matters does. Tasks combine stripes of their own
 text, Spark merges them elementwise, and the merged stripes hold all that is asked for: an
-entry is the frequency of a longer phrase, the sum of a stripe that of its prefix, its
-largest entry what a candidate loses to on the right. Hashes of words, then of pairs, then
+entry is the frequency of a longer phrase and the total of its own stripe, the sum of a
+word's stripe that of the word, the largest entry what a candidate loses to on the right. Hashes of words, then of pairs, then
 of longer phrases are counted first, because a phrase can only be frequent if its parts
 are; filters made from them keep rare phrases out of the stripes and lose none that is
 frequent. What a filter lets through by chance counts as it is and is dropped by its sum.
@@ -13,7 +13,7 @@ frequent. What a filter lets through by chance counts as it is and is dropped by
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackframe.llm.frames import Shared, bitmap, in_bitmap, stored
-from trackframe.llm.textbytes import BASE, LOWER, mix, texts
+from trackframe.llm.textbytes import BASE, LOWER, Powers, mix, slices, texts, utf8, word_hashes
 
 LEAST = 30
 LONGEST = 4
@@ -49,6 +49,7 @@ for _c in b".,;:!?\n\x0b\x0c\r":
     _PIECES[_c] = 0x2E
 _PIECES[0x09] = 0x20
 PIECES = bytes(_PIECES)
+PIECE_BYTES = np.frombuffer(PIECES, np.uint8)
 
 
 class Chunk:
@@ -81,14 +82,32 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str,
     yield from ((la, list(c.ids), np.array(c.seq, np.int64)) for la, c in held.items())
 
 
-def grams(h: np.ndarray, seq: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, whether no border lies inside) of the `size` words from each place on; seq ends with LONGEST borders."""
-    n = len(seq) - LONGEST
-    code, inside = np.full(n, size, np.uint64), np.ones(n, dtype=bool)
+def seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+def text_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """(languages of some rows, and of all their words in order: row, hash by language, number of the piece)."""
+    powers = Powers()
+    for batch in batches:
+        langs, column = batch.column(0).to_pylist(), texts(batch)
+        seeds = {lang: seed(lang) for lang in set(langs)}
+        for lo, hi in slices(column):
+            data, offsets = utf8(column.slice(lo, hi - lo))
+            data = PIECE_BYTES[data]
+            border = data == 0x2E
+            starts, _, row, h = word_hashes(data, offsets, powers, ~border & (data != 0x20))
+            own = np.array([seeds[lang] for lang in langs[lo:hi]], np.uint64)
+            yield langs[lo:hi], row, mix(h ^ own[row]), np.cumsum(border)[starts] + row
+
+
+def grams(h: np.ndarray, piece: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether they lie in one piece) of the `size` words from each place on."""
+    n = max(len(h) - size + 1, 0)
+    code, inside = np.full(len(h), size, np.uint64), np.zeros(len(h), dtype=bool)
     for i in range(size):
-        own = seq[i : n + i]
-        code = mix(code * np.uint64(BASE) + h[own])
-        inside &= own > 0
+        code[:n] = mix(code[:n] * np.uint64(BASE) + h[i : n + i])
+    inside[:n] = piece[:n] == piece[size - 1 : n + size - 1]
     return code & np.uint64(HASH), inside
 
 
@@ -103,8 +122,7 @@ class Filters:
         self.bits.update(dict.fromkeys(sizes, bits))
         self.hot = np.union1d(self.hot, np.array(hot, np.uint64))
 
-    def passing(self, h: np.ndarray, seq: np.ndarray, size: int) -> np.ndarray:
-        code, inside = grams(h, seq, size)
+    def passing(self, size: int, code: np.ndarray, inside: np.ndarray) -> np.ndarray:
         return in_bitmap(self.bits[size], code) & inside
 
 
@@ -114,39 +132,41 @@ def every(good: np.ndarray, n: int) -> np.ndarray:
     return np.logical_and.reduce([good[i : len(good) - n + i] for i in range(n)])
 
 
-def hashed(lang: str, words: list[bytes], seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, numbers with LONGEST borders at the end)."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), np.concatenate([seq, np.zeros(LONGEST, np.int64)])
+def packed(codes: list[np.ndarray], totals: Counter) -> pa.RecordBatch:
+    """Counts of equal hashes, a row for each bucket (their upper bits), and a row with its words for each language."""
+    value, n = np.unique(np.concatenate(codes), return_counts=True)
+    bucket = (value >> np.uint64(32)).astype(np.int32)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(value) else np.zeros(0, np.int64)
+    langs = sorted(totals)
+    edge = [*start.tolist(), *range(len(value), len(value) + len(langs) + 1)]
+    low = np.append(value.astype(np.uint32).view(np.int32), np.zeros(len(langs), np.int32))
+    n = np.append(n, np.array([totals[la] for la in langs], np.int64)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x)) for x in (low, n)]
+    buckets = [*bucket[start].tolist(), *[-1 - len(value) % BUCKETS] * len(langs)]
+    return pa.RecordBatch.from_arrays([pa.array([None] * len(start) + langs, pa.string()), pa.array(buckets, pa.int32()), *lists], ["lang", "bucket", "low", "n"])
 
 
 def hash_counts(docs: DataFrame, shared: Shared, sizes: tuple[int, ...], chunk_words: int) -> DataFrame:
-    """Counts of the hashes of phrases whose parts pass, combined by chunk: four bytes an entry.
-
-    One row a chunk and bucket (the upper bits of the hashes); with single words, a row more
-    that has a language and the number of its words.
-    """
+    """Counts of the hashes of phrases whose parts pass, combined by chunk: four bytes an entry."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.get()
-        for lang, words, seq in chunks(batches, chunk_words):
-            h, seq = hashed(lang, words, seq)
-            for size in sizes:
-                code, inside = grams(h, seq, size)
-                if size > 1:  # its words, or its pairs, must all pass
-                    part = min(size - 1, 2)
-                    inside &= every(known.passing(h, seq, part), size - part + 1)
-                value, n = np.unique(code[inside], return_counts=True)
-                bucket = (value >> np.uint64(32)).astype(np.int32)
-                start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(value) else np.zeros(0, np.int64)
-                langs, buckets, edge = [None] * len(start), bucket[start].tolist(), np.append(start, len(value)).tolist()
-                low, n = value.astype(np.uint32).view(np.int32), n.astype(np.int32)
-                if size == 1:
-                    langs, buckets, edge = [*langs, lang], [*buckets, -1 - len(value) % BUCKETS], [*edge, len(value) + 1]
-                    low, n = np.append(low, np.int32(0)), np.append(n, np.int32(inside.sum()))
-                offsets = pa.array(edge, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(low)), pa.ListArray.from_arrays(offsets, pa.array(n))]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(buckets, pa.int32()), *lists], ["lang", "bucket", "low", "n"])
+        held, size, totals = [np.zeros(0, np.uint64)], 0, Counter()
+        for langs, row, h, piece in text_words(batches):
+            for k in sizes:
+                code, inside = grams(h, piece, k)
+                if k > 1:  # its words, or its pairs, must all pass
+                    part = min(k - 1, 2)
+                    inside &= every(known.passing(part, *grams(h, piece, part)), k - part + 1)
+                else:
+                    for lang, n in zip(langs, np.bincount(row, minlength=len(langs)).tolist()):
+                        totals[lang] += n
+                held.append(code[inside])
+                size += len(held[-1])
+            if size >= chunk_words:
+                yield packed(held, totals)
+                held, size, totals = [np.zeros(0, np.uint64)], 0, Counter()
+        yield packed(held, totals)
 
     return docs.mapInArrow(collect, "lang string, bucket int, low array<int>, n array<int>")
 
@@ -204,23 +224,31 @@ def emit(lang: str, words: pa.Array, prefix: list[np.ndarray], follower: np.ndar
 
 
 def stripes(docs: DataFrame, shared: Shared, chunk_words: int) -> DataFrame:
-    """Stripes of all prefixes of one to three words that pass, combined by chunk, before they are merged.
+    """Stripes of all prefixes of one to three words, combined by chunk, before they are merged.
 
-    Every place of a prefix counts, so that a stripe sums to its prefix; a follower has its
-    own entry if prefix and follower together pass.
+    A follower has an entry if prefix and follower together pass. Every place of a single
+    word counts, so that its stripe sums to the word; longer prefixes have their total as an
+    entry of the shorter prefix's stripe.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.get()
+        known, powers = shared.get(), Powers()
         for lang, words, seq in chunks(batches, chunk_words):
-            h, seq = hashed(lang, words, seq)
-            words[0] = b""
-            column = pa.array([w.decode() for w in words], pa.string())
-            passing = known.passing(h, seq, 1)
+            column = pa.array(["", *[w.decode() for w in words[1:]]], pa.string())
+            data, offsets = utf8(column.cast(pa.large_string()))
+            own = np.zeros(len(words), np.uint64)
+            own[1:] = mix(word_hashes(data, offsets[1:], powers, np.ones(len(data), dtype=bool))[3] ^ np.uint64(seed(lang)))
+            piece, ids = np.cumsum(seq == 0)[seq > 0], seq[seq > 0]
+            h = own[ids]
+            code = grams(h, piece, 1)
+            passing = known.passing(1, *code)
+            ids = np.append(ids, 0)
             for size in range(1, LONGEST):
-                prefix, passing = np.flatnonzero(passing), known.passing(h, seq, size + 1)
-                hot = np.isin(grams(h, seq, size)[0][prefix], known.hot)
-                yield from emit(lang, column, [seq[prefix + i] for i in range(size)], np.where(passing[prefix], seq[prefix + size], 0), h, hot)
+                longer = grams(h, piece, size + 1)
+                follows = known.passing(size + 1, *longer)
+                prefix = np.flatnonzero(passing if size == 1 else follows)
+                yield from emit(lang, column, [ids[prefix + i] for i in range(size)], np.where(follows[prefix], ids[np.minimum(prefix + size, len(ids) - 1)], 0), own, np.isin(code[0][prefix], known.hot))
+                code = longer
 
     return docs.mapInArrow(collect, STRIPES)
 
@@ -234,14 +262,10 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
     own = parts.repartition("lang", "prefix", "bucket").select("lang", "prefix", "bucket", F.explode(F.arrays_zip("next", "f")).alias("e"))
     added = own.groupBy("lang", "prefix", "bucket", F.col("e.next").alias("next")).agg(F.sum("e.f").alias("f"))
     long = (F.col("next") != "") & (F.col("f") >= least)
-    return added.groupBy("lang", "prefix", "bucket").agg(
+    each = added.groupBy("lang", "prefix", "bucket").agg(
         F.sum("f").alias("sum"), F.max(F.when(long, F.col("f"))).alias("most"), F.collect_list(F.when(long, F.struct("next", "f"))).alias("ext")
     )
-
-
-def whole(striped: DataFrame) -> DataFrame:
-    """lang, phrase, f, top: totals of the prefixes and their largest entry, over all buckets."""
-    return striped.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("sum").alias("f"), F.max("most").alias("top"))
+    return each.where((F.size("ext") > 0) | ~F.contains("prefix", F.lit(" ")))
 
 
 def part(first: int, n: Column | None = None) -> Column:
@@ -265,13 +289,14 @@ def collocations(docs: DataFrame, least: int = LEAST, subsumed: int = SUBSUMED,
     frequent(docs, filters, (3, 4), least, chunk_words, hot_at)
     striped = stored(merged(stripes(docs, Shared(docs.sparkSession, filters), chunk_words), least))
 
-    facts = stored(whole(striped).where(F.col("f") >= least))
     phrases = striped.select("lang", "prefix", F.explode("ext").alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("phrase"), F.col("e.f").alias("a"))
-    hot = [f"{r['lang']}\n{r['phrase']}" for r in facts.where(F.col("f") > hot_at).select("lang", "phrase").collect()]  # fewer than HOT_SHARE rows a size
-    scored = best_cuts(phrases, facts.select("lang", F.col("phrase").alias("part"), "f"), hot)
+    words = striped.where(~F.contains("prefix", F.lit(" "))).groupBy("lang", F.col("prefix").alias("part")).agg(F.sum("sum").alias("f")).where(F.col("f") >= least)
+    facts = stored(words.unionByName(phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))))
+    hot = [f"{r['lang']}\n{r['part']}" for r in facts.where(F.col("f") > hot_at).select("lang", "part").collect()]  # fewer than HOT_SHARE rows a size
+    scored = best_cuts(phrases, facts, hot)
 
     left = phrases.where(F.size(F.split("phrase", " ")) > 2).groupBy("lang", part(2).alias("phrase")).agg(F.max("a").alias("left"))
-    right = facts.where("top is not null").select("lang", "phrase", "top")
+    right = striped.where("most is not null").groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("most").alias("top"))
     kept = scored.join(left, ["lang", "phrase"], "left").join(right, ["lang", "phrase"], "left")
     # Whatever holds a phrase holds it with one neighbour, and that longer phrase is as frequent at least.
     kept = kept.where(~(100 * F.coalesce(F.greatest("left", "top"), F.lit(0)) >= subsumed * F.col("a")))
