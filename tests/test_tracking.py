@@ -175,6 +175,34 @@ def test_watermark_closes_frames(spark, tmp_path):
     assert got == [(r[1], r[2]) for r in rows] and out.where("event = 'late'").isEmpty()
 
 
+def test_frame_waits_for_its_latest_row(spark, tmp_path):
+    """Rows of frame 0 at 0, 8 and 9 hours with an hour's delay: the third comes when the watermark stands at 7 hours."""
+    at = lambda h: 86400 + int(3600 * h)
+    parts = [[("s", 0, "a", 0.0, at(0))], [("s", 0, "b", 50.0, at(8))], [("t", 0, "x", 0.0, at(8))], [("s", 0, "c", 90.0, at(9)), ("s", 1, "d", 0.5, at(9.5))], [("t", 9, "y", 0.0, at(99))]]
+    make = lambda part: spark.createDataFrame(part, "sequence_id string, frame_index int, detection_id string, x double, at int").select("*", F.lit(0.0).alias("y"), F.lit(0.5).alias("quality_score")).withColumn("at", F.timestamp_seconds("at"))
+    for part in parts:
+        make(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(make(parts[0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = stream.run_available(stream.track_stream(src, time="at", delay="1 hour"), folder=str(tmp_path / "out"))
+    got = sorted((r.frame_index, r.event, r.detection_id) for r in out.where("sequence_id = 's' and detection_id is not null").collect())
+    assert got == [(0, "observed", "a"), (0, "observed", "b"), (0, "observed", "c"), (1, "observed", "d")]
+
+
+@pytest.mark.parametrize("batches", [1, 10])
+def test_stream_metrics_equal_batch(spark, sf, batches, monkeypatch):
+    from trackframe.operators import evaluation
+    from trackframe.plans import sources
+
+    monkeypatch.setattr(sources, "SLICES", batches)
+    keys = ["sequence_id", "frame_index"]
+    det, truth = views.detections(spark, sf), views.visible_truth(spark, sf)
+    want = evaluation.outcome_counts(det, views.truth(spark, sf), 5.0, keys, keys).select(*keys, "tp", "fp", "fn")
+    a, delay = sources.timed(spark, det.select(*keys, "detection_id", "x", "y"), "detection_id")
+    b, _ = sources.timed(spark, truth.select(*keys, "truth_id", "x", "y"), "truth_id")
+    got = stream.run_available(stream.frame_metrics_stream(a, b, 5.0, delay=delay, lasts="1 day")).select(*keys, "tp", "fp", "fn")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_result_does_not_depend_on_partitions(spark, sf):
     d = views.detections(spark, sf).withColumnsRenamed({"x": "x_raw_px", "y": "y_raw_px"})
     a = tracking.track_sequences(d, sequences_are_small=True).drop("timestamp_s")

@@ -29,7 +29,7 @@ class Matching:
     unmatched_right: DataFrame
 
 
-def gated_pairs(
+def gate_cells(
     left: DataFrame,
     right: DataFrame,
     gate: float,
@@ -39,13 +39,9 @@ def gated_pairs(
     right_xy: tuple[str, str] = ("x", "y"),
     keys: list[str] = FRAME,
     cell_gates: float = 4.0,
-) -> DataFrame:
-    """All (left, right) pairs of one frame at Euclidean distance <= gate.
-
-    An equi join on square cells of `cell_gates` gates: every right point is copied
-    to each cell its gate box touches (2.25 on average), every left point stays in
-    its own, so a pair meets exactly once and a crowded frame spreads over its cells.
-    """
+    keep: list[str] = [],
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their grid cells (cx, cy), the right one copied to all cells its gate touches; `keep` names more columns."""
     cell = float(gate) * cell_gates
     if gate <= 0:
         raise ValueError("gate must be positive")
@@ -57,16 +53,37 @@ def gated_pairs(
     lx, ly = left_xy
     rx, ry = right_xy
     a = left.select(
-        *keys, F.col(left_id).alias("left_id"), F.col(lx).alias("lx"), F.col(ly).alias("ly"),
+        *keys, *keep, F.col(left_id).alias("left_id"), F.col(lx).alias("lx"), F.col(ly).alias("ly"),
         F.floor(F.col(lx) / cell).alias("cx"), F.floor(F.col(ly) / cell).alias("cy"),
     )
     # A hair more than the gate keeps rounding at a cell edge from losing a pair.
     slack = float(gate) * (1 + 1e-9) + 1e-9
     b = (
-        right.select(*keys, F.col(right_id).alias("right_id"), F.col(rx).alias("rx"), F.col(ry).alias("ry"))
+        right.select(*keys, *keep, F.col(right_id).alias("right_id"), F.col(rx).alias("rx"), F.col(ry).alias("ry"))
         .withColumn("cx", F.explode(cells(F.col("rx"), slack)))
         .withColumn("cy", F.explode(cells(F.col("ry"), slack)))
     )
+    return a, b
+
+
+def gated_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    gate: float,
+    left_id: str = "detection_id",
+    right_id: str = "truth_id",
+    left_xy: tuple[str, str] = ("x", "y"),
+    right_xy: tuple[str, str] = ("x", "y"),
+    keys: list[str] = FRAME,
+    cell_gates: float = 4.0,
+) -> DataFrame:
+    """All (left, right) pairs of one frame at Euclidean distance <= gate.
+
+    An equi join on square cells of `cell_gates` gates: every right point is copied
+    to each cell its gate box touches (2.25 on average), every left point stays in
+    its own, so a pair meets exactly once and a crowded frame spreads over its cells.
+    """
+    a, b = gate_cells(left, right, gate, left_id, right_id, left_xy, right_xy, keys, cell_gates)
     return (
         a.join(b, [*keys, "cx", "cy"])
         .withColumn("distance", dist("lx", "ly", "rx", "ry"))

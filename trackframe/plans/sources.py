@@ -10,6 +10,7 @@ from trackframe import schemas as s
 from trackframe.functions.lineage import ensure_checkpoint_dir
 from trackframe.operators import trajectory as r
 from trackframe.plans import views as v
+from trackframe.plans.evaluation import OUTCOMES
 from trackframe.plans.registry import query
 from trackframe.plans.trajectory import FORECAST, fit_cte, n6, r6
 from trackframe.sources import readers as rd
@@ -226,16 +227,38 @@ def event_stream(spark, d):
 
 
 def staged(spark, d, batches=4):
-    """The detections as files of a stream folder, out of order, and a last file that ends every sequence."""
+    """The detections as files of a stream folder, out of order, and last files that end every sequence."""
     det = v.detections(spark, d).select("sequence_id", "frame_index", "detection_id", "x", "y", "quality_score").withColumn("ends", F.lit(False))
-    folder = f"{ensure_checkpoint_dir(spark)}/detections-{uuid.uuid4().hex}"
-    part = F.pmod(F.xxhash64("detection_id"), F.lit(batches))
-    for k in range(batches):
-        det.where(part == k).coalesce(1).write.mode("append").parquet(folder)
     null = lambda c: F.lit(None).cast(det.schema[c].dataType).alias(c)
     ends = det.select("sequence_id").distinct().select("sequence_id", *[null(c) for c in det.columns[1:-1]], F.lit(True).alias("ends"))
-    ends.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    part = F.pmod(F.xxhash64("detection_id"), F.lit(batches))
+    return stream_of(spark, [det.where(part == k) for k in range(batches)] + [ends], batches + 1)
+
+
+def stream_of(spark, tables, batches):
+    """Tables written one after the other, each by as many tasks as it has, and read in about `batches` micro-batches in that order."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for t in tables:
+        t.write.mode("append").parquet(folder)
+    files = spark.read.parquet(folder).select(F.input_file_name().alias("f")).distinct().count()
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(folder)
+
+
+SLICES, DAY = 8, 86400
+
+
+def timed(spark, rows, ident):
+    """Rows as a stream in order of frames by slices, with event times spread over the frame's day, and how far the order is off.
+
+    A row far ahead, of a sequence without a name, moves the watermark past all others; its own frame stays open.
+    """
+    last = rows.agg(F.max("frame_index").alias("m")).first()["m"] or 0
+    width = last // SLICES + 1
+    at = F.timestamp_seconds(F.col("frame_index") * DAY + F.pmod(F.xxhash64(ident), F.lit(DAY)))
+    rows = rows.withColumn("event_time", at)
+    first = {f.name: "" if f.dataType.simpleString() == "string" else 0 for f in rows.schema if f.name != "event_time"}
+    ahead = spark.range(1).select(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in first.items()], F.timestamp_seconds(F.lit((last + 4 * width + 9) * DAY)).alias("event_time"))
+    return stream_of(spark, [rows.where(F.floor(F.col("frame_index") / width) == k) for k in range(SLICES)] + [ahead], SLICES), f"{width + 1} days"
 
 
 @query("track_stream")
@@ -250,6 +273,24 @@ def _(spark, d):
     return out.where("detection_id is not null").select("sequence_id", "frame_index", "detection_id", "event")
 
 
+# The same, with frames closed by event times that are spread over each frame.
+@query("track_stream_timed", v.sql("detections", "SELECT sequence_id, CAST(frame_index AS INTEGER) AS frame_index, detection_id, 'observed' AS event FROM detections"))
+def _(spark, d):
+    rows, delay = timed(spark, v.detections(spark, d).select("sequence_id", "frame_index", "detection_id", "x", "y", "quality_score"), "detection_id")
+    out = st.run_available(st.track_stream(rows, time="event_time", delay=delay))
+    return out.where("detection_id is not null").select("sequence_id", "frame_index", "detection_id", "event")
+
+
+@query("frame_metrics_stream", v.sql("pairs", """
+    SELECT sequence_id, CAST(frame_index AS INTEGER) AS frame_index, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fp') AS fp, count(*) FILTER (kind = 'fn') AS fn,
+      round(coalesce(sum(distance * distance), 0), 6) AS squared_error FROM outcomes GROUP BY ALL""", OUTCOMES))
+def _(spark, d):
+    det, delay = timed(spark, v.detections(spark, d).select("sequence_id", "frame_index", "detection_id", "x", "y"), "detection_id")
+    truth, _ = timed(spark, v.visible_truth(spark, d).select("sequence_id", "frame_index", "truth_id", "x", "y"), "truth_id")
+    out = st.run_available(st.frame_metrics_stream(det, truth, 5.0, delay=delay, lasts="1 day"))
+    return out.select("sequence_id", "frame_index", "tp", "fp", "fn", *r6("squared_error"))
+
+
 @query("frame_counts_stream", v.sql("detections", """
     SELECT sequence_id, frame_index, count(*) AS detections, round(avg(quality_score), 6) AS mean_quality FROM detections GROUP BY ALL"""))
 def _(spark, d):

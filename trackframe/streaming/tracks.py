@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from trackframe.functions.assignment import solve
+from trackframe.functions.columns import dist
 from trackframe.functions.lineage import ensure_checkpoint_dir
 from trackframe.functions.stepper import ActiveTrack, SequenceStepper, TrackerConfig
+from trackframe.operators.matching import gate_cells
 
 OUTPUT = T.StructType(
     [
@@ -34,18 +37,22 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 TRACK_STATE = "track_no long, misses int, count int, quality double, f1 int, x1 double, y1 double, f0 int, x0 double, y0 double"
-BUFFER_STATE = "frame int, detection_id string, x double, y double, quality double, at_ms long"
+FRAME_KEY = "frame int"
+BUFFER_STATE = "ids array<string>, x array<double>, y array<double>, quality array<double>"
+TIME_STATE = "latest_ms long"
 META_STATE = "next_no long, last_frame int, closed int"
 
 
 class FrameTracker(StatefulProcessor):
     """Buffers detections until their frame is closed, then steps frame by frame.
 
-    A frame is closed by a marker (`closes`) or, with event times, by the watermark: a
-    timer at the frame's own time wakes the sequence even if no further row comes. State
-    per sequence: active tracks (ended ones are emitted and forgotten), the buffered rows
-    of open frames, and three numbers; an end marker drops all of it. Rows for a frame
-    that is already processed go out as 'late' and never enter a track.
+    A frame is closed by a marker (`closes`) or, with event times, once the watermark has
+    passed the LATEST row of it and of every earlier open frame: each open frame has one
+    timer at its latest time, which moves with it. State per sequence: active tracks (ended
+    ones are emitted and forgotten), a map of open frames to their rows, of which a batch
+    rewrites only the frames it touches, a map of open frames to their latest time, and three
+    numbers; an end marker drops all of it. Rows for a frame that is already processed go out
+    as 'late' and never enter a track.
     """
 
     def __init__(self, config: TrackerConfig, timed: bool = False):
@@ -54,13 +61,13 @@ class FrameTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tracks = handle.getListState("tracks", TRACK_STATE)
-        self.buffer = handle.getListState("buffer", BUFFER_STATE)
+        self.buffer = handle.getMapState("buffer", FRAME_KEY, BUFFER_STATE)
+        self.latest = handle.getMapState("latest", FRAME_KEY, TIME_STATE)
         self.meta = handle.getValueState("meta", META_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         next_no, last, closed = self._numbers()
-        waiting = [tuple(r) for r in self.buffer.get()]
-        late, timers, over = [], set(), False
+        late, over, fresh = [], False, {}
         for block in rows:
             for fi, did, x, y, q, closes, ends, at in zip(*[block[c].tolist() for c in ("frame_index", "detection_id", "x", "y", "quality_score", "closes", "ends", "at_ms")]):
                 over |= ends is True
@@ -71,59 +78,65 @@ class FrameTracker(StatefulProcessor):
                 if last is not None and int(fi) <= last:
                     late.append((key[0], int(fi), "late", None, did, x, y, None, None, q, None))
                 else:
-                    waiting.append((int(fi), did, x, y, q, None if at is None or at != at else int(at)))
-                    timers.add(waiting[-1][5])
+                    fresh.setdefault(int(fi), []).append((did, x, y, q, _whole(at)))
         if late:
             yield _rows(late)
+        times = self._times()
+        before = set(times.values())
+        for fi, new in fresh.items():
+            old = self.buffer.getValue((fi,)) or ([], [], [], [])
+            self.buffer.updateValue((fi,), tuple([*held, *(r[k] for r in new)] for k, held in enumerate(old)))
+            times[fi] = max((t for t in (times.get(fi), *(r[4] for r in new)) if t is not None), default=None)
+            self.latest.updateValue((fi,), (times[fi],))
         if self.timed:
-            closed = self._passed(waiting, closed, timerValues)
-            for at in sorted(t for t in timers if t is not None and t > timerValues.getCurrentWatermarkInMs()):
+            mark = timerValues.getCurrentWatermarkInMs()
+            wanted = {t for t in times.values() if t is not None and t > mark}
+            for at in sorted(t for t in before - wanted if t is not None and t > mark):
+                self.handle.deleteTimer(at)
+            for at in sorted(wanted - before):
                 self.handle.registerTimer(at)
-        if over and waiting:
-            closed = max([w[0] for w in waiting] + ([closed] if closed is not None else []))
-        yield from self._advance(key[0], waiting, next_no, last, closed, over)
+            closed = _passed(times, closed, mark)
+        if over and times:
+            closed = max([*times, *([closed] if closed is not None else [])])
+        yield from self._advance(key[0], times, next_no, last, closed, over)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         next_no, last, closed = self._numbers()
-        waiting = [tuple(r) for r in self.buffer.get()]
-        yield from self._advance(key[0], waiting, next_no, last, self._passed(waiting, closed, timerValues), False)
+        times = self._times()
+        yield from self._advance(key[0], times, next_no, last, _passed(times, closed, timerValues.getCurrentWatermarkInMs()), False)
 
     def _numbers(self) -> tuple:
         found = self.meta.get() if self.meta.exists() else (1, None, None)
-        whole = lambda v: None if v is None or v != v else int(v)
-        return int(found[0]), whole(found[1]), whole(found[2])
+        return int(found[0]), _whole(found[1]), _whole(found[2])
 
-    def _passed(self, waiting: list, closed: int | None, timerValues) -> int | None:
-        """The last frame whose rows all lie behind the watermark."""
-        mark = timerValues.getCurrentWatermarkInMs()
-        whole = lambda v: v is not None and v == v
-        done = [w[0] for w in waiting if whole(w[5]) and int(w[5]) <= mark]
-        return max([*done, *([closed] if closed is not None else [])], default=None)
+    def _times(self) -> dict[int, int | None]:
+        """Open frames and the latest event time of each, None if its rows have no time."""
+        return {int(k[0]): _whole(v[0]) for k, v in self.latest.iterator()} if self.latest.exists() else {}
 
-    def _advance(self, seq, waiting: list, next_no: int, last: int | None, closed: int | None, over: bool) -> Iterator[pd.DataFrame]:
+    def _advance(self, seq, times: dict, next_no: int, last: int | None, closed: int | None, over: bool) -> Iterator[pd.DataFrame]:
         """Step through the closed frames, a table of rows each, and put the state back."""
         if closed is not None and (last is None or closed > last):
             stepper = SequenceStepper(self.config, next_no)
             for no, misses, count, quality, f1, x1, y1, f0, x0, y0 in (tuple(r) for r in self.tracks.get()):
                 before = None if f0 is None or f0 != f0 else (int(f0), x0, y0)
                 stepper.active.append(ActiveTrack(int(no), int(misses), int(count), quality, (int(f1), x1, y1), before))
-            by_frame: dict = {}
-            for fi, did, x, y, q, _ in sorted((r for r in waiting if r[0] <= closed), key=lambda r: (r[0], r[1])):
-                by_frame.setdefault(int(fi), []).append((did, x, y, q, did))
-            waiting = [r for r in waiting if r[0] > closed]
-            start = last + 1 if last is not None else (min(by_frame) if by_frame else closed + 1)
+            done = sorted(fi for fi in times if fi <= closed)
+            start = last + 1 if last is not None else (done[0] if done else closed + 1)
             for fi in range(start, closed + 1):
-                if stepper.active or fi in by_frame:
-                    yield _rows(self._frame(seq, stepper, fi, by_frame.get(fi, [])))
-            if by_frame or last is not None:
+                rows = sorted(zip(*self.buffer.getValue((fi,)))) if fi in times else []
+                if stepper.active or rows:
+                    yield _rows(self._frame(seq, stepper, fi, [(did, x, y, q, did) for did, x, y, q in rows]))
+            for fi in done:
+                self.buffer.removeKey((fi,))
+                self.latest.removeKey((fi,))
+            if done or last is not None:
                 last = closed
             next_no = stepper.next_no
             _keep(self.tracks, [(t.track_no, t.misses, t.count, t.quality_sum, *t.last, *(t.before or (None, None, None))) for t in stepper.active])
         if over:
-            for state in (self.tracks, self.buffer, self.meta):
+            for state in (self.tracks, self.buffer, self.latest, self.meta):
                 state.clear()
             return
-        _keep(self.buffer, waiting)
         self.meta.update((next_no, last, closed))
 
     def _frame(self, seq, stepper: SequenceStepper, frame: int, dets: list) -> list:
@@ -144,6 +157,20 @@ class FrameTracker(StatefulProcessor):
         pass
 
 
+def _whole(v) -> int | None:
+    return None if v is None or v != v else int(v)
+
+
+def _passed(times: dict[int, int | None], closed: int | None, mark: int) -> int | None:
+    """The last open frame up to which every row seen lies behind the watermark; rows without a time wait for it, but hold nothing up."""
+    for fi in sorted(times):
+        if times[fi] is not None:
+            if times[fi] > mark:
+                break
+            closed = fi if closed is None else max(closed, fi)
+    return closed
+
+
 def _rows(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=OUTPUT.names).astype({"track_no": "Int64", "observed_count": "Int32", "misses": "Int32", "frame_index": "Int32"})
 
@@ -164,7 +191,8 @@ def track_stream(rows: DataFrame, config: TrackerConfig = TrackerConfig(), time:
     are complete for the sequence; `ends` that nothing more comes, which closes the last
     frame and drops the sequence's state; a row with a NULL detection_id is only such a
     marker, so that empty frames advance misses too. With `time`, a frame is also closed
-    once the watermark (`delay` behind the latest event) has passed it. The same rows give
+    once the watermark (`delay` behind the latest event) has passed its latest row; `delay`
+    must not be shorter than a frame lasts. The same rows give
     the same tracks however they are split into files and micro-batches, as long as no row
     comes after its frame was closed. The session needs the state store named in ROCKSDB
     (`run_available` sees to it).
@@ -178,6 +206,80 @@ def track_stream(rows: DataFrame, config: TrackerConfig = TrackerConfig(), time:
     )
 
 
+FRAME_RESULT = "sequence_id string, frame_index int, tp long, fp long, fn long, squared_error double"
+
+
+class FrameMatcher(StatefulProcessor):
+    """Matches one frame when the watermark has passed its latest row.
+
+    State per open frame: its gated pairs, the numbers of its two sides and its latest time;
+    all of it goes with the result. One timer, which moves with the latest row.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pairs = handle.getListState("pairs", "left string, right string, distance double")
+        self.numbers = handle.getValueState("numbers", "detections long, truths long, latest_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        detections, truths, latest = self.numbers.get() if self.numbers.exists() else (0, 0, None)
+        before, pairs = latest, []
+        for block in rows:
+            for left, right, distance, at in zip(*[block[c].tolist() for c in ("left_id", "right_id", "distance", "at_ms")]):
+                if left is not None and right is not None:
+                    pairs.append((left, right, distance))
+                else:
+                    detections, truths = detections + (left is not None), truths + (right is not None)
+                    latest = int(at) if latest is None else max(latest, int(at))
+        if pairs:
+            self.pairs.appendList(pairs)
+        if latest != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(latest)
+        self.numbers.update((detections, truths, latest))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        detections, truths, _ = self.numbers.get()
+        cost = {(a, b): d for a, b, d in (tuple(r) for r in self.pairs.get())}
+        found = solve([(a, b, d) for (a, b), d in cost.items()]) if cost else []
+        row = (key[0], int(key[1]), len(found), detections - len(found), truths - len(found), float(sum(cost[p] ** 2 for p in found)))
+        self.pairs.clear()
+        self.numbers.clear()
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in FRAME_RESULT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def frame_metrics_stream(detections: DataFrame, truth: DataFrame, gate: float = 5.0, time: str = "event_time", delay: str = "1 hour", lasts: str = "1 hour") -> DataFrame:
+    """tp, fp, fn and summed squared distance of every frame, once, as an append stream.
+
+    detections(sequence_id, frame_index, detection_id, x, y, time), truth(sequence_id,
+    frame_index, truth_id, x, y, time; what is visible). A stream-stream join on sequence,
+    frame and grid cell finds the pairs inside the gate; its state is bounded by the
+    watermarks of both sides, as rows of one frame are at most `lasts` apart. A frame is
+    matched exactly when the watermark has passed its latest row. Rows come without regard
+    to order or side; `delay` must not be shorter than `lasts`. A frame without any row has no
+    result row, and rows without an id or a time are dropped.
+    """
+    side = lambda df, ident: df.where(F.col(ident).isNotNull() & F.col(time).isNotNull()).withWatermark(time, delay)
+    left, right = side(detections, "detection_id"), side(truth, "truth_id")
+    a, b = gate_cells(left, right, gate, keep=[time])
+    b = b.withColumnRenamed(time, "right_time")
+    near = F.expr(f"right_time between {time} - interval {lasts} and {time} + interval {lasts}")
+    same = [a[c] == b[c] for c in ("sequence_id", "frame_index", "cx", "cy")]
+    distance = dist("lx", "ly", "rx", "ry")
+    pairs = a.join(b, [*same, near]).where(distance <= float(gate)).select(a["sequence_id"], a["frame_index"], "left_id", "right_id", distance.alias("distance"), time)
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    rows = left.select("sequence_id", "frame_index", F.col("detection_id").cast("string").alias("left_id"), none("string", "right_id"), none("double", "distance"), time)
+    rows = rows.unionByName(right.select("sequence_id", "frame_index", none("string", "left_id"), F.col("truth_id").cast("string").alias("right_id"), none("double", "distance"), time)).unionByName(pairs)
+    return rows.withColumn("at_ms", F.unix_millis(time)).groupBy("sequence_id", "frame_index").transformWithStateInPandas(
+        statefulProcessor=FrameMatcher(), outputStructType=FRAME_RESULT, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def frame_counts_stream(rows: DataFrame, time: str = "event_time", width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Detections per sequence and time window, for monitoring a running stream."""
     return (
