@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import dets, truths
-from trackframe.functions.ranks import exact_percentiles, global_rank
+from trackframe.functions.ranks import DIGITS, exact_percentiles, global_rank
 from trackframe.operators import datasets as ds
 from trackframe.operators import evaluation as ev
 from trackframe.operators import geometry as g
@@ -115,24 +115,24 @@ def test_percentiles_are_exact_under_skew(spark):
     data = [("a", float(v)) for v in rng.normal(0, 1, 500)] + [("a", 3.25)] * 4000 + [("b", 1e9)] + [("b", float(v)) for v in rng.integers(0, 9, 77)] + [("c", 2.0)]
     df = spark.createDataFrame(data, "k string, v double")
     ps = [0.0, 0.1, 0.5, 0.95, 1.0]
-    for buckets in (4096, 3):
-        got = {(r.k, r.p): r.value for r in exact_percentiles(df, "v", ps, ["k"], buckets).collect()}
+    for digits in (DIGITS, (2, 25, 25)):
+        got = {(r.k, r.p): r.value for r in exact_percentiles(df, "v", ps, ["k"], digits).collect()}
         for k in "abc":
             want = np.percentile([v for q, v in data if q == k], [p * 100 for p in ps])
             assert np.allclose([got[k, p] for p in ps], want)
 
 
 def test_outlier_leaves_small_cells(spark):
-    from trackframe.functions.ranks import _ratio_cell
+    from trackframe.functions.ranks import _digit
 
     values = spark.range(200_000).select((F.rand(5) * 100).alias("v")).unionByName(spark.createDataFrame([(1e9,), (-3e12,)], "v double")).persist()
-    largest = values.groupBy(_ratio_cell("v", 4096).alias("c")).count().agg(F.max("count")).first()[0]
+    largest = values.groupBy(_digit("v", 0, (12,)).alias("c")).count().agg(F.max("count")).first()[0]
     assert largest < 200
     rows = np.array([r.v for r in values.collect()])
     got = {r.p: r.value for r in exact_percentiles(values, "v", [0.0, 0.05, 0.5, 0.95, 1.0]).collect()}
     assert all(np.isclose(v, np.percentile(rows, 100 * p), rtol=1e-12) for p, v in got.items()) and len(got) == 5
     powers = spark.createDataFrame([(float(x),) for k in range(-40, 40) for x in (np.nextafter(2.0**k, 0), 2.0**k, np.nextafter(2.0**k, 1e30))], "v double")
-    cells = [r.c for r in powers.select("v", _ratio_cell("v", 8).alias("c")).orderBy("v").collect()]
+    cells = [r.c for r in powers.select("v", _digit("v", 0, (3,)).alias("c")).orderBy("v").collect()]
     assert cells == sorted(cells)
 
 
@@ -249,14 +249,14 @@ def test_aperture_features_equal_dense_reference(spark):
             assert math.isclose(r.context_elongation, math.sqrt(e[1] / e[0]), rel_tol=1e-9)
 
 
-def test_component_labels_agree_in_frame_and_spread(spark):
+def test_component_labels_agree_for_any_tile(spark):
     rng = np.random.default_rng(8)
     rows = [(f"s{k}", f, int(x), int(y), 1.0, 0.5) for k in range(2) for f in range(3) for x, y in {tuple(q) for q in rng.integers(0, 22, (190, 2)).tolist()}]
     rows += [("snake", 0, i, 0 if i % 2 else 1, 1.0, 0.5) for i in range(90)]
     m = spark.createDataFrame(rows, "sequence_id string, frame_index int, x int, y int, response double, noise double").repartition(5)
     cols = ["sequence_id", "frame_index", "x", "y", "component"]
-    a, b = (sorted(map(tuple, px.label_components(m, w).select(*cols).collect())) for w in (True, False))
-    assert a == b and len(a) == len(rows) and len({r[4] for r in a if r[0] == "snake"}) == 1
+    a, b, c = (sorted(map(tuple, px.label_components(m, w).select(*cols).collect())) for w in (512, 5, 1))
+    assert a == b == c and len(a) == len(rows) and len({r[4] for r in a if r[0] == "snake"}) == 1
 
 
 def test_label_rules_reject_each_malformed_record(spark):
@@ -302,3 +302,35 @@ def test_provenance_hash_is_canonical(spark):
     r = provenance(df, {"b": 1, "a": [2]}, ["n", "sequence_id"]).first()
     assert r.config_sha256 == hashlib.sha256(json.dumps({"a": [2], "b": 1}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert r.input_sha256 == hashlib.sha256(b'{"n":3,"sequence_id":"s"}').hexdigest()
+
+
+def test_percentiles_of_any_doubles(spark):
+    rng = np.random.default_rng(2)
+    groups = {
+        "floats": rng.random(3000), "close": 0.5 + rng.random(2000) * 1e-13, "bytes": rng.integers(0, 256, 4000) / 255, "tiny": rng.random(500) * 5e-320, "one": np.array([3.25]),
+        "signs": np.concatenate([-rng.random(700), [0.0, -0.0, 1e300, -1e300, 5e-324, np.inf, -np.inf], rng.random(400) * 1e9]), "powers": 2.0 ** rng.integers(-1000, 1000, 999), "same": np.full(50, -7.5),
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("floats", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    ps = (0.0, 0.01, 0.37, 0.5, 0.99, 1.0)
+    got = {(r.g, r.p): r.value for r in exact_percentiles(df, "v", ps, ["g"]).collect()}
+    want = {(g, p): np.quantile(vs, p) for g, vs in groups.items() for p in ps}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        if np.isfinite(v):
+            assert got[k] == v or math.isclose(got[k], v, rel_tol=1e-12, abs_tol=1e-323), (k, got[k], v)
+    assert exact_percentiles(df.where("g = 'none'"), "v", ps).count() == 0
+
+
+def test_median_and_mad_of_float_frames(spark):
+    rng = np.random.default_rng(6)
+    frames = {f: rng.random((20, 30)) * (1e-9 if f else 1) for f in range(2)}
+    rows = [("s", f, x, y, float(v[y, x])) for f, v in frames.items() for y in range(20) for x in range(30)]
+    df = spark.createDataFrame(rows + [("s", 7, 0, 0, None)], "sequence_id string, frame_index int, x int, y int, value double")
+    got = {r.frame_index: r for r in px.robust_sigma(df, 0.0).collect()}
+    assert got[7].frame_median is None
+    for f, v in frames.items():
+        med = np.median(v)
+        assert got[f].frame_median == med and math.isclose(got[f].sigma, 1.4826 * np.median(np.abs(v - med)), rel_tol=1e-12)
+    stats = {r.frame_index: r for r in px.frame_stats(df).collect()}
+    assert math.isclose(stats[0].q10, np.quantile(frames[0], 0.1), rel_tol=1e-12) and stats[7].median is None and stats[7].invalid_pixels == 1

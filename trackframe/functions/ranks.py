@@ -33,62 +33,66 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: str, order: Sequence[str |
     )
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), buckets: int = 4096
-) -> DataFrame:
+#: mantissa bits (52 in all) that one round of `exact_percentiles` looks at; sign and exponent go with the first
+DIGITS = (10, 14, 14, 14)
+
+
+def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), digits: tuple[int, ...] = DIGITS) -> DataFrame:
     """Linearly interpolated percentiles for groups of any size: (by…, p, value).
 
-    Equal values are counted first. Values then fall into cells of equal ratio (`buckets` to
-    each power of two), so that an outlier takes no width from the others, and the cells
-    that hold the wanted ranks are cut again into `buckets` cells of equal width between
-    their own ends, so that values close together part as well. Only what is left of
-    those cells is sorted. Nothing is approximated.
+    Radix selection: a combinable histogram over the leading digits of the values (sign,
+    exponent, some bits of the mantissa) says which cell holds each wanted rank; a cell with
+    one distinct value is done, and only rows of the others are counted again by their next
+    digits. All groups and ranks go together, at most len(digits) rounds, one for pixels of 8
+    bits; no task holds the values of a group, a histogram has at most 2**14 cells after the
+    first round, and each is written down once. NULLs are left out, NaN is the largest value.
+    `df` is read once a round; cut it first if it is dear.
     """
     keys = list(by) or ["_all"]
-    src = df.where(F.col(value).isNotNull())
-    src = src if by else src.withColumn("_all", F.lit(1))
-    counts = src.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    wanted = (
-        totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("at", (F.col("total") - 1) * F.col("p"))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
-        .select(*keys, "p", "at", "rank", F.lit(0).cast("long").alias("base"))
-    )
-    near, wanted = _narrow(counts.withColumn("c1", _ratio_cell("v", buckets)), wanted, keys, "c1")
-    span = near.groupBy(*keys, "c1").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    even = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("long")
-    near = near.join(span, [*keys, "c1"]).withColumn("c2", even).drop("lo", "hi")
-    near, wanted = _narrow(near, wanted, [*keys, "c1"], "c2")
-    cell = [*keys, "c1", "c2"]
-    running = W.partitionBy(*cell).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    found = near.withColumn("c", F.sum("n").over(running)).join(wanted, cell).where(
-        (F.col("rank") < F.col("base") + F.col("c")) & (F.col("rank") >= F.col("base") + F.col("c") - F.col("n"))
-    )
-    out = found.groupBy(*keys, "p").agg(
-        F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"), F.first("at").alias("at")
-    )
+    src = df.where(F.col(value).isNotNull()).select(*(by or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("v"))
+    wanted, path, found = None, [], None
+    for level in range(len(digits)):
+        cell = f"c{level}"
+        rows = src if wanted is None else src.withColumns({c: _digit("v", k, digits) for k, c in enumerate(path)}).join(wanted.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
+        sizes = rows.groupBy(*keys, *path, _digit("v", level, digits).alias(cell)).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        sizes = sizes.withColumn("upto", F.sum("n").over(W.partitionBy(*keys, *path).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)))
+        if wanted is None:
+            sizes = cut_lineage(sizes)
+            at = sizes.groupBy(*keys).agg(F.max("upto").alias("total")).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+            at = at.withColumn("at", (F.col("total") - 1) * F.col("p"))
+            wanted = at.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).withColumn("base", F.lit(0).cast("long"))
+        inside = (F.col("rank") >= F.col("base") + F.col("upto") - F.col("n")) & (F.col("rank") < F.col("base") + F.col("upto"))
+        hit = sizes.join(wanted, [*keys, *path]).where(inside).withColumn("base", F.col("base") + F.col("upto") - F.col("n"))
+        path.append(cell)
+        hit = cut_lineage(hit.select(*keys, *path, "p", "at", "rank", "base", "lo", "hi"))
+        same = F.col("lo").eqNullSafe(F.col("hi"))
+        done = hit.where(same).select(*keys, "p", "at", "rank", F.col("lo").alias("v"))
+        found = done if found is None else found.unionByName(done)
+        wanted = hit.where(~same).select(*keys, *path, "p", "at", "rank", "base")
+        if wanted.isEmpty():
+            break
+    out = found.groupBy(*keys, "p").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"), F.first("at").alias("at"))
     return out.select(*by, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 
-def _ratio_cell(value: str, buckets: int) -> Column:
-    """A number that grows with the value, `buckets` of them to each power of two.
+def _digit(value: str, level: int, digits: tuple[int, ...]) -> Column:
+    """Number `level` of the digits by which doubles are ordered; equal values agree in all, and others do not.
 
-    A logarithm rounded the wrong way at a power of two lands in the same cell: one less
-    in the exponent is `buckets` more in the fraction.
+    The mantissa is taken apart by products and differences that a double holds exactly. A
+    logarithm rounded the wrong way at a power of two leads to the same first digit: one less
+    in the exponent is one power of two more in the fraction.
     """
     size = F.abs(value)
     power = F.floor(F.log2(size))
-    cell = (power + 1100) * buckets + F.floor((size / F.pow(F.lit(2.0), power) - 1) * buckets) + 1
-    return F.when(F.col(value) == 0, 0).otherwise(F.signum(value) * cell).cast("long")
-
-
-def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of cells that hold a wanted rank, and the wanted ranks with the count before their cell in `base`."""
-    sizes = rows.groupBy(*keys, cell).agg(F.sum("n").alias("_n"))
-    upto = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)
-    sizes = sizes.withColumn("_upto", F.sum("_n").over(upto))
-    hit = sizes.join(wanted, keys).where((F.col("rank") >= F.col("base") + F.col("_upto") - F.col("_n")) & (F.col("rank") < F.col("base") + F.col("_upto")))
-    hit = hit.select(*keys, cell, "p", "at", "rank", (F.col("base") + F.col("_upto") - F.col("_n")).alias("base"))
-    return rows.join(hit.select(*keys, cell).distinct(), [*keys, cell], "left_semi"), hit
+    # In two steps, so that the smallest doubles are not lost in the power itself.
+    half = F.floor(power / 2)
+    rest = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), power - half) - 1
+    digit, first = None, 1 << digits[0]
+    for k in range(level + 1):
+        rest = rest * (1 << digits[k])
+        digit = F.floor(rest)
+        rest = rest - digit
+    if level == 0:
+        digit = (power + 1100) * first + digit + 1
+    signed = F.signum(value) * digit
+    return F.when(F.col(value) == 0, 0).when(F.isnan(value) | (size == float("inf")), F.when(F.col(value) < 0, -1).otherwise(F.when(F.isnan(value), 2).otherwise(1)) * (5000 * first)).otherwise(signed).cast("long")

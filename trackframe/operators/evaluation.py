@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trackframe.functions.columns import f1_counts, f1_ratios, ratio, reason_map, snap_zero
+from trackframe.functions.lineage import cut_lineage
 from trackframe.functions.ranks import exact_percentiles
 from trackframe.operators.matching import FRAME, ambiguous_truth, match_points, tag_matches
 
@@ -140,8 +141,10 @@ def frame_outcomes(pred: DataFrame, truth: DataFrame, frames: DataFrame, gate: f
 def frame_summary(per_frame: DataFrame, by: list[str] = [], ms: str | None = "processing_ms") -> DataFrame:
     """Counts first, then ratios, F1, localisation, fp per frame and timing.
 
-    Timing percentiles are exact and use no single-task sort.
+    Timing percentiles are exact and use no single-task sort. The rows per frame are written
+    down once, for both.
     """
+    per_frame = cut_lineage(per_frame) if ms else per_frame
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     aggs = [F.count("*").alias("frame_count"), *[F.sum(k).alias(k) for k in ("tp", "fp", "fn")]]
     aggs += [F.sum("distance_sum").alias("distance_sum"), F.sum("squared_error").alias("squared_error")]
@@ -332,23 +335,23 @@ def result_summary(detections: DataFrame, tracks: DataFrame, fits: DataFrame, fr
 def box_metrics(pred: DataFrame, truth: DataFrame, images: DataFrame, iou_gate: float = 0.5, **options) -> tuple[DataFrame, DataFrame]:
     """(totals row, failing images) of fixed-confidence box matching.
 
-    images(sequence_id, frame_index, inference_ms) lists every image, also empty ones.
+    images(sequence_id, frame_index, inference_ms) lists every image, also empty ones; ids are
+    unique inside an image. What is not matched follows from counts; rows per image are written once.
     """
     from trackframe.operators.matching import match_boxes
 
     m = match_boxes(pred, truth, iou_gate, **options)
-    count = lambda df, n: df.groupBy(*FRAME).agg(F.count("*").alias(n))
-    per = images
-    for df, n in ((m.pairs, "tp"), (m.unmatched_left, "fp"), (m.unmatched_right, "fn"), (truth, "truths"), (pred, "predicted")):
-        per = per.join(count(df, n), FRAME, "left")
-    per = per.na.fill(0, ["tp", "fp", "fn", "truths", "predicted"])
+    parts = [df.select(*FRAME, F.lit(n).alias("side")) for df, n in ((m.pairs, "tp"), (truth, "truths"), (pred, "predicted"))]
+    counts = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*FRAME).agg(*[F.count_if(F.col("side") == n).alias(n) for n in ("tp", "truths", "predicted")])
+    per = images.join(counts, FRAME, "left").na.fill(0, ["tp", "truths", "predicted"])
+    per = cut_lineage(per.withColumns({"fp": F.col("predicted") - F.col("tp"), "fn": F.col("truths") - F.col("tp")}))
     empty = F.col("truths") == 0
     totals = per.agg(
         F.count("*").alias("images"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],
         F.count_if(empty).alias("negative_images"), F.count_if(empty & (F.col("predicted") > 0)).alias("negative_images_with_fp"),
         F.coalesce(F.sum(F.when(empty, F.col("predicted"))), F.lit(0)).alias("negative_fp"), F.avg("inference_ms").alias("inference_ms_mean"),
     )
-    p95 = exact_percentiles(images, "inference_ms", [0.95]).select("value").scalar()
+    p95 = exact_percentiles(per, "inference_ms", [0.95]).select("value").scalar()
     totals = totals.withColumn("inference_ms_p95", p95).select(
         "*", ratio("tp", F.col("tp") + F.col("fp")).alias("fixed_precision"), ratio("tp", F.col("tp") + F.col("fn")).alias("fixed_recall"),
         ratio("negative_fp", "negative_images").alias("fp_per_negative"),

@@ -108,8 +108,8 @@ COMPONENTS = MASK + """, reach AS (SELECT sequence_id, frame_index, node, node A
 
 @query("connected_components", v.sql("pixels", "SELECT m.sequence_id, m.frame_index, m.x, m.y, CAST(l.component AS BIGINT) AS component FROM mk m JOIN lb l USING (sequence_id, frame_index, node)", COMPONENTS))
 def _(spark, d):
-    # Label propagation over the cluster; the queries below label inside each frame.
-    return p.label_components(mask(spark, d), in_frame=False).select("sequence_id", "frame_index", "x", "y", "component")
+    # Tiles of a few pixels, so that components cross many borders; the queries below use the default.
+    return p.label_components(mask(spark, d), tile=4).select("sequence_id", "frame_index", "x", "y", "component")
 
 
 FEATURES = COMPONENTS + """, cp AS (SELECT m.*, l.component FROM mk m JOIN lb l USING (sequence_id, frame_index, node)),
