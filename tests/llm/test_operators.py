@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import DOC, sentence
@@ -231,6 +232,36 @@ def test_markup():
     assert parse("").main_text() == "" and parse("a < b").main_text() == "a < b" and parse("<p>open <b").main_text() == "open"
 
 
+def test_broken_quotes_and_names_in_articles():
+    assert parse("<article><p title=it's>Hello there</p><p>don't go</p></article>").main_text() == "Hello there\n\ndon't go"
+    assert parse('<p title="x>Hello there</p>').main_text() == "Hello there" and parse("<p title='a > b' id=x>ok</p>").main_text() == "ok"
+    named = lambda c: parse(f'<article><p>Text</p><div class="{c}">More</div></article>').main_text()
+    assert [named(c) for c in ("share-price", "legal-news", "banner-title", "box")] == ["Text\n\nMore"] * 4
+    assert [named(c) for c in ("ad", "box ad", "social-share", "ad2")] == ["Text"] * 4
+
+
+def test_deep_pages_take_linear_time(spark):
+    data = [(1, "http://a.example/1", "<div>" * 100_000 + "word"), (2, "http://a.example/2", "".join(f"<div>w{i} a b c" for i in range(30_000))), (3, "http://a.example/3", "<b>" * 50_000 + "</i>" * 50_000 + "x")]
+    by = {r.page_id: r.text for r in extract.main_text(spark.createDataFrame(data, PAGE).select("*", *[F.lit("other").alias(c) for c in ("text", "host", "hash", "template", "page_key", "shown", "short", "n")])).collect()}
+    assert by[1] == "word" and by[2].count("\n\n") == 29_999 and by[3] == "x"
+
+
+def test_spans_equal_plain_walk():
+    rng = random.Random(12)
+    source = "".join(rng.choice(["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<article>", "</article>", "<li>", "</ul>", f"word{rng.randint(0, 9)} ", "more text here "]) for _ in range(900))
+    page = parse(source)
+    for k, (_, a, z) in page.subtrees().items():
+        own = []
+        for i, (e, _) in enumerate(page.blocks):
+            while e >= 0 and e != k:
+                e = page.elements[e].parent
+            own += [i] if e == k else []
+        assert own == list(range(a, z))
+    texts = {}
+    for h, a, z in page.subtrees().values():
+        assert texts.setdefault(h, [t for _, t in page.blocks[a:z]]) == [t for _, t in page.blocks[a:z]]
+
+
 def test_templates_are_removed_by_host(spark):
     data = [(i, f"https://www.A.example/{i}", f"<div><p>Same on every page</p></div><div><p>Own {i}</p></div>") for i in range(12)]
     data += [(100 + i, f"http://b.example/{i}", "<div><p>Same on every page</p></div>") for i in range(3)]

@@ -9,9 +9,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
+# A quote opens a value only right after the equals sign; a value without its second quote ends at the next >.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 SPLIT = re.compile(r"[^a-z]+")
 
@@ -30,6 +33,8 @@ FURNITURE_WORDS = frozenset(
 )
 #: a subtree of fewer words may recur without being a template
 LEAST_WORDS = 4
+#: base and modulus of the hash of a run of blocks
+BASE, PRIME = 0x5BD1E9955BD1E995, (1 << 61) - 1
 #: an opening tag of the first kind ends an open element of the second
 ENDS_P = BLOCK - {"body", "html", "head"}
 
@@ -47,18 +52,31 @@ class Page:
     elements: list[Element]
     blocks: list[tuple[int, str]]  # (innermost element, text) in page order
 
-    def subtrees(self) -> dict[int, tuple[int, list[int]]]:
-        """Hash of the text, and numbers of the blocks, of every element with text, but roots of articles, cells of tables in them and what holds a whole page."""
-        own: list[list[int]] = [[] for _ in self.elements]
+    def subtrees(self) -> dict[int, tuple[int, int, int]]:
+        """(hash of the text, first block, block after the last) of every element with text, but roots of articles, cells of tables in them and what holds a whole page.
+
+        Blocks of an element stand together, so that one pass from the last element to the
+        first gives all spans, and a span's hash follows from two prefix hashes.
+        """
+        n = len(self.elements)
+        first, last = [len(self.blocks)] * n, [0] * n
         for i, (k, _) in enumerate(self.blocks):
-            while k >= 0:
-                own[k].append(i)
-                k = self.elements[k].parent
+            if k >= 0:
+                first[k], last[k] = min(first[k], i), i + 1
+        for k in range(n - 1, -1, -1):  # parents come before their children
+            up = self.elements[k].parent
+            if up >= 0:
+                first[up], last[up] = min(first[up], first[k]), max(last[up], last[k])
+        prefix, power = [0], [1]
+        for _, text in self.blocks:
+            prefix.append((prefix[-1] * BASE + digest(text)) % PRIME)
+            power.append(power[-1] * BASE % PRIME)
         out = {}
         for k, e in enumerate(self.elements):
             root = e.tag == "article" and not (e.parent >= 0 and self.elements[e.parent].article)
-            if own[k] and e.tag not in ("html", "body", "main") and not root and not (e.article and e.tag in ("td", "th")):
-                out[k] = digest("\n".join(self.blocks[i][1] for i in own[k])), own[k]
+            if last[k] and e.tag not in ("html", "body", "main") and not root and not (e.article and e.tag in ("td", "th")):
+                a, z = first[k], last[k]
+                out[k] = (prefix[z] - prefix[a] * power[z - a]) % PRIME, a, z
         return out
 
     def candidates(self) -> set[tuple[int, int, bool, bool]]:
@@ -69,39 +87,40 @@ class Page:
         subtree that holds the whole main text has none and is left out.
         """
         marks = [digest(t) for _, t in self.blocks]
+        places: dict[int, list[int]] = {}
+        for i, m in enumerate(marks):
+            places.setdefault(m, []).append(i)
         shown = set(self.main_blocks())
         main = sorted({marks[i] for i in shown})
+        words, seen = [0], [0]
+        for i, (_, text) in enumerate(self.blocks):
+            words.append(words[-1] + len(text.split()))
+            seen.append(seen[-1] + (i in shown))
+
+        def inside(m: int, a: int, z: int) -> bool:
+            at = bisect_left(places[m], a)
+            return at < len(places[m]) and places[m][at] < z
+
         out = set()
-        for h, own in self.subtrees().values():
-            inside = {marks[i] for i in own}
-            context = next((m for m in main if m not in inside), None)
+        for h, a, z in set(self.subtrees().values()):
+            context = next((m for m in main if not inside(m, a, z)), None)
             if context is not None:
-                out.add((h, context, sum(len(self.blocks[i][1].split()) for i in own) < LEAST_WORDS, not shown.isdisjoint(own)))
+                out.add((h, context, words[z] - words[a] < LEAST_WORDS, seen[z] > seen[a]))
         return out
 
     def main_blocks(self, template: frozenset[int] | set[int] = frozenset()) -> list[int]:
         """Numbers of the blocks of main_text."""
-        gone = {k for k, (h, _) in self.subtrees().items() if h in template} if template else set()
-        bad: dict[int, bool] = {}
-
-        def removed(k: int) -> bool:
-            if k < 0:
-                return False
-            if k not in bad:
-                bad[k] = k in gone or self.elements[k].furniture or removed(self.elements[k].parent)
-            return bad[k]
-
-        def inside(k: int, tag: str) -> bool:
-            while k >= 0:
-                if self.elements[k].tag == tag:
-                    return True
-                k = self.elements[k].parent
-            return False
-
-        kept = [i for i, (k, _) in enumerate(self.blocks) if not removed(k)]
+        gone = {k for k, (h, _, _) in self.subtrees().items() if h in template} if template else set()
+        removed: list[bool] = []  # parents come before their children
+        for k, e in enumerate(self.elements):
+            removed.append(k in gone or e.furniture or e.parent >= 0 and removed[e.parent])
+        kept = [i for i, (k, _) in enumerate(self.blocks) if k < 0 or not removed[k]]
         for tag in ("article", "main"):
-            if any(e.tag == tag and not removed(i) for i, e in enumerate(self.elements)):
-                return [i for i in kept if inside(self.blocks[i][0], tag)]
+            if any(e.tag == tag and not removed[i] for i, e in enumerate(self.elements)):
+                under: list[bool] = []
+                for e in self.elements:
+                    under.append(e.tag == tag or e.parent >= 0 and under[e.parent])
+                return [i for i in kept if self.blocks[i][0] >= 0 and under[self.blocks[i][0]]]
         return kept
 
     def main_text(self, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -113,6 +132,11 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def whole_names(value: str) -> bool:
+    """Whether a name in the list says nothing but furniture: `ad` and `social-share` do, `share-price` does not."""
+    return any(parts and FURNITURE_WORDS.issuperset(parts) for parts in ([p for p in SPLIT.split(name) if p] for name in value.split()))
+
+
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
@@ -122,7 +146,7 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and FURNITURE_WORDS.intersection(SPLIT.split(value)):
+        if name in ("class", "id", "role") and (whole_names(value) if in_article else FURNITURE_WORDS.intersection(SPLIT.split(value))):
             return True
     return False
 
@@ -131,6 +155,7 @@ def parse(source: str) -> Page:
     elements: list[Element] = []
     blocks: list[tuple[int, str]] = []
     stack: list[int] = []
+    opened: Counter[str] = Counter()  # names on the stack, so that a stray closing tag costs no search
     parts: list[str] = []
     owner = -1
 
@@ -149,6 +174,10 @@ def parse(source: str) -> Page:
             owner = stack[-1]
         parts.append(text)
 
+    def close(k: int) -> None:
+        opened.subtract(elements[s].tag for s in stack[k:])
+        del stack[k:]
+
     at = 0
     size = len(source)
     while at < size:
@@ -165,11 +194,11 @@ def parse(source: str) -> Page:
         if m.group(1):
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if elements[stack[k]].tag == tag:
                     if any(elements[s].tag in BLOCK for s in stack[k:]):
                         flush()
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if tag in RAW:
@@ -186,7 +215,7 @@ def parse(source: str) -> Page:
                 for k in range(len(stack) - 1, -1, -1):
                     name = elements[stack[k]].tag
                     if name == "p" or name == tag == "li" or name == tag and tag in ("td", "th", "tr", "dt", "dd"):
-                        del stack[k:]
+                        close(k)
                         break
                     if name in BLOCK:
                         break
@@ -198,5 +227,6 @@ def parse(source: str) -> Page:
         furniture = bool(up and up.furniture) or is_furniture(tag, m.group(3), in_article)
         elements.append(Element(tag, parent, furniture, in_article or tag == "article"))
         stack.append(len(elements) - 1)
+        opened[tag] += 1
     flush()
     return Page(elements, blocks)
