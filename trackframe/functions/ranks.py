@@ -34,43 +34,46 @@ def bucket_rank(df: DataFrame, by: list[str], bucket: str, order: Sequence[str |
 
 
 #: mantissa bits (52 in all) that one round of `exact_percentiles` looks at; sign and exponent go with the first
-DIGITS = (10, 14, 14, 14)
+DIGITS = (15, 18, 19)
 
 
-def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), digits: tuple[int, ...] = DIGITS) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), digits: tuple[int, ...] = DIGITS, weight: str | None = None) -> DataFrame:
     """Linearly interpolated percentiles for groups of any size: (by…, p, value).
 
     Radix selection: a combinable histogram over the leading digits of the values (sign,
-    exponent, some bits of the mantissa) says which cell holds each wanted rank; a cell with
-    one distinct value is done, and only rows of the others are counted again by their next
-    digits. All groups and ranks go together, at most len(digits) rounds, one for pixels of 8
-    bits; no task holds the values of a group, a histogram has at most 2**14 cells after the
-    first round, and each is written down once. NULLs are left out, NaN is the largest value.
-    `df` is read once a round; cut it first if it is dear.
+    exponent, some bits of the mantissa) says which cell holds each wanted rank. A rank is
+    found if it is the first or last of its cell, or the cell holds one distinct value; only
+    values of the other cells are counted, written down and taken apart by their next digits.
+    All groups and ranks go together. `df` is read once, or twice if a cell stays open; no task
+    holds the values of a group, a histogram has at most 2**19 cells after the first round.
+    NULLs are left out, NaN is the largest value. `weight` names a column that says how often
+    a row counts.
     """
     keys = list(by) or ["_all"]
-    src = df.where(F.col(value).isNotNull()).select(*(by or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("v"))
+    src = df.where(F.col(value).isNotNull()).select(*(by or [F.lit(1).alias("_all")]), F.col(value).cast("double").alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    rows = src
     wanted, path, found = None, [], None
     for level in range(len(digits)):
         cell = f"c{level}"
-        rows = src if wanted is None else src.withColumns({c: _digit("v", k, digits) for k, c in enumerate(path)}).join(wanted.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
-        sizes = rows.groupBy(*keys, *path, _digit("v", level, digits).alias(cell)).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        sizes = sizes.withColumn("upto", F.sum("n").over(W.partitionBy(*keys, *path).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)))
+        sizes = rows.groupBy(*keys, *path, _digit("v", level, digits).alias(cell)).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        sizes = cut_lineage(sizes.withColumn("upto", F.sum("n").over(W.partitionBy(*keys, *path).orderBy(cell).rowsBetween(W.unboundedPreceding, 0))))
         if wanted is None:
-            sizes = cut_lineage(sizes)
             at = sizes.groupBy(*keys).agg(F.max("upto").alias("total")).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
             at = at.withColumn("at", (F.col("total") - 1) * F.col("p"))
             wanted = at.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).withColumn("base", F.lit(0).cast("long"))
         inside = (F.col("rank") >= F.col("base") + F.col("upto") - F.col("n")) & (F.col("rank") < F.col("base") + F.col("upto"))
         hit = sizes.join(wanted, [*keys, *path]).where(inside).withColumn("base", F.col("base") + F.col("upto") - F.col("n"))
         path.append(cell)
-        hit = cut_lineage(hit.select(*keys, *path, "p", "at", "rank", "base", "lo", "hi"))
-        same = F.col("lo").eqNullSafe(F.col("hi"))
-        done = hit.where(same).select(*keys, "p", "at", "rank", F.col("lo").alias("v"))
+        v = F.when((F.col("rank") == F.col("base")) | F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).when(F.col("rank") == F.col("base") + F.col("n") - 1, F.col("hi"))
+        hit = hit.select(*keys, *path, "p", "at", "rank", "base", v.alias("v"))
+        done = hit.where("v is not null").select(*keys, "p", "at", "rank", "v")
         found = done if found is None else found.unionByName(done)
-        wanted = hit.where(~same).select(*keys, *path, "p", "at", "rank", "base")
+        wanted = hit.where("v is null").drop("v")
         if wanted.isEmpty():
             break
+        wanted = cut_lineage(wanted)
+        near = rows.withColumn(cell, _digit("v", level, digits)).join(wanted.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
+        rows = cut_lineage(near.groupBy(*keys, *path, "v").agg(F.sum("n").alias("n"))) if level == 0 else near
     out = found.groupBy(*keys, "p").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"), F.first("at").alias("at"))
     return out.select(*by, "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
 
