@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.frames import Shared, bitmap, cut_lineage, in_bitmap, salted_join, signed
+from trackframe.llm.frames import Shared, bitmap, cut_lineage, in_bitmap, salted_join, signed, stored
 from trackframe.llm.textbytes import LOWER, Powers, distinct_by_row, gram_hashes, mix, nested, per_row, slices, texts, utf8, word_hashes
 from trackframe.llm.tsearch import connect, prefix_size
 
@@ -130,12 +130,45 @@ def homes(prefixes: DataFrame) -> DataFrame:
     return prefixes.join(cut_lineage(lists), "token").select("home", "doc_id").distinct()
 
 
-def block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """home, a, b, doc_id, side: members of a home dealt to blocks, each block with itself and with each other one."""
+def placed(members: DataFrame, block: int) -> DataFrame:
+    """home, doc_id, own (number of its block in the home), blocks, first (whether it is the smallest home of the document)."""
     sizes = cut_lineage(members.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    placed = salted_join(members, sizes, "home", F.col("doc_id"), "inner").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.select("home", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc_id", F.col("own").alias("side"))
+    least = members.groupBy("doc_id").agg(F.min("home").alias("least"))
+    dealt = salted_join(members, sizes, "home", F.col("doc_id"), "inner").join(least, "doc_id")
+    return dealt.select("home", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")).cast("int").alias("own"), "blocks", (F.col("home") == F.col("least")).alias("first"))
+
+
+def first_blocks(members: DataFrame) -> DataFrame:
+    """Every document once, in its block of its smallest home; blocks of one document are left out."""
+    own = members.where("first")
+    several = own.groupBy("home", "own").agg(F.count("*").alias("c")).where("c > 1").select("home", "own")
+    return own.join(several, ["home", "own"]).select("home", F.col("own").alias("a"), F.col("own").alias("b"), "doc_id", F.col("own").alias("side"))
+
+
+def block_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def speakers(members: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """One document for each component and home of several blocks, dealt to blocks anew; each block with itself."""
+    own = block_members(members.where("blocks > 1"), labels).groupBy("home", "label").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"))
+    own = cut_lineage(own.where("c > 1"))
+    parts = own.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1")
+    side = F.pmod(F.xxhash64("doc_id", F.lit("speaker")), F.col("parts")).cast("int")
+    return own.join(parts, "home").select("home", side.alias("a"), side.alias("b"), "doc_id", side.alias("side"))
+
+
+def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """home, a, b, doc_id, side: the pairs of blocks of a home that hold several components and were not searched before."""
+    named = stored(block_members(members, labels))
+    blocks = named.groupBy("home", "own").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_and("first").alias("known"))
+    mixed = blocks.groupBy("home").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("home")
+    blocks = cut_lineage(blocks.join(mixed, "home"))
+    other = blocks.select("home", *[F.col(c).alias(f"{c}_b") for c in ("own", "lo", "hi")])
+    apart = (F.least("lo", "lo_b") != F.greatest("hi", "hi_b")) & ((F.col("own") < F.col("own_b")) | (F.col("own") == F.col("own_b")) & ~F.col("known"))
+    pairs = blocks.join(other, "home").where(apart).select("home", F.col("own").alias("a"), F.col("own_b").alias("b"))
+    sides = pairs.select("home", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("own"))
+    return sides.join(named, ["home", "own"]).select("home", "a", "b", "doc_id", F.col("own").alias("side"))
 
 
 def search_blocks(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -201,14 +234,22 @@ def link(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILA
     should name one text (rows with one id and several texts are searched by one of them).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_docs = cut_lineage(signatures(docs, size, similar))
+    signed_docs = stored(signatures(docs, size, similar))
     key = ["n", "s1", "s2"]
-    classes = cut_lineage(signed_docs.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id")))
-    heads = cut_lineage(shared_heads(signed_docs, similar).join(classes, [*key, "doc_id"], "left_semi"))
-    prefixes = cut_lineage(shared_prefixes(heads, similar))
-    members = cut_lineage(homes(prefixes))
-    wanted = bitmap(members.select(F.xxhash64("doc_id").alias("h")).distinct(), "h")
-    edges = search_blocks(block_pairs(members, block), full_sets(docs, wanted, size), similar)
+    classes = stored(signed_docs.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id")))
+    heads = stored(shared_heads(signed_docs, similar).join(classes, [*key, "doc_id"], "left_semi"))
+    members = stored(placed(homes(stored(shared_prefixes(heads, similar))), block))
+
+    def search(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs)
+        wanted = bitmap(pairs.select(F.xxhash64("doc_id").alias("h")).distinct(), "h")
+        return stored(search_blocks(pairs, full_sets(docs, wanted, size), similar))
+
+    # Each set once, in its first home; then one set a component of big homes; then only blocks that still hold several components.
+    edges = search(first_blocks(members))
+    labels = components(edges)
+    edges = edges.unionByName(search(speakers(members, labels, block)))
     labels = components(edges)
+    labels = components(edges.unionByName(search(open_pairs(members, labels))))
     named = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*key, F.coalesce("label", "doc_id").alias("component_id"))
     return signed_docs.select("doc_id", *key).join(cut_lineage(named), key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
