@@ -82,6 +82,37 @@ def test_hot_group_in_blocks_equals_brute_force(spark):
         assert set(rows(jaccard.link(docs, block=block), "doc_id", "n_shingles", "component_id")) == want
 
 
+def test_sketches_rule_out_strangers_and_no_link():
+    rng = np.random.default_rng(5)
+    for similar in ((90, 100), (80, 100)):
+        sets, block = [], []
+        for b in range(60):
+            base = rng.integers(0, 2**63, int(rng.integers(1, 400)), dtype=np.uint64)
+            for _ in range(int(rng.integers(1, 5))):
+                cut = base[rng.random(len(base)) > rng.choice([0.0, 0.04, 0.1, 0.5, 1.0])]
+                sets.append(np.unique(np.concatenate([cut, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(base) // 12)), dtype=np.uint64), base[:1]])))
+                block.append(b)
+        n, block = np.array([len(x) for x in sets]), np.array(block)
+        packed = jaccard.sketches(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n)
+        words = np.frombuffer(b"".join(x.as_py() for x in packed), np.uint64)
+        first = np.concatenate([[0], np.cumsum([len(x.as_py()) // 8 for x in packed])])
+        for across in (False, True):
+            side = np.arange(len(sets)) % 2 if across else np.zeros(len(sets), int)
+            keep = jaccard.near_enough(block, side, np.full(len(sets), across), n, words, first, similar)
+            want = np.zeros(len(sets), bool)
+            for i in range(len(sets)):
+                for j in range(len(sets)):
+                    if i != j and block[i] == block[j] and not (across and side[i] == side[j]):
+                        inter = len(np.intersect1d(sets[i], sets[j]))
+                        want[i] |= similar[1] * inter >= similar[0] * (n[i] + n[j] - inter)
+            assert want.any() and not (want & ~keep).any()
+    n = rng.integers(60, 64, 300)  # strangers of nearly one size
+    packed = jaccard.sketches(np.repeat(np.arange(300), n), rng.integers(0, 2**63, int(n.sum()), dtype=np.uint64), n)
+    words, first = np.frombuffer(b"".join(x.as_py() for x in packed), np.uint64), np.arange(301)
+    assert jaccard.near_enough(np.arange(300) // 2, np.zeros(300), np.zeros(300, bool), n, words, first, (90, 100)).sum() < 3
+    assert len(jaccard.sketches(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(2, int))[1].as_py()) == 0
+
+
 def test_search_finds_every_link():
     rng = np.random.default_rng(5)
     sets = []

@@ -3,13 +3,17 @@
 Copies of one shingle set are counted once. A set's rarest tokens go first: of each set
 the lowest RARE share of token hashes (at least as many as its prefix) is posted, tokens that
 only one set posted are dropped, and what is left of the prefix says with which sets it may
-link. Every shared prefix token sends its sets to the smallest of them, their home. The sets of
-a home, cut into blocks of bounded size, are searched pairwise by block with
-`tsearch.connect`; no pair that could link is left out, at any size.
+link. Every shared prefix token sends its sets, by bands of size, to the smallest of them,
+their home. In blocks of bounded size the sets of a home first meet as parity sketches (a bit
+for about each token, turned by every token that falls on it): two sets differ in at least as
+many tokens as their sketches in bits, so sets without a partner near enough go no further.
+The others are searched pairwise by block with `tsearch.connect`; no pair that could link is
+left out, at any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,8 @@ SIMILAR = (90, 100)
 #: posted share of tokens, in parts of the share that may differ: with more than a prefix, tokens of one set alone use up its prefix
 RARE = 1.5
 BLOCK = 300
+#: bits of the smallest sketch
+WORD = 64
 
 
 def shingle_sets(column: pa.Array, powers: Powers, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +51,7 @@ def shingle_sets(column: pa.Array, powers: Powers, size: int) -> tuple[np.ndarra
 
 
 def signatures(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that name the set), head (its posted tokens)."""
+    """doc_id, n (set size), s1 and s2 (128 bits that name the set), head (its posted tokens), sketch (see `sketches`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -61,9 +67,21 @@ def signatures(docs: DataFrame, size: int, similar: tuple[int, int]) -> DataFram
                 s1, s2 = (signed(s[first[1:]] - s[first[:-1]]) for s in sums)
                 keep = np.maximum(per_row(row[token < rare], rows), np.where(n > 0, prefix_size(n, *similar), 0))
                 posted = np.arange(len(row)) - first[row] < keep[row]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(n), pa.array(s1), pa.array(s2), nested(signed(token[posted]), row[posted], rows, pa.int64())], ["doc_id", "n", "s1", "s2", "head"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), pa.array(n), pa.array(s1), pa.array(s2), nested(signed(token[posted]), row[posted], rows, pa.int64()), sketches(row, token, n)], ["doc_id", "n", "s1", "s2", "head", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, head array<long>, sketch binary")
+
+
+def sketches(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity sketch of each set: the next power of two above n bits (none for an empty set), each the parity of the tokens on it.
+
+    Folding a sketch (its halves xor-ed) gives the set's sketch of half the size.
+    """
+    bits = np.where(n > 0, np.maximum(WORD, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = base[row] + (mix(token ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64) & (bits[row] - 1))
+    packed = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((base // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
 
 
 def full_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
@@ -115,19 +133,25 @@ def shared_heads(signed_docs: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
 
 def shared_prefixes(heads: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """doc_id, token: the tokens of each set's prefix, rarest first, that another set posted too."""
+    """doc_id, band, token: the tokens of each set's prefix, rarest first, that another set posted too, in both bands of the set's size.
+
+    Sizes of linked sets differ by less than a band, so linked sets have a band in common.
+    """
     posted = heads.select("doc_id", F.explode("head").alias("token"))
     counts = cut_lineage(posted.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= 2))
     own = posted.join(counts, "token").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("head"))
     own = own.join(heads.select("doc_id", "n", "posted").distinct(), "doc_id")
     left = prefix_left(similar)
-    return own.where(left > 0).select("doc_id", F.explode(F.slice("head", F.lit(1), left)).alias("item")).select("doc_id", F.col("item")["token"].alias("token"))
+    width = max(math.log(similar[1] / similar[0]) * 1.000001, 1e-9)
+    band = F.floor(F.log("n") / width).cast("long")
+    items = own.where(left > 0).select("doc_id", F.array(band, band + 1).alias("bands"), F.explode(F.slice("head", F.lit(1), left)).alias("item"))
+    return items.select("doc_id", F.explode("bands").alias("band"), F.col("item")["token"].alias("token"))
 
 
 def homes(prefixes: DataFrame) -> DataFrame:
-    """home, doc_id: each shared prefix token brings its sets to the smallest id among them."""
-    lists = prefixes.groupBy("token").agg(F.min("doc_id").alias("home"), F.count("*").alias("c")).where(F.col("c") >= 2).select("token", "home")
-    return prefixes.join(cut_lineage(lists), "token").select("home", "doc_id").distinct()
+    """home, doc_id: each shared prefix token brings its sets of one band to the smallest id among them."""
+    lists = prefixes.groupBy("token", "band").agg(F.min("doc_id").alias("home"), F.count("*").alias("c")).where(F.col("c") >= 2).select("token", "band", "home")
+    return prefixes.join(stored(lists), ["token", "band"]).select("home", "doc_id").distinct()
 
 
 def placed(members: DataFrame, block: int) -> DataFrame:
@@ -171,44 +195,116 @@ def open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     return sides.join(named, ["home", "own"]).select("home", "a", "b", "doc_id", F.col("own").alias("side"))
 
 
+def by_block(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of pairs with columns of facts (by doc_id), the rows of each (home, a, b) in one place and in a row."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(facts, "doc_id").select("home", "a", "b", "side", "doc_id", *columns)
+    return rows.repartition(parts, "home", "a", "b").sortWithinPartitions("home", "a", "b")
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole blocks (the last one of a batch waits for the next batch), with the first row of each block and the end."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = [table.column(j).to_numpy() for j in range(3)]
+        change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return table, np.concatenate([[0], np.flatnonzero(change) + 1, [len(table)]])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(3)]
+        last = int(np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))[-1])
+        if held and (last or any(held[-1].column(j)[0].as_py() != int(keys[j][0]) for j in range(3))):
+            if last:
+                held.append(batch.slice(0, last))
+            yield out()
+            held = [batch.slice(last)]
+        elif last:
+            held.append(batch.slice(0, last))
+            yield out()
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield out()
+
+
+def near_enough(block: np.ndarray, side: np.ndarray, across: np.ndarray, n: np.ndarray, words: np.ndarray, first: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """Which rows have, in their block (and on the other side of it if `across`), a set that their sketches do not rule out."""
+    num, den = similar
+    order = np.lexsort((n, block))
+    block, side, across, n = block[order], side[order], across[order], n[order]
+    size = np.diff(first)[order]
+    first = first[:-1][order]
+    keep = np.zeros(len(order), dtype=bool)
+    for shift in range(1, len(order)):
+        i = np.flatnonzero(block[shift:] == block[:-shift])
+        if not len(i):
+            break
+        j = i + shift
+        pick = (den * n[i] >= num * n[j]) & ~(keep[i] & keep[j]) & (~across[i] | (side[i] != side[j]))
+        i, j = i[pick], j[pick]
+        if not len(i):
+            continue
+        width = size[i]
+        begin = np.cumsum(width) - width
+        step = np.arange(int(width.sum())) - np.repeat(begin, width)
+        mine, other = words[np.repeat(first[i], width) + step], words[np.repeat(first[j], width) + step]
+        half = size[j] == 2 * width
+        fold = np.repeat(half, width)
+        other[fold] ^= words[(np.repeat(first[j] + width, width) + step)[fold]]
+        apart = np.add.reduceat(np.bitwise_count(mine ^ other).astype(np.int64), begin)
+        both = n[i] + n[j]
+        close = (apart <= both - 2 * -(-num * both // (num + den))) | (size[j] > 2 * width)
+        keep[i[close]] = True
+        keep[j[close]] = True
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = keep
+    return out
+
+
+def may_link(pairs: DataFrame, known: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The rows of pairs whose set has, by the sketches in known (doc_id, n, sketch), a possible partner in its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_blocks(batches):
+            home, a, b, side, ids, n = (table.column(j).to_numpy() for j in range(6))
+            data, offsets = utf8(table.column(6).combine_chunks().cast(pa.large_binary()))
+            block = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            keep = near_enough(block, side, a != b, n, np.frombuffer(data.tobytes(), np.uint64), offsets.astype(np.int64) // 8, similar)
+            _, once = np.unique(np.stack([block[keep], ids[keep]]), axis=1, return_index=True)
+            rows = np.flatnonzero(keep)[once]
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (home, a, b, ids, side)], ["home", "a", "b", "doc_id", "side"])
+
+    return by_block(pairs, known, ["n", "sketch"]).mapInArrow(run, "home long, a int, b int, doc_id long, side int")
+
+
 def search_blocks(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """u, v: stars that connect what is linked within each pair of blocks."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.join(sets, "doc_id").select("home", "a", "b", "side", "doc_id", "tokens")
-    rows = rows.repartition(parts, "home", "a", "b").sortWithinPartitions("home", "a", "b")
     num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(key: tuple, ids: list, sides: list, sets: list) -> tuple[list, list]:
+        def solve(across: bool, ids: list, sides: list, sets: list) -> tuple[list, list]:
             order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
             order = [i for k, i in enumerate(order) if not k or ids[i] != ids[order[k - 1]]]
-            found = connect([sets[i] for i in order], np.array([sides[i] for i in order]), key[1] != key[2], num, den)
+            found = connect([sets[i] for i in order], np.array([sides[i] for i in order]), across, num, den)
             ids = [ids[i] for i in order]
             roots = [found.find(k) for k in range(len(ids))]
             return [ids[k] for k, r in enumerate(roots) if r != k], [ids[r] for k, r in enumerate(roots) if r != k]
 
-        key, ids, sides, held = None, [], [], []
-        for batch in batches:
-            keys = [batch.column(j).to_numpy(zero_copy_only=False) for j in range(3)]
-            change = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(batch) else []
-            values, offsets = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(batch.column(5).offsets)
-            offsets = offsets - offsets[0] if len(offsets) else offsets
-            for lo, hi in zip(change, [*change[1:], len(batch)]):
-                now = tuple(int(k[lo]) for k in keys)
-                if key is not None and now != key:
-                    u, v = solve(key, ids, sides, held)
-                    if u:
-                        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-                    ids, sides, held = [], [], []
-                key = now
-                ids += batch.column(4).slice(lo, hi - lo).to_pylist()
-                sides += batch.column(3).slice(lo, hi - lo).to_pylist()
-                held += [values[offsets[i] : offsets[i + 1]].copy() for i in range(lo, hi)]
-        if key is not None:
-            u, v = solve(key, ids, sides, held)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return rows.mapInArrow(run, "u long, v long")
+        for table, bounds in whole_blocks(batches):
+            a, b, side, ids = (table.column(j).to_numpy() for j in range(1, 5))
+            lists = table.column(5).combine_chunks()
+            values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(lists.offsets)
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                u, v = solve(bool(a[lo] != b[lo]), ids[lo:hi].tolist(), side[lo:hi].tolist(), [values[offsets[i] : offsets[i + 1]] for i in range(lo, hi)])
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return by_block(pairs, sets, ["tokens"]).mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,8 +336,10 @@ def link(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILA
     heads = stored(shared_heads(signed_docs, similar).join(classes, [*key, "doc_id"], "left_semi"))
     members = stored(placed(homes(stored(shared_prefixes(heads, similar))), block))
 
+    known = signed_docs.where("n > 0").select("doc_id", "n", "sketch")
+
     def search(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs)
+        pairs = stored(may_link(pairs, known, similar))
         wanted = bitmap(pairs.select(F.xxhash64("doc_id").alias("h")).distinct(), "h")
         return stored(search_blocks(pairs, full_sets(docs, wanted, size), similar))
 
