@@ -339,6 +339,28 @@ def test_periodic_and_touching_passages(spark):
         assert rows(substrings.remove(docs, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_long_texts_of_one_period_in_bounded_memory(spark):
+    """One byte or two bytes over and over: the first period and LIMIT - 1 bytes stay; pieces of the text do not matter."""
+    n = 1_300_000
+    docs = spark.createDataFrame([(1, "=" * n, "xx", "a", 0), (2, "ab" * (n // 2), "xx", "a", 0), (3, "=" * 5000, "xx", "a", 0)], DOC)
+    for hot in (1000, 2):
+        got = {r["doc_id"]: r for r in substrings.remove(docs, hot=hot).drop("kept").collect()}
+        assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2, 3)] == [(n, n - 1, 1), (n, n - 2, 1), (5000, 5000, 1)]
+    rows_out = substrings.snippets(docs.select("doc_id", "text"), np.full(1 << 10, np.uint64(-1 & (1 << 64) - 1)), [], 100, 32)
+    assert rows_out.count() < 100
+
+
+def test_frequent_anchors_meet_in_rounds(spark):
+    """A passage in a third of the documents, ids in steps of 64, different neighbours: same bytes as brute force at every depth of salting."""
+    rng = random.Random(5)
+    passage = sentence(rng, 60)
+    texts = [(64 * i, f"{sentence(rng, 12)} {passage[rng.randrange(40):] if i % 3 == 0 else sentence(rng, 30)} {sentence(rng, 9)}") for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "xx", "a", 0) for i, t in texts], DOC)
+    want = sorted(((i, *v) for i, v in brute.removed_bytes(texts).items()), key=repr)
+    for hot in (1000, 20, 2):
+        assert rows(substrings.remove(docs, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 # 9. host rules
 
 

@@ -3,34 +3,56 @@
 Every window of LIMIT bytes has an anchor inside (see suffixes.window_minima), so equal
 windows lie in snippets around equal anchors. Anchors are counted in Spark; snippets around
 anchors that occur more than once are brought together by anchor and settled there: equal
-snippets by their hashes, then windows of different snippets by a suffix sort. Rows of very
-frequent anchors are first settled within salted parts, and what is left of them is split
-into single windows, so that no group grows with the corpus.
+snippets by their hashes, then windows of different snippets by a suffix sort.
+
+No group grows with the corpus. Long texts are worked on in pieces; equal snippets of a piece
+are settled where they arise, so a text of one period ships a few rows a piece. Rows of
+frequent anchors are first settled within salted parts, as many as their count asks for; the
+different snippets that are left meet as they are or, where one anchor still has many, as
+single windows, which are thinned in salted parts again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.llm.frames import Shared, bitmap, in_bitmap, signed, stored
 from trackframe.llm.suffixes import Text, repeats, window_minima
-from trackframe.llm.textbytes import Powers, mix, prefix_hashes, slices, span_hashes, texts, utf8
+from trackframe.llm.textbytes import CHUNK, Powers, mix, prefix_hashes, slices, span_hashes, texts, utf8
 
 LIMIT = 100
 GRAM = 32
-#: anchors at least so frequent are settled in SALTS parts first
+#: anchors at least so frequent are settled in SALTS parts first; SALTS times as frequent ones in SALTS**2 parts, and so on
 HOT = 1000
 SALTS = 64
 #: bytes of snippets that are settled at once; a task holds some 60 times as much
 BATCH = 600_000
+#: bits of the filter of repeated anchors: 8 a value between these bounds (8 and 32 MB); above them it lets more through
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 26, 28
+
+#: a snippet with its first window's start and the place of its anchor (`anchor` is set if it is frequent and `key` salted),
+#: or, without snippet, a removed span of `lead` bytes from `start` on
+ROWS = "key long, doc_id long, start int, lead int, anchor long, snippet binary"
+
 
-ROWS = "key long, doc_id long, start int, lead int, windows int, hot boolean, snippet binary"
+def pieces(column: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place of the first byte in its text, bytes, offsets): every window of `limit` bytes lies in one piece."""
+    for lo, hi in slices(column):
+        data, offsets = utf8(column.slice(lo, hi - lo))
+        if len(data) <= 2 * CHUNK or hi - lo > 1:
+            yield lo, 0, data, offsets
+            continue
+        for at in range(0, len(data) - limit + 1, CHUNK):
+            part = data[at : at + CHUNK + limit - 1]
+            yield lo, at, part, np.array([0, len(part)])
 
 
 def anchors(docs: DataFrame, limit: int, gram: int) -> DataFrame:
@@ -39,67 +61,96 @@ def anchors(docs: DataFrame, limit: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            column = texts(batch)
-            for lo, hi in slices(column):
-                h, *_ = window_minima(*utf8(column.slice(lo, hi - lo)), powers, gram, limit)
+            for _, _, data, offsets in pieces(texts(batch), limit):
+                h, *_ = window_minima(data, offsets, prefix_hashes(data, powers), powers, gram, limit)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h))], ["anchor"])
 
     return docs.mapInArrow(run, "anchor long")
 
 
-def snippets(docs: DataFrame, twice: np.ndarray, often: np.ndarray, limit: int, gram: int) -> DataFrame:
-    """ROWS: the bytes around each anchor that the bitmap says may occur twice, keyed by anchor (salted if frequent)."""
+def batch_of(key: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray, anchor: pa.Array, snippet: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(signed(key)), pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(lead.astype(np.int32)), anchor, snippet]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "lead", "anchor", "snippet"])
+
+
+def span_batch(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Removed spans as ROWS, overlapping ones of a document joined; keys spread them."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if len(doc):
+        number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+        reach = np.maximum.accumulate(end + (number << 32))  # a later document always reaches further
+        first = np.flatnonzero(np.concatenate([[True], (start + (number << 32))[1:] > reach[:-1]]))
+        end = (reach - (number << 32))[np.append(first[1:], len(doc)) - 1]
+        doc, start = doc[first], start[first]
+    key = mix(doc.astype(np.int64).view(np.uint64) ^ start.astype(np.uint64))
+    return batch_of(key, doc, start, end - start, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.binary()))
+
+
+def copies(text: Text, powers: Powers, key: np.ndarray, doc: np.ndarray, start: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows equal to one of the same key that starts earlier, one row for each different snippet of a key)."""
+    h = span_hashes(text.prefix, at, at + size, powers)
+    order = np.lexsort((start, doc, size, h, key))
+    a, b = order[:-1], order[1:]
+    same = np.flatnonzero((key[a] == key[b]) & (h[a] == h[b]) & (size[a] == size[b]))
+    same = same[text.equal_bytes(at[a[same]], at[b[same]], size[a[same]])]
+    linked = np.zeros(len(order), dtype=bool)
+    linked[same + 1] = True
+    head = order[np.maximum.accumulate(np.where(linked, 0, np.arange(len(order))))]
+    later = linked & ((doc[order] > doc[head]) | ((doc[order] == doc[head]) & (start[order] > start[head])))
+    return order[later], order[~linked]
+
+
+def snippets(docs: DataFrame, twice: np.ndarray, often: list[np.ndarray], limit: int, gram: int) -> DataFrame:
+    """ROWS: the bytes around each anchor that the bitmap says may occur twice, keyed by anchor (salted if frequent).
+
+    Of equal snippets of a piece only the first is shipped, the others are spans.
+    """
     shared = Shared(docs.sparkSession, (twice, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, (twice, often) = Powers(), shared.get()
         for batch in batches:
-            column = texts(batch)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(column):
-                data, offsets = utf8(column.slice(lo, hi - lo))
-                h, place, start, windows = window_minima(data, offsets, powers, gram, limit)
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, base, data, offsets in pieces(texts(batch), limit):
+                text = Text(data, powers)
+                h, place, start, windows = window_minima(data, offsets, text.prefix, powers, gram, limit)
                 pick = np.flatnonzero(in_bitmap(twice, h))
-                h, place, start, windows = h[pick], place[pick], start[pick], windows[pick]
-                row = np.searchsorted(offsets, start, "right") - 1
-                doc = ids[lo + row]
-                hot = in_bitmap(often, h)
-                key = np.where(hot, mix(h ^ mix(doc.astype(np.int64).view(np.uint64) % np.uint64(SALTS) + np.uint64(1))), h)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(signed(key)), pa.array(doc, pa.int64()), pa.array((start - offsets[row]).astype(np.int32)), pa.array((place - start).astype(np.int32)),
-                    pa.array(windows.astype(np.int32)), pa.array(hot), cut(data, start, windows + limit - 1),
-                ], ["key", "doc_id", "start", "lead", "windows", "hot", "snippet"])
+                h, place, at, size = h[pick], place[pick], start[pick], windows[pick] + limit - 1
+                row = np.searchsorted(offsets, at, "right") - 1
+                doc, start = ids[lo + row], base + at - offsets[row]
+                gone, own = copies(text, powers, h, doc, start, at, size)
+                yield span_batch(doc[gone], start[gone], start[gone] + size[gone])
+                h, place, at, size, doc, start = (x[own] for x in (h, place, at, size, doc, start))
+                parts = np.ones(len(own), np.uint64)
+                for k, level in enumerate(often):
+                    parts[in_bitmap(level, h)] = SALTS ** (k + 1)
+                hot = parts > 1
+                salt = mix(mix(doc.view(np.uint64)) + start.astype(np.uint64)) % parts
+                key = np.where(hot, mix(h ^ mix(salt + np.uint64(1))), h)
+                yield batch_of(key, doc, start, place - at, pa.array(signed(h), mask=~hot), cut(data, at, size))
 
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, ROWS)
 
 
 def cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The strings of `size` bytes at `start` as one binary column."""
-    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    """The strings of `size` bytes at `start` as one binary column; a piece gives some 80 MB at most."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
     flat = data[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray, windows: np.ndarray, hot: np.ndarray, data: np.ndarray, offsets: np.ndarray, limit: int, powers: Powers):
-    """(doc, start, end) of what is removed, and the rows (numbers) of hot keys that are left.
+def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray, hot: np.ndarray, data: np.ndarray, offsets: np.ndarray, limit: int, powers: Powers):
+    """(doc, start, end) of what is removed, and the rows (numbers) of frequent anchors that are left.
 
     Equal snippets of a key: all but those with the first start are covered whole. The
     windows of the others are suffix-sorted by their place relative to the anchor.
     """
     text = Text(data, powers)
     size = np.diff(offsets)
-    h = span_hashes(text.prefix, offsets[:-1], offsets[1:], powers)
-    order = np.lexsort((start, doc, size, h, key))
-    a, b = order[:-1], order[1:]
-    same = np.flatnonzero((key[a] == key[b]) & (h[a] == h[b]) & (size[a] == size[b]))
-    same = same[text.equal_bytes(offsets[a[same]], offsets[b[same]], size[a[same]])]
-    linked = np.zeros(len(order), dtype=bool)
-    linked[same + 1] = True
-    head = order[np.maximum.accumulate(np.where(linked, 0, np.arange(len(order))))]
-    later = linked & ((doc[order] > doc[head]) | ((doc[order] == doc[head]) & (start[order] > start[head])))
-    gone = order[later]
+    windows = size - limit + 1
+    gone, own = copies(text, powers, key, doc, start, offsets[:-1], size)
     out = [(doc[gone], start[gone], start[gone] + size[gone])]
-    own = order[~linked]
     left = own[hot[own]]
     own = own[~hot[own]]
     _, at, many = np.unique(key[own], return_inverse=True, return_counts=True)
@@ -132,36 +183,31 @@ def settle(key: np.ndarray, doc: np.ndarray, start: np.ndarray, lead: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out)), left
 
 
-def settle_groups(rows: DataFrame, limit: int, last: bool) -> DataFrame:
-    """Settle rows by key: removed spans (doc_id, start, end) and, unless `last`, the single windows left of hot keys.
+def settle_groups(rows: DataFrame, limit: int) -> DataFrame:
+    """Settle rows by key: ROWS with the removed spans and the different snippets of frequent anchors.
 
     Rows come sorted by key and are worked on in pieces of whole keys.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
-    schema = "doc_id long, start int, end int, key long, snippet binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
 
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            batch = table.combine_chunks().to_batches()[0]
-            key, doc, start, lead, windows, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            start = start.astype(np.int64)
-            column = batch.column(6).cast(pa.large_binary())
-            data, offsets = utf8(column)
-            (d, s, e), left = settle(key, doc, start, lead.astype(np.int64), windows.astype(np.int64), hot & (not last), data, offsets, limit, powers)
-            none = pa.nulls(len(d), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.nulls(len(d), pa.int64()), none], ["doc_id", "start", "end", "key", "snippet"])
-            prefix = prefix_hashes(data, powers) if len(left) else None
-            for k in range(0, len(left), 2000):
-                some = left[k : k + 2000]
-                n = windows[some].astype(np.int64)
-                row = np.repeat(some, n)
-                off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = offsets[row] + off
-                h = span_hashes(prefix, at, at + limit, powers)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row], pa.int64()), pa.array((start[row] + off).astype(np.int32)), pa.nulls(len(row), pa.int32()), pa.array(signed(h)), cut(data, at, np.full(len(row), limit))], ["doc_id", "start", "end", "key", "snippet"])
+            whole = table.combine_chunks().to_batches()[0]
+            whole = pa.RecordBatch.from_arrays(whole.columns, whole.schema.names)  # as the batches made here, without the flags of the scan
+            done = whole.column(5).is_null()
+            yield whole.filter(done)
+            batch = whole.filter(pc.invert(done))
+            if not len(batch):
+                return
+            key, doc, start, lead = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            hot = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            data, offsets = utf8(batch.column(5).cast(pa.large_binary()))
+            (d, s, e), left = settle(key, doc, start, lead, hot, data, offsets, limit, powers)
+            yield span_batch(d, s, e)
+            yield batch.take(pa.array(left))
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -180,23 +226,76 @@ def settle_groups(rows: DataFrame, limit: int, last: bool) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, ROWS)
+
+
+def single_windows(rows: DataFrame, limit: int) -> DataFrame:
+    """ROWS of each window of each snippet by itself, its hash as key and anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for whole in batches:
+            for k in range(0, len(whole), 2000):
+                batch = whole.slice(k, 2000)
+                doc, start = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+                data, offsets = utf8(batch.column(5).cast(pa.large_binary()))
+                n = np.diff(offsets) - limit + 1
+                row = np.repeat(np.arange(len(n)), n)
+                off = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                at = offsets[row] + off
+                h = span_hashes(prefix_hashes(data, powers), at, at + limit, powers)
+                yield batch_of(h, doc[row], start[row] + off, np.zeros(len(row)), pa.array(signed(h)), cut(data, at, np.full(len(row), limit)))
+
+    return rows.mapInArrow(run, ROWS)
+
+
+def levels(most: int, hot: int) -> int:
+    """How often a group of `most` rows is to be divided by SALTS to have fewer than `hot`."""
+    n = 0
+    while most >= hot * SALTS**n:
+        n += 1
+    return n
+
+
+def widened(values: DataFrame, column: str, n: int, least: int = LEAST_BITS) -> np.ndarray:
+    """A bitmap with BITS_EACH bits for each of n values, within bounds."""
+    return bitmap(values, column, min(max(math.ceil(math.log2(max(n, 1) * BITS_EACH)), least), MOST_BITS))
 
 
 def removed_spans(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, start, end: byte spans that cover every repeated window; spans may overlap."""
     counts = stored(anchors(docs, limit, gram).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= 2))
-    twice = bitmap(counts, "anchor")
-    often = bitmap(counts.where(F.col("n") >= hot), "anchor", 20)
-    first = stored(settle_groups(snippets(docs, twice, often, limit, gram), limit, False))
-    spans = first.where(F.col("key").isNull()).select("doc_id", "start", "end")
-    left = first.where(F.col("key").isNotNull())
-    if left.isEmpty():
-        return spans
-    row = lambda df, key, hot: df.select(key.alias("key"), "doc_id", "start", F.lit(0).alias("lead"), F.lit(1).alias("windows"), F.lit(hot).alias("hot"), "snippet")
-    salted = stored(settle_groups(row(left, F.xxhash64("key", F.pmod("doc_id", F.lit(SALTS))), True), limit, False))
-    end = settle_groups(row(salted.where(F.col("key").isNotNull()), F.col("key"), False), limit, True)
-    return spans.unionByName(salted.where(F.col("key").isNull()).select("doc_id", "start", "end")).unionByName(end.select("doc_id", "start", "end"))
+    facts = counts.agg(F.count("*").alias("anchors"), F.sum((F.col("n") >= hot).cast("long")).alias("often"), F.max("n").alias("most")).first()
+    deep = levels(facts["most"] or 0, hot)
+    often = [widened(counts.where(F.col("n") >= hot * SALTS**k), "anchor", facts["often"], 20) for k in range(deep)]
+    found = []
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """Settle, keep the spans, return what is left of frequent anchors."""
+        done = stored(settle_groups(rows, limit))
+        found.append(done.where(F.col("snippet").isNull()).select("doc_id", "start", (F.col("start") + F.col("lead")).alias("end")))
+        return done.where(F.col("snippet").isNotNull())
+
+    def thinned(rows: DataFrame, deep: int) -> DataFrame:
+        """Settle within fewer and fewer salted parts of each anchor."""
+        for k in range(deep, 0, -1):
+            rows = settled(rows.withColumn("key", F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS**k)))))
+        return rows
+
+    plain = lambda rows: rows.withColumn("key", F.col("anchor")).withColumn("anchor", F.lit(None).cast("long"))
+    left = settled(snippets(docs, widened(counts, "anchor", facts["anchors"]), often, limit, gram))
+    if deep:
+        left = thinned(left, deep - 1)
+        many = stored(left.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= hot))
+        settled(plain(left.join(many, "anchor", "left_anti").select(*left.columns)))
+        if not many.isEmpty():
+            windows = stored(single_windows(left.join(many, "anchor", "left_semi").select(*left.columns), limit))
+            most = windows.groupBy("anchor").count().agg(F.max("count")).first()[0]
+            settled(plain(thinned(windows, levels(most, hot))))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -38,7 +38,25 @@ class Text:
         return np.where(n == limit, rank_a < rank_b, self.data[a + at] < self.data[b + at])
 
     def equal_bytes(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Whether size bytes at a and b are the same, byte by byte, in steps of bounded memory."""
+        """Whether size bytes at a and b are the same, byte by byte, in steps of bounded memory.
+
+        Where very many pairs are equally far apart, as in texts of one period, the bytes of that
+        distance are compared once for all of them.
+        """
+        if size.sum() > 4 * len(self.data):
+            out = np.ones(len(a), dtype=bool)
+            far, which, many = np.unique(b - a, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero(many * 100 > len(self.data) + 10_000):
+                d, own = int(far[k]), np.flatnonzero(which == k)
+                low = np.minimum(a[own], b[own])
+                wrong = np.concatenate([[0], np.cumsum(self.data[: len(self.data) - abs(d)] != self.data[abs(d) :])])
+                out[own] = wrong[low + size[own]] == wrong[low]
+            rest = np.flatnonzero(many[which] * 100 <= len(self.data) + 10_000)
+            out[rest] = self.equal_spans(a[rest], b[rest], size[rest])
+            return out
+        return self.equal_spans(a, b, size)
+
+    def equal_spans(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), dtype=bool)
         step = 1 << 19
         ends = np.cumsum(size)
@@ -108,7 +126,7 @@ def repeats(text: Text, at: np.ndarray, block: np.ndarray, rank: np.ndarray, lim
     return out
 
 
-def window_minima(data: np.ndarray, offsets: np.ndarray, powers: Powers, gram: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_minima(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, powers: Powers, gram: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, anchor place, first window start, number of windows), one for each run of windows with one anchor.
 
     A window is `limit` bytes of one text; its anchor is the leftmost of its `gram`-byte strings
@@ -119,7 +137,7 @@ def window_minima(data: np.ndarray, offsets: np.ndarray, powers: Powers, gram: i
     if n < limit:
         return np.zeros(0, np.uint64), none, none, none
     at = np.arange(n - gram + 1)
-    value = span_hashes(prefix_hashes(data, powers), at, at + gram, powers)
+    value = span_hashes(prefix, at, at + gram, powers)
     hashes = value
     index = at.astype(np.int32)
     grams = limit - gram + 1
