@@ -8,8 +8,8 @@ snippets by their hashes, then windows of different snippets by a suffix sort.
 No group grows with the corpus. Long texts are worked on in pieces; equal snippets of a piece
 are settled where they arise, so a text of one period ships a few rows a piece. Rows of
 frequent anchors are first settled within salted parts, as many as their count asks for; the
-different snippets that are left meet as they are or, where one anchor still has many, as
-single windows, which are thinned in salted parts again.
+different snippets that are left meet as they are or, where one anchor still has many, by
+longer strings around the anchor and at last as single windows, thinned in salted parts again.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ GRAM = 32
 #: anchors at least so frequent are settled in SALTS parts first; SALTS times as frequent ones in SALTS**2 parts, and so on
 HOT = 1000
 SALTS = 64
+#: anchors with MANY times HOT different snippets are split into narrower ones; fewer are sorted together in one task
+MANY = 8
 #: bytes of snippets that are settled at once; a task holds some 60 times as much
 BATCH = 600_000
 #: bits of the filter of repeated anchors: 8 a value between these bounds (8 and 32 MB); above them it lets more through
@@ -229,6 +231,37 @@ def settle_groups(rows: DataFrame, limit: int) -> DataFrame:
     return dealt.mapInArrow(run, ROWS)
 
 
+def sides(rows: DataFrame, limit: int, gram: int) -> DataFrame:
+    """ROWS of the two parts of each snippet, keyed by a longer string than the anchor.
+
+    A window holds its anchor and `limit - gram` other bytes, so half of these before the anchor or
+    half of them behind it. The first kind of windows of a snippet becomes one row keyed by the
+    anchor with what stands before it, the other windows a row keyed by the anchor with what follows.
+    """
+    half = (limit - gram) // 2
+    after = limit - half + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for whole in batches:
+            for k in range(0, len(whole), 2000):
+                batch = whole.slice(k, 2000)
+                doc, start, lead = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+                data, offsets = utf8(batch.column(5).cast(pa.large_binary()))
+                prefix, at, n = prefix_hashes(data, powers), offsets[:-1], np.diff(offsets) - limit + 1
+                own = np.flatnonzero(lead >= half)
+                many = np.minimum(lead[own] - half + 1, n[own])
+                h = mix(span_hashes(prefix, at[own] + lead[own] - half, at[own] + lead[own] + gram, powers))
+                yield batch_of(h, doc[own], start[own], lead[own], pa.array(signed(h)), cut(data, at[own], many + limit - 1))
+                skip = np.maximum(lead - half + 1, 0)
+                own = np.flatnonzero(skip < n)
+                skip = skip[own]
+                h = span_hashes(prefix, at[own] + lead[own], at[own] + lead[own] + after, powers)
+                yield batch_of(h, doc[own], start[own] + skip, lead[own] - skip, pa.array(signed(h)), cut(data, at[own] + skip, n[own] - skip + limit - 1))
+
+    return rows.mapInArrow(run, ROWS)
+
+
 def single_windows(rows: DataFrame, limit: int) -> DataFrame:
     """ROWS of each window of each snippet by itself, its hash as key and anchor."""
 
@@ -282,16 +315,25 @@ def removed_spans(docs: DataFrame, limit: int = LIMIT, gram: int = GRAM, hot: in
             rows = settled(rows.withColumn("key", F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS**k)))))
         return rows
 
+    def spread(rows: DataFrame) -> DataFrame:
+        rows = stored(rows)
+        return thinned(rows, levels(rows.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0, hot))
+
     plain = lambda rows: rows.withColumn("key", F.col("anchor")).withColumn("anchor", F.lit(None).cast("long"))
+
+    def meet(rows: DataFrame) -> DataFrame:
+        """Settle the anchors that are left with few different snippets, return the rows of the others."""
+        counts = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= 2))
+        settled(plain(rows.join(counts.where(F.col("n") < MANY * hot), "anchor", "left_semi").select(*rows.columns)))
+        return rows.join(counts.where(F.col("n") >= MANY * hot), "anchor", "left_semi").select(*rows.columns)
+
     left = settled(snippets(docs, widened(counts, "anchor", facts["anchors"]), often, limit, gram))
     if deep:
-        left = thinned(left, deep - 1)
-        many = stored(left.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= hot))
-        settled(plain(left.join(many, "anchor", "left_anti").select(*left.columns)))
-        if not many.isEmpty():
-            windows = stored(single_windows(left.join(many, "anchor", "left_semi").select(*left.columns), limit))
-            most = windows.groupBy("anchor").count().agg(F.max("count")).first()[0]
-            settled(plain(thinned(windows, levels(most, hot))))
+        left = meet(thinned(left, deep - 1))
+        if not left.isEmpty():
+            left = meet(spread(sides(left, limit, gram)))
+            if not left.isEmpty():
+                settled(plain(spread(single_windows(left, limit))))  # what is left of a window are equal copies, SALTS at most
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
