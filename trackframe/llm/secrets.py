@@ -4,7 +4,9 @@ Base spans are the leftmost non-overlapping matches of the three patterns. The m
 spans of kind `entropy`: a candidate is a maximal run of token characters; a window of
 WINDOW characters slides over each stretch of one character class in it, its entropy kept
 up to date from counts of characters that enter and leave. Windows above the class's
-threshold are joined to spans. Candidates on the allow list are passed over.
+threshold are joined to spans; spans of all classes that overlap are one. Candidates on the allow
+list are passed over: words are allowed only while they look like words, so letters in random
+cases and groups of letters and digits are not.
 """
 
 from __future__ import annotations
@@ -30,16 +32,19 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: character classes, narrowest first, with the entropy in bits that WINDOW random characters usually exceed
+#: character classes with the entropy in bits that WINDOW random characters usually exceed
 CLASSES = (("hexadecimal", re.compile(r"[0-9A-Fa-f]{20,}"), 2.9), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7))
-#: what looks random and is none: words, numbers, ids with public meaning, examples
+#: what looks random and is none: numbers, ids with public meaning, examples
 ALLOW = (
-    re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+"),
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),
-    re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[-_/=+])*[A-Za-z]+[0-9]{0,4}"),
-    re.compile(r".*(?:EXAMPLE|example|placeholder|xxxxx|XXXXX).*"),
+    re.compile(r"(?:.*[-+/_=])?(?:example|placeholder|x{5,}|X{5,})(?:[-+/_=].*)?|.*EXAMPLE.*"),
 )
+#: words joined by separators, each with a few digits at its end; its letters fall into lower, Capitalised and UPPER parts
+WORDS = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[-_/=+]+)*(?:[A-Za-z]+[0-9]{0,4})?")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: letters of a part on average, and digits in all characters, of what looks like words
+PART_LETTERS, DIGIT_SHARE = 3, 0.25
 #: texts that cannot hold any span are told apart by one linear pass
 POSSIBLE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{20}"""
 
@@ -79,20 +84,34 @@ def entropy_windows(run: str, least: float, window: int = WINDOW) -> list[tuple[
     return spans
 
 
+def wordlike(candidate: str) -> bool:
+    if not WORDS.fullmatch(candidate):
+        return False
+    parts = PART.findall(candidate)
+    return sum(map(len, parts)) >= PART_LETTERS * len(parts) and sum(c.isdigit() for c in candidate) <= DIGIT_SHARE * len(candidate)
+
+
 def allowed(candidate: str, allow: tuple[re.Pattern, ...] = ALLOW) -> bool:
-    return any(p.fullmatch(candidate) for p in allow)
+    return any(p.fullmatch(candidate) for p in allow) or wordlike(candidate)
 
 
 def entropy_spans(text: str) -> list[Span]:
-    out: set[tuple[int, int]] = set()
+    out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         if allowed(m.group()):
             continue
-        for _, chars, least in CLASSES:
-            found = [(m.start() + r.start() + a, m.start() + r.start() + b) for r in chars.finditer(m.group()) for a, b in entropy_windows(r.group(), least)]
-            if found:
-                out.update(found)
-                break
+        found = (
+            (m.start() + r.start() + a, m.start() + r.start() + b)
+            for _, chars, least in CLASSES
+            for r in chars.finditer(m.group())
+            if not allowed(r.group())
+            for a, b in entropy_windows(r.group(), least)
+        )
+        for a, b in sorted(found):
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
     return [(a, b, "entropy") for a, b in out]
 
 
