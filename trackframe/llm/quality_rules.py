@@ -2,7 +2,7 @@
 
 A document fails by its own numbers; a host fails by the rate of failing documents, shrunk
 towards all hosts with a beta prior whose two parameters come from the hosts themselves
-(method of moments). A host with few documents thus needs more evidence than a big one.
+(moments over all hosts, weighted by their documents). A host with few documents thus needs more evidence than a big one.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from trackframe.llm.frames import cut_lineage, salted_join
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-#: host rates at or above this fail; hosts with fewer documents than this teach the prior nothing
+#: host rates at or above this fail
 HOST_LIMIT = 0.5
-PRIOR_LEAST = 5
 
 
 def repeated_words(words: Column) -> Column:
@@ -47,6 +46,7 @@ def document_counts(docs: DataFrame, host: str) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
@@ -58,22 +58,24 @@ def base_failed() -> Column:
 
 def rule_failed() -> Column:
     """What counts against a host: the base rules, a symbol for every second word, half of the lines repeated."""
-    return base_failed() | (2 * F.col("n_symbols") > F.col("n_words")) | (2 * F.col("n_dup_lines") > F.col("n_words"))
+    return base_failed() | (2 * F.col("n_symbols") > F.col("n_words")) | (2 * F.col("n_dup_lines") > F.col("n_lines"))
 
 
-def beta_prior(hosts: DataFrame, least: int = PRIOR_LEAST) -> tuple[float, float]:
-    """(alpha, beta) by the moments of the rates of hosts with `least` documents; (0.5, 0.5) if they say nothing.
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """(alpha, beta) by the moments of the rates of all hosts, each weighted by its documents; (0.5, 0.5) if they say nothing.
 
-    The binomial part of the variance is taken off; one row of sums reaches the driver.
+    The spread that documents alone would give is taken off; one row of sums reaches the driver.
     """
-    rate = F.col("failed") / F.col("docs")
-    m = hosts.where(F.col("docs") >= least).agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("docs")).alias("inv"), F.count("*").alias("n")).first()
-    if not m["n"] or not 0 < m["mean"] < 1:
+    docs, failed = F.col("docs"), F.col("failed")
+    m = hosts.agg(F.sum(docs).alias("docs"), F.sum(failed).alias("failed"), F.sum(failed * failed / docs).alias("rates"), F.sum(docs * docs).cast("double").alias("squares"), F.count("*").alias("n")).first()
+    if m["n"] < 2 or not 0 < m["failed"] < m["docs"]:
         return 0.5, 0.5
-    spread = m["mean"] * (1 - m["mean"])
-    between = max(m["var"] - spread * m["inv"], spread / 1000)
+    mean = m["failed"] / m["docs"]
+    spread = mean * (1 - mean)
+    apart = m["rates"] - m["failed"] * m["failed"] / m["docs"]
+    between = max((apart - (m["n"] - 1) * spread) / (m["docs"] - m["squares"] / m["docs"]), spread / 1000)
     size = min(max(spread / between - 1, 1.0), 1000.0)
-    return m["mean"] * size, (1 - m["mean"]) * size
+    return mean * size, (1 - mean) * size
 
 
 def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:

@@ -43,11 +43,14 @@ k AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_t
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
       - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
     coalesce(p.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN p USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_words) AS failed FROM f GROUP BY source),
-a AS (SELECT avg(failed / docs) AS mean, var_pop(failed / docs) AS var, avg(1 / docs) AS inv, count(*) AS n FROM h WHERE docs >= 5),
-b AS (SELECT mean, n > 0 AND mean > 0 AND mean < 1 AS known, mean * (1 - mean) AS spread, greatest(var - mean * (1 - mean) * inv, mean * (1 - mean) / 1000) AS between_hosts FROM a),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS failed FROM f GROUP BY source),
+a AS (SELECT sum(failed)::DOUBLE / sum(docs) AS mean, sum(failed * failed / docs) - sum(failed)::DOUBLE * sum(failed) / sum(docs) AS apart,
+    sum(docs) - sum(docs * docs)::DOUBLE / sum(docs) AS scale, count(*) AS n FROM h),
+b AS (SELECT mean, n > 1 AND mean > 0 AND mean < 1 AS known, mean * (1 - mean) AS spread,
+    greatest((apart - (n - 1) * mean * (1 - mean)) / CASE WHEN scale > 0 THEN scale END, mean * (1 - mean) / 1000) AS between_hosts FROM a),
 c AS (SELECT known, mean, least(greatest(spread / CASE WHEN between_hosts > 0 THEN between_hosts END - 1, 1.0), 1000.0) AS size FROM b),
 e AS (SELECT CASE WHEN known THEN mean * size ELSE 0.5 END AS alpha, CASE WHEN known THEN (1 - mean) * size ELSE 0.5 END AS beta FROM c),
 v AS (SELECT source, (failed + alpha) / (docs + alpha + beta) < 0.5 AS host_kept FROM h, e)
