@@ -184,6 +184,16 @@ def test_scan(spark, odd, clash, none):
     assert secrets.redact(extra).where("text like '%<TOKEN>%'").count() == 1
 
 
+def test_all_classes_of_a_candidate_and_words_that_are_none():
+    spans = lambda t: [(a, b) for a, b, _ in secrets.entropy_spans(t)]
+    both = "0f3a9c27d1e84b5566aa90c1/Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6"
+    assert spans(f"a {both} b") == [(2, 2 + len(both))]
+    for secret in ("QwErTyUiOpAsDfGhJkLzXcVbNmQazWsx", "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6example", "abcd1234-efgh5678-ijkl9012"):
+        assert spans(secret), secret
+    for words in ("some/very/long/path/to/chapter12", "internationalizationOfDocuments", "your-api-key-example-goes-here", "2024-01-01-2024-12-31-00000", "VERY_LONG_CONSTANT_NAME_HERE", "550e8400-e29b-41d4-a716-446655440000"):
+        assert not spans(words), words
+
+
 # 5. quality
 
 
@@ -376,6 +386,16 @@ def test_document_counts_equal_brute_force(spark, odd, clash, none):
     assert quality_rules.apply_rules(none).count() == 0
 
 
+def test_host_fails_by_repeated_lines_alone(spark):
+    rng = random.Random(6)
+    menu = sentence(rng, 10)
+    data = [(i, "\n".join(sentence(rng, 10) for _ in range(6)), "xx", f"h{i % 20}", 0) for i in range(200)]
+    data += [(1000 + i, "\n".join([*(sentence(rng, 20) for _ in range(6)), *[menu[:30] + " x"] * 8]), "xx", "lines", 0) for i in range(40)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(spark.createDataFrame(data, DOC)).collect()}
+    assert 2 * got[1000].n_dup_lines < got[1000].n_words and got[1000].n_lines == 14 and got[1000].n_dup_lines == 7
+    assert got[0].kept and got[0].host_kept
+
+
 def test_bad_host_goes_and_small_host_is_shrunk(spark):
     rng = random.Random(4)
     good, bad = sentence(rng, 60), "w " * 10

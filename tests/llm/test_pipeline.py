@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -117,3 +118,14 @@ def test_queries_equal_sql(spark, sf, name):
 def test_ten_queries_and_the_pipeline_are_registered():
     names = set(contract.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_language_decides(spark, sf):
+    """A script without a profile is rejected because of its language, a null lang is filled; a repeated id keeps the same row every time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
+    profiles = language.learn_profiles(docs)
+    sample = docs.where("length(text) > 200").limit(20).cache()
+    odd = sample.withColumn("lang", F.lit(None).cast("string")).unionByName(sample.limit(1).withColumns({"doc_id": F.lit(-5).cast(docs.schema["doc_id"].dataType), "text": F.lit("ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾᛁᛃ ᛇᛈᛉᛊᛏᛒ")}))
+    kept = {r.doc_id: r.lang for r in language.keep_identified(odd, profiles).collect()}
+    right = {r.doc_id: r.lang for r in sample.collect()}
+    assert -5 not in kept and set(kept) == set(right) and sum(kept[i] == right[i] for i in right) >= 0.9 * len(right)

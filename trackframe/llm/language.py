@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,13 +142,22 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
 
 
 def keep_identified(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """The rows of docs, all columns, whose text gets a language; nothing is shuffled."""
+    """The rows of docs whose text gets a language, all columns; a null `lang` becomes the predicted one. Nothing is shuffled.
+
+    Rejected: null texts, texts without a letter, and texts that no profile is nearer to than
+    another, such as those in a script that no profile knows (margin 0).
+    """
+    fills = "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, known = Letters(), Profiles(profiles, size)
         for batch in batches:
-            pred, _, _ = predict(texts(batch), letters, known, size)
-            yield batch.filter(pa.array([p != UNKNOWN for p in pred], pa.bool_()))
+            pred, _, margin = predict(texts(batch), letters, known, size)
+            if fills:
+                i = batch.schema.get_field_index("lang")
+                lang = pc.fill_null(batch.column(i), pa.array(pred, batch.column(i).type))
+                batch = pa.RecordBatch.from_arrays([lang if k == i else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            yield batch.filter(pa.array([m > 0 for m in margin], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
