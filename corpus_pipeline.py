@@ -24,17 +24,20 @@ SHINGLE, SIMILAR = 5, (80, 100)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text gets a language; null texts and texts without letters go. `lang` stays as it came."""
+    """Documents that one language profile is nearest to; others, null texts and texts without letters go. A null `lang` is filled, others stay."""
     return language.keep_identified(docs, language.learn_profiles(docs.where(~held_out())))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked on five words at 0.8. Rows without an id stay; rows that repeat an id are one."""
+    """The document with the smallest id of each group linked on five words at 0.8. Rows without an id stay; of rows that repeat an id the one
+    with the smallest hash of its columns stays, so that reruns agree."""
     linked = jaccard.link(docs, SHINGLE, SIMILAR)
     kept = docs.join(linked.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "doc_id", "left_anti")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1)
     if not repeated.isEmpty():
-        kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+        values = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by(values, F.struct(F.xxhash64(values), F.col("text"))).alias("one")).select("one.*")
+        kept = one.unionByName(kept.where(F.col("doc_id").isNull()))
     return kept.select(docs.columns)
 
 
